@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, quality_rules, sharding
+from . import decontaminate, licenses, line_dedup, pieces, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +23,38 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.FEATURES, "base_failed", "kept")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that lie inside a window of a benchmark item, and the items."""
+    out = decontaminate.find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's license sentences and licenses."""
     out = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "license_sentences", "licenses", "license", "permissive")
 
 
+def model_path() -> str:
+    """Where the tokenizer's file lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids and their decoding, as digests."""
+    ids = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model_path()).drop("text")
+    ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+    out = pieces.decode(ids, model_path(), keep=("doc_id", "n_tokens", "ids_sha256"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of boilerplate lines, and its text without them as a digest."""
     out = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "n_lines_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_quality_rules, op8_license_scans, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_quality_rules, op6_decontamination, op8_license_scans, op9_pieces, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
