@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, pieces, quality_rules, sharding
+from . import decontaminate, licenses, line_dedup, minhash, pieces, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate component."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's slot and shard among 256 shards."""
     shards = [f"shard-{k:04d}" for k in range(256)]
@@ -56,5 +61,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_quality_rules, op6_decontamination, op8_license_scans, op9_pieces, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op4_quality_rules, op6_decontamination, op8_license_scans, op9_pieces, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
