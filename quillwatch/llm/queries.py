@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, minhash, pieces, quality_rules, sharding
+from . import decontaminate, licenses, line_dedup, minhash, pieces, quality_rules, repeats, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.FEATURES, "base_failed", "kept")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes that belong to a repeated 400-byte string."""
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that lie inside a window of a benchmark item, and the items."""
     out = decontaminate.find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
@@ -61,5 +67,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op4_quality_rules, op6_decontamination, op8_license_scans, op9_pieces, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op4_quality_rules, op5_repeats, op6_decontamination, op8_license_scans, op9_pieces, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
