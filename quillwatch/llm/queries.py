@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, minhash, pieces, quality_rules, repeats, sharding
+from . import decontaminate, licenses, line_dedup, minhash, pieces, quality_knn, quality_rules, repeats, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], shards).select("doc_id", "slot", "shard", "shard_name")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from three of four folds of the labels."""
+    return quality_knn.score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality_rules.FEATURES, "base_failed", "kept")
@@ -67,5 +72,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op4_quality_rules, op5_repeats, op6_decontamination, op8_license_scans, op9_pieces, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_quality_rules, op5_repeats, op6_decontamination, op8_license_scans, op9_pieces, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
