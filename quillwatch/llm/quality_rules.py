@@ -115,15 +115,27 @@ def host_verdicts(features: DataFrame, host: str = "source", max_rate: float = M
     return rates.select("host", "n", *[v.alias(r) for r, v in shrunk.items()], F.greatest(*shrunk.values()).__gt__(max_rate).alias("host_rejected"))
 
 
-def apply_quality_rules(df: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE, broadcast_hosts: int = BROADCAST_HOSTS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of carry, then host, FEATURES, base_failed, host_rejected and kept, a row for each of df's.
+def _judge(df: DataFrame, carry: list[str], text: str, host: str, max_rate: float, broadcast_hosts: int) -> DataFrame:
+    """(carried: df's columns of carry, FEATURES, base_failed, host_rejected, kept), a row for each of df's.
 
     The counts are written once; hosts are aggregated from them, and the verdicts joined to them.
     """
-    counted = Scratch(df.sparkSession).keep(count_features(df.select(*carry, F.col(host).alias("host"), F.col(text).alias("_text")), "_text").drop("_text"))
+    rows = df.select(F.struct(*carry).alias("carried"), F.col(host).alias("host"), F.col(text).alias("_text"))
+    counted = Scratch(df.sparkSession).keep(count_features(rows, "_text").drop("_text"))
     verdicts = host_verdicts(counted, "host", max_rate).select(F.col("host").alias("_host"), "host_rejected")
     n_hosts = counted.agg(F.approx_count_distinct("host")).first()[0]
     verdicts = F.broadcast(verdicts) if n_hosts <= broadcast_hosts else verdicts
-    joined = counted.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+    joined = counted.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host", "host")
     failed = F.expr(f"({RULES['few_words']}) or ({RULES['repeats']})")
     return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+
+
+def apply_quality_rules(df: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE, broadcast_hosts: int = BROADCAST_HOSTS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of carry, then FEATURES, base_failed, host_rejected and kept, a row for each of df's."""
+    judged = _judge(df, list(carry), text, host, max_rate, broadcast_hosts)
+    return judged.select("carried.*", *FEATURES, "base_failed", "host_rejected", "kept")
+
+
+def drop_rejected(df: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """The rows of df that are kept, with df's columns."""
+    return _judge(df, df.columns, text, host, max_rate, broadcast_hosts).filter("kept").select("carried.*")

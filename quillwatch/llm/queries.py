@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, minhash, pieces, quality_knn, quality_rules, repeats, sharding
+from . import decontaminate, licenses, line_dedup, minhash, pieces, quality_knn, quality_rules, repeats, sharding, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path and verdict."""
+    out = url_filters.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's license sentences and licenses."""
     out = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -72,5 +78,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_quality_rules, op5_repeats, op6_decontamination, op8_license_scans, op9_pieces, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_quality_rules, op5_repeats, op6_decontamination, op7_url_filters, op8_license_scans, op9_pieces, op10_line_dedup)}
 ORACLES: dict[str, str] = {}

@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from quillwatch.llm import licenses, line_dedup, quality_rules, sharding
+from quillwatch.llm import licenses, line_dedup, quality_rules, queries, sharding, url_filters
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " \n\t ", "a", "a b", "a b c a b c", "x\n\nx\n x\n", "Der " * 500, "a b a b a b", "é#*$%&|<> ü", "w " * 20_000, "one two three\none two three\nfour"]
@@ -43,6 +43,12 @@ def test_bad_hosts_lose_all_documents_and_good_ones_keep_theirs(spark):
     assert not out[100]["base_failed"] and out[200]["base_failed"] and not out[200]["kept"]
 
 
+def test_dropping_keeps_columns_whatever_their_names(spark):
+    good = " ".join(f"word{k}" for k in range(80))
+    df = spark.createDataFrame([(1, good, "s", 7, "y"), (2, "bad", "s", 8, None)], "doc_id long, text string, source string, n_words int, host string")
+    assert quality_rules.drop_rejected(df).collect() == df.filter("doc_id = 1").collect()
+
+
 def test_rules_on_an_empty_table(spark):
     assert quality_rules.apply_quality_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
@@ -120,3 +126,48 @@ def test_assign_shards_with_odd_rows(spark):
     out = sharding.assign_shards(df, ["doc_id"], ["a", "b", "c"]).collect()
     assert len(out) == 4 and len({r["shard_name"] for r in out if r["doc_id"] == 1}) == 1 and len({r["shard_name"] for r in out if r["doc_id"] is None}) == 1
     assert sharding.assign_shards(df.limit(0), ["doc_id"], ["a"]).count() == 0
+
+
+def cut(url):
+    if url is None or "://" not in url:
+        return "", ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S).groups()
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
+
+
+def rule_of(host, path):
+    fits = [(len(r), r, v) for v, r in url_filters.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def test_url_query_on_whole_tables(spark, sf):
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.op7_url_filters(spark, sf).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        host, path = cut(urls[r["page_id"]])
+        rule, verdict = rule_of(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (verdict or ("block" if r["purity"] < 0.3 else "allow"))
+    assert {r["rule"] for r in rows} >= {"com/en/", "net/de/", "org/es/"}
+
+
+def test_odd_urls_and_templates(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.com", "x://É.Net/de/1?a", "a://b://c/d", "https://u.example.net/de/80#x", "https://example.com/en/7", "https://notexample.com/en/7", "https://com/en/", "http://a.com/en\n/x?y", "http://h.org/" + "a/" * 3000]
+    urls += [f"http://shop.org/item/{'abcdefghij'[k % 10]}x{k}/view" for k in range(40)] + [f"http://shop.org/es/p{k}/view" for k in range(40)] + ["http://shop.org/about"] * 20
+    df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, verdict string")
+    rows = {r["page_id"]: r for r in url_filters.judge_urls(df).collect()}
+    assert len(rows) == len(urls)
+    for k, u in enumerate(urls):
+        host, path = cut(u)
+        rule, verdict = rule_of(host, path)
+        assert (rows[k]["host"], rows[k]["path"], rows[k]["rule"]) == (host, path, rule)
+        assert verdict is None or rows[k]["verdict"] == verdict
+    assert rows[13]["template"] == "/item/*/view" and rows[13]["verdict"] == "allow" and rows[93]["template"] == "/about"
+    assert url_filters.judge_urls(df.limit(0)).count() == 0
+
+
+def test_templates_learn_from_labels(spark):
+    rows = [(f"http://h.net/spam/x{k}a/p", 1 if k < 30 else None) for k in range(60)] + [(f"http://h.net/good/x{k}a/p", 0 if k < 30 else None) for k in range(60)]
+    out = url_filters.judge_urls(spark.createDataFrame(rows, "url string, bad int"), rules=(), label="bad").collect()
+    assert {(r["template"], r["verdict"]) for r in out} == {("/spam/*/p", "block"), ("/good/*/p", "allow")}
