@@ -1,4 +1,8 @@
 """All registered queries and their SQL twins, by name."""
 
-QUERIES = {}
-ORACLES = {}
+from . import tracker_plans
+
+_PARTS = (tracker_plans,)
+
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: text for part in _PARTS for name, text in part.ORACLES.items()}
