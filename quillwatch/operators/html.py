@@ -139,7 +139,7 @@ def policy_link(html: Column) -> Column:
     href = lambda a: F.btrim(F.regexp_extract(a, '(?is)href="([^"]*)"', 1), F.lit(_SPACES))
     words = lambda a: F.regexp_replace(a, "(?s)<[^>]*>", "")
     pattern = "(?i)" + "|".join(POLICY_WORDS)
-    return F.transform(F.filter(anchors, lambda a: (href(a) != "") & (href(a).rlike(pattern) | words(a).rlike(pattern))), href)[0]
+    return F.get(F.transform(F.filter(anchors, lambda a: (href(a) != "") & (href(a).rlike(pattern) | words(a).rlike(pattern))), href), F.lit(0))
 
 
 def fetch_policies(pages: DataFrame, store: DataFrame, href: str = "policy_href", url: str = "url") -> DataFrame:
