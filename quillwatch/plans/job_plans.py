@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import settings
 from ..operators import jobs, telemetry
 from ..sources import derived
 
-NOW = F.expr(derived.NOW)
 WORKERS = ("w-a", "w-b", "w-c")
 
 
+def now() -> Column:
+    return F.expr(derived.NOW)
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.jobs(spark, sf_dir)
 
@@ -31,57 +34,57 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queue_claim_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oldest pending job goes to one worker."""
-    out = jobs.claim(_state(spark, sf_dir), ["w-a"], NOW)
+    out = jobs.claim(_state(spark, sf_dir), ["w-a"], now())
     return out.select("job_id", "version", "status", "claimed_by", "claim_count", "started_at")
 
 
 def queue_claim_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three workers with four places each, one of which is taken; no job goes to two."""
-    out = jobs.claim(_state(spark, sf_dir), list(WORKERS), NOW, per_worker=4, running={"w-b": 1})
+    out = jobs.claim(_state(spark, sf_dir), list(WORKERS), now(), per_worker=4, running={"w-b": 1})
     return out.select("job_id", "claimed_by", "claim_count")
 
 
 def queue_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = _state(spark, sf_dir).filter("status = 'running'")
-    return jobs.complete(running, NOW, F.to_json(F.struct(F.lit(3).alias("score")))).select("job_id", "version", "status", "claimed_by", "result", "error", "completed_at")
+    return jobs.complete(running, now(), F.to_json(F.struct(F.lit(3).alias("score")))).select("job_id", "version", "status", "claimed_by", "result", "error", "completed_at")
 
 
 def queue_fail(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = _state(spark, sf_dir).filter("status = 'running'")
-    return jobs.fail(running, NOW, F.repeat(F.lit("x"), 3000)).select("job_id", "status", "claimed_by", F.length("error").alias("error_chars"))
+    return jobs.fail(running, now(), F.repeat(F.lit("x"), 3000)).select("job_id", "status", "claimed_by", F.length("error").alias("error_chars"))
 
 
 def queue_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = _state(spark, sf_dir).filter("status = 'running'")
-    return jobs.release(running, NOW, F.lit(None).cast("string")).select("job_id", "status", "claimed_by", "claim_count", "started_at")
+    return jobs.release(running, now(), F.lit(None).cast("string")).select("job_id", "status", "claimed_by", "claim_count", "started_at")
 
 
 def queue_retry_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = _state(spark, sf_dir).filter("status = 'running'")
-    out = jobs.settle_errors(running, NOW, F.lit("timeout"))
+    out = jobs.settle_errors(running, now(), F.lit("timeout"))
     return out.select("job_id", "status", "claimed_by", "claim_count", "error", "completed_at")
 
 
 def queue_reap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.reap(_state(spark, sf_dir), NOW).select("job_id", "version", "status", "claimed_by", "started_at")
+    return jobs.reap(_state(spark, sf_dir), now()).select("job_id", "version", "status", "claimed_by", "started_at")
 
 
 def queue_reap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.reap(_state(spark, sf_dir), NOW).agg(F.count("*").alias("reaped"))
+    return jobs.reap(_state(spark, sf_dir), now()).agg(F.count("*").alias("reaped"))
 
 
 def queue_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State after a log of creations, reaps and claims."""
     log = jobs.created(_jobs(spark, sf_dir))
-    log = log.union(jobs.reap(jobs.fold(log), NOW))
+    log = log.union(jobs.reap(jobs.fold(log), now()))
     return jobs.fold(log).groupBy("status", "version").agg(F.count("*").alias("jobs"), F.sum("claim_count").alias("claims"))
 
 
 def queue_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late writers: two events of one version, of which the later is fenced."""
     first = jobs.created(_jobs(spark, sf_dir))
-    reaped = jobs.reap(jobs.fold(first), NOW)
-    late = jobs.complete(jobs.fold(first).join(reaped.select("job_id"), "job_id", "left_semi"), NOW + F.expr("INTERVAL 1 SECOND"), F.lit("{}"))
+    reaped = jobs.reap(jobs.fold(first), now())
+    late = jobs.complete(jobs.fold(first).join(reaped.select("job_id"), "job_id", "left_semi"), now() + F.expr("INTERVAL 1 SECOND"), F.lit("{}"))
     return jobs.fenced(first.union(reaped).union(late)).groupBy("kind", "fenced").agg(F.count("*").alias("events"))
 
 
@@ -96,7 +99,7 @@ def worker_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.health(_state(spark, sf_dir), "w1", "disabled", "1", NOW - F.expr("INTERVAL 5 SECOND"), NOW, shutting_down=True)
+    return telemetry.health(_state(spark, sf_dir), "w1", "disabled", "1", now() - F.expr("INTERVAL 5 SECOND"), now(), shutting_down=True)
 
 
 def event_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +118,7 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Milliseconds between start and now of running jobs."""
-    return _state(spark, sf_dir).filter("status = 'running'").select("job_id", (F.unix_millis(NOW) - F.unix_millis("started_at")).alias("duration_ms"))
+    return _state(spark, sf_dir).filter("status = 'running'").select("job_id", (F.unix_millis(now()) - F.unix_millis("started_at")).alias("duration_ms"))
 
 
 def error_cap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import results
 from ..sources import derived
-from .job_plans import NOW
+from .job_plans import now
 from .page_plans import _FORMS, _RESOLVED, _store, text_sql
 from .tracker_plans import UNKNOWN_SQL
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = derived.snapshots(spark, sf_dir).select("page_id", "url", "html", "tls_version")
-    return results.scan(pages, derived.requests(spark, sf_dir), _store(spark, sf_dir), NOW)
+    return results.scan(pages, derived.requests(spark, sf_dir), _store(spark, sf_dir), now())
 
 
 def scan_result(spark: SparkSession, sf_dir: str) -> DataFrame:
