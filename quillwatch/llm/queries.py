@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, line_dedup, minhash, pieces, quality_knn, quality_rules, repeats, sharding, url_filters
+from .oracles import ORACLES  # noqa: F401  the driver reads them here
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +80,3 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_quality_rules, op5_repeats, op6_decontamination, op7_url_filters, op8_license_scans, op9_pieces, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
