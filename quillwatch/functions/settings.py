@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_TIMEOUT_MS, LOCAL_TIMEOUT_MS, LEAST_TIMEOUT_MS = 15_000, 30_000, 1_000
 # Reviewers in order of precedence, with the setting that turns each on.
-REVIEWERS = (("gemini-flash", "gemini_key"), ("deepseek-chat", "deepseek_key"), ("ollama-gemma-3-4b", "ollama_host"))
+REVIEWERS = (("gemini-2.5-flash", "gemini_key"), ("deepseek-v3", "deepseek_key"), ("ollama-gemma-3-4b", "ollama_host"))
 LOCAL_REVIEWER, DISABLED = "ollama-gemma-3-4b", "disabled"
 
 

@@ -173,7 +173,7 @@ QUERIES = {
 
 _J = f"WITH jobs AS ({derived.JOBS_SQL}), running AS (SELECT * FROM jobs WHERE status = 'running'), stuck AS (SELECT *, claim_count < 3 AS again FROM running WHERE started_at < {derived.NOW} - INTERVAL 180 SECOND)"
 _N = derived.NOW
-_PROVIDER = "CASE WHEN g = 'key' THEN 'gemini-flash' WHEN d = 'key' THEN 'deepseek-chat' WHEN o = 'key' THEN 'ollama-gemma-3-4b' ELSE 'disabled' END"
+_PROVIDER = "CASE WHEN g = 'key' THEN 'gemini-2.5-flash' WHEN d = 'key' THEN 'deepseek-v3' WHEN o = 'key' THEN 'ollama-gemma-3-4b' ELSE 'disabled' END"
 _SET = "(SELECT event_id, event_id % 8 AS v, CASE WHEN event_id // 8 % 3 = 0 THEN 'key' END AS g, CASE WHEN event_id // 24 % 3 = 0 THEN 'key' END AS d, CASE WHEN event_id // 72 % 3 = 0 THEN 'key' END AS o FROM events)"
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
 ORACLES = {

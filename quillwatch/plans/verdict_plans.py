@@ -42,7 +42,7 @@ def verdict_classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdict_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reply's verdict, or the stub where it has none."""
-    v = verdicts.with_fallback(F.col("p"), F.lit("gemini-flash"), (F.col("doc_id") % 1000))
+    v = verdicts.with_fallback(F.col("p"), F.lit("gemini-2.5-flash"), (F.col("doc_id") % 1000))
     out = _parsed(spark, sf_dir).withColumn("v", v)
     return out.select("doc_id", "v.score", "v.form_risk", F.array_join("v.missing", ",").alias("missing"), F.size("v.classifications").alias("n_classified"), "v.provider", "v.latency_ms")
 
@@ -95,7 +95,7 @@ ORACLES = {
     "verdict_fence": f'SELECT d.doc_id, f.t AS "inner" FROM documents d JOIN (VALUES {_FENCED}) f(k, t) ON f.k = d.doc_id % {len(REPLIES)}',
     "verdict_enum": f"SELECT coalesce(w.error, 'valid') AS outcome, count(*) AS replies {_JOINED} GROUP BY 1",
     "verdict_classifications": f"SELECT d.doc_id, c.* EXCLUDE (k) FROM documents d JOIN (VALUES (0, 'a.example.org', 'Ads', 'high', 'pixel'), (11, 'x.org', 'unknown', 'unknown', ''), (11, 'z.org', 'unknown', 'low', '')) c(k, domain, likely_vendor, phi_risk, reasoning) ON c.k = d.doc_id % {len(REPLIES)}",
-    "verdict_stub": f"{_STUB} CASE WHEN w.error IS NULL THEN 'gemini-flash' ELSE 'disabled' END AS provider, CASE WHEN w.error IS NULL THEN d.doc_id % 1000 ELSE 0 END::BIGINT AS latency_ms {_JOINED}",
+    "verdict_stub": f"{_STUB} CASE WHEN w.error IS NULL THEN 'gemini-2.5-flash' ELSE 'disabled' END AS provider, CASE WHEN w.error IS NULL THEN d.doc_id % 1000 ELSE 0 END::BIGINT AS latency_ms {_JOINED}",
     "verdict_disabled": "SELECT doc_id, 0 AS score, 'none' AS form_risk, 'disabled' AS provider, 0::BIGINT AS latency_ms FROM documents",
     "verdict_reviewer": f"SELECT d.doc_id, coalesce(w.score, 0) AS score, coalesce(w.form_risk, 'none') AS form_risk, CASE WHEN w.error IS NULL THEN 'echo' ELSE 'disabled' END AS provider {_JOINED}",
     "verdict_coverage": f"SELECT d.doc_id, h.host, 'unknown' AS phi_risk, h.host = 'x.org' AND d.doc_id % {len(REPLIES)} = 11 AS classified FROM documents d CROSS JOIN (VALUES ('x.org'), ('q.org')) h(host)",
