@@ -3,10 +3,16 @@
 A document is the set of its 5-word shingles. Equal sets form a class, and only one row a class goes on. One hash of
 each shingle fills ``BINS`` bins (the least value in each); empty bins borrow from full ones by optimal
 densification, each bin walking a random sequence of its own that all documents share. Bins form bands, and equal
-bands put classes into buckets. In each bucket the edges form a star around one centre, so a bucket of k classes has
-k - 1 candidate pairs. Each pair is confirmed on the full shingle sets of both whole texts. Where a star leaves
-classes of a bucket unconnected, further centres of it follow, twice as many in each round, against those classes
-that no path connects yet, until no such pair is untested: no link between two classes of a bucket is lost.
+bands put classes into buckets. In each bucket the edges form a star around one centre, the member that shares most
+with the others, so a bucket of k classes has k - 1 candidate pairs. Each pair is confirmed on the full shingle sets
+of both whole texts.
+
+A star can miss links between two classes that its centre isn't linked to. In a bucket with few pairs that no path
+connects yet, ``OPEN_PAIRS`` for each of its classes at most, those are tested. A bucket with more is dealt anew: two of
+its classes can only be linked without the centre if they share shingles that it lacks, or are of certain sizes below
+its own (`residual_keys`), so these make the buckets of a next round, with stars of their own and a higher limit.
+Rounds end when no bucket is left: no link between two classes of a bucket is lost, and neither the pairs nor the
+buckets' rows grow with the square of a group.
 
 With 20 bands of 4 bins a pair of similarity 0.85 shares no bucket with a chance of (1 - 0.85**4)**20 = 4e-7.
 
@@ -29,7 +35,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .storage import Scratch
 
@@ -37,6 +42,8 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 20, 4
 BINS = BANDS * ROWS
+#: Buckets may test so many unconnected pairs for each of their classes; four times as many in each further round.
+OPEN_PAIRS = 16
 #: Words whose hashes a task keeps.
 WORD_TABLE = 1_000_000
 
@@ -124,67 +131,114 @@ def summarise(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return source.mapInArrow(run, schema)
 
 
+def residual_keys(centre: np.ndarray, other: np.ndarray, least: int, percent: int) -> tuple[bool, np.ndarray]:
+    """Whether two sets are linked, and keys of which other shares one with every set that it is linked to.
+
+    That holds among sets of at least least shingles that are held against the same centre and aren't both linked to
+    it. Two sets have at most what each shares with the centre in common, and the shingles that both have and it
+    lacks. So where sharing with the centre can't suffice, they share enough of the latter, and then one of the first
+    few of them by hash; a set that is close to the centre but not linked may reach sets smaller than the centre
+    without them, which sizes below the centre's tell.
+    """
+    at = np.minimum(np.searchsorted(centre, other), len(centre) - 1)
+    shared = centre[at] == other
+    both, n = int(shared.sum()), len(other)
+    need = lambda size: -(-percent * (n + size) // (100 + percent))  # noqa: E731  in common with a set of that size
+    linked = both >= need(len(centre))
+    smallest = max(least, -(-percent * n // 100))
+    more = other[~shared]
+    short = need(smallest) - both
+    keys = more[: max(0, len(more) - short + 1)] if short > 0 else more
+    sizes = [n] if n < len(centre) else []
+    if not linked:
+        sizes += range(smallest, (100 + percent) * both // percent - n + 1)
+    return linked, np.concatenate([keys, np.array(sorted(set(sizes)), dtype=np.uint64)]).view(np.int64)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the similarity. texts: (id, text), one text an id."""
+    """(u, v, n, key) for pairs (u, v, least): with a null key where the full sets are linked; where least isn't null,
+    also v's residual keys against u and the size n of v's set. texts: (id, text)."""
     kind = pairs.schema["u"].dataType.simpleString()
     joined = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-    joined = joined.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").select("u", "v", "text_u", "text_v")
+    joined = joined.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").select("u", "v", "least", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last, left = WordHashes(), None, None
         for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            us, left_texts, right_texts = batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
-            for k, u in enumerate(us):
-                if left is None or u != last:  # a star's rows follow each other
-                    last, left = u, shingle_set(left_texts[k].as_py(), table)
-                right = shingle_set(right_texts[k].as_py(), table)
-                at = np.minimum(np.searchsorted(left, right), len(left) - 1)
-                both = int((left[at] == right).sum()) if len(left) else 0
-                keep[k] = 100 * both >= percent * (len(left) + len(right) - both) and both > 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
-
-    return joined.mapInArrow(run, f"u {kind}, v {kind}")
+            rows, sizes, found = [], [], []
+            leasts, left_texts, right_texts = batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()), batch.column(4).cast(pa.binary())
+            for k, (least, left_text, right_text) in enumerate(zip(leasts, left_texts, right_texts)):
+                left_text = left_text.as_py()
+                if left is None or left_text != last:  # a star's rows follow each other
+                    last, left = left_text, shingle_set(left_text, table)
+                right = shingle_set(right_text.as_py(), table)
+                if not len(left) or not len(right):
+                    continue
+                linked, keys = residual_keys(left, right, least or 0, percent)
+                keys = [None] * linked + (keys.tolist() if least is not None else [])
+                rows += [k] * len(keys)
+                sizes += [len(right)] * len(keys)
+                found += keys
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()), pa.array(found, pa.int64())], names=["u", "v", "n", "key"])
+
+    return joined.mapInArrow(run, f"u {kind}, v {kind}, n long, key long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (id, root) for every node of edges (u, v): root is the least id that can be reached.
 
-    Large-star and small-star steps until the edges stay as they are; each step's minima are partial aggregates.
+    Large-star and small-star steps, both in one job, until each node hangs on one root that hangs on nothing; minima
+    are partial aggregates.
     """
-    stamp = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    now = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    seen = stamp(now)
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.keep(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.keep(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        found = stamp(new)
-        scratch.drop(large)
-        scratch.drop(now)
-        now = new
-        if found == seen:
-            break
-        seen = found
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+        now = scratch.keep(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("below")).union(now.select(F.col("v").alias("id"), F.lit(0).alias("below")))
+        hung = ends.groupBy("id").agg(F.sum("below").alias("below"), F.count("*").alias("k"))
+        if hung.filter("below > 1 or (below = 1 and k > 1)").isEmpty():
+            return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
 def _similar_sizes(a, b, percent: int):
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def _first_stars(buckets: DataFrame, percent: int) -> DataFrame:
-    """Each bucket's star around the member that shares most with all others, whichever bucket they share."""
+def _counted(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """members (bucket, id, n) of buckets of two or more, with the bucket's size."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    return scratch.keep(members.join(sizes, "bucket").select("bucket", "id", "n", "size"))
+
+
+def _stars(buckets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(a, b, u, v, least): each bucket's star around the member that shares most with all others, in any bucket.
+
+    least is the size of the smallest member of the centre's large buckets, and null in small ones, where pairs of
+    too different sizes are left out.
+    """
     reach = buckets.groupBy("id").agg(F.sum("size").alias("reach"))
-    ranked = buckets.join(reach, "id")
-    order = F.struct("reach", F.col("n"), F.col("id"))
-    centres = ranked.groupBy("bucket").agg(F.max(order).alias("c")).select("bucket", F.col("c.id").alias("u"), F.col("c.n").alias("n_u"))
-    stars = buckets.join(centres, "bucket").filter("id <> u").filter(_similar_sizes(F.col("n"), F.col("n_u"), percent))
-    return stars.select(F.least("u", F.col("id")).alias("a"), F.greatest("u", F.col("id")).alias("b"), "u", F.col("id").alias("v"))
+    order = F.struct("reach", "n", "id")
+    centres = buckets.join(reach, "id").groupBy("bucket").agg(F.max(order).alias("c")).select("bucket", F.col("c.id").alias("u"), F.col("c.n").alias("n_u"))
+    large = F.col("size") > limit
+    stars = buckets.join(centres, "bucket").filter("id <> u").filter(large | _similar_sizes(F.col("n"), F.col("n_u"), percent))
+    stars = stars.groupBy("u", F.col("id").alias("v")).agg(F.min(F.when(large, F.least("n", "n_u"))).alias("least"))
+    smallest = stars.groupBy("u").agg(F.min("least").alias("smallest"))
+    stars = stars.join(smallest, "u").select("u", "v", F.when(F.col("least").isNotNull(), F.col("smallest")).alias("least"))
+    return stars.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "u", "v", "least")
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members of buckets that hold several components, with each one's root, and in how many pairs of the bucket no
+    path connects the two, for each member."""
+    labelled = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    counts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    several = counts.filter("own < k * k").select("bucket", ((F.col("k") * F.col("k") - F.col("own")) / (2 * F.col("k"))).alias("open_pairs"))
+    return labelled.join(several, "bucket")
 
 
 def links(summary: DataFrame, texts: DataFrame, scratch: Scratch, percent: int = PERCENT, ties: DataFrame | None = None) -> DataFrame:
@@ -192,34 +246,47 @@ def links(summary: DataFrame, texts: DataFrame, scratch: Scratch, percent: int =
 
     summary: (id, n, bands), one row a class. Classes that nothing links are left out.
     """
-    exploded = summary.select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = exploded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = scratch.keep(exploded.join(sizes, "bucket").select("bucket", "id", "n", "size"))
-    tested = scratch.keep(_first_stars(buckets, percent).groupBy("a", "b").agg(F.max("u").alias("u")).select("a", "b", "u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v")))
-    edges = _confirm(tested.select("u", "v"), texts, percent)
-    roots = scratch.keep(components(edges if ties is None else edges.union(ties), scratch))
-    n_centres = 1
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        known = [] if old is None else [old.select(F.col("id").alias("u"), F.col("root").alias("v"))]
+        known += [ties] if old is None and ties is not None else []
+        for e in known:
+            new = new.union(e)
+        return scratch.keep(components(new, scratch))
+
+    buckets = _counted(summary.select("id", "n", F.explode("bands").alias("bucket")), scratch)
+    # the texts that any pair can need are shuffled once, and all rounds read them; repeated rows give one
+    texts = texts.join(buckets.select("id").distinct(), "id", "left_semi").withColumn("h", F.xxhash64("text"))
+    texts = scratch.keep(texts.dropDuplicates(["id", "h"]).drop("h"))
+    tested, roots, limit = None, None, OPEN_PAIRS
     while True:
-        member = buckets.join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
-        mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        member = scratch.keep(member.join(mixed, "bucket"))
-        # centres come from a bucket's smaller components first: once those are tested, only the largest is left
-        counts = member.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-        turn = Window.partitionBy("bucket").orderBy("k", "root", "id")
-        centres = member.join(counts, ["bucket", "root"]).withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= n_centres)
-        centres = centres.select("bucket", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"))
-        pairs = member.join(centres, "bucket").filter("root <> root_u").filter(_similar_sizes(F.col("n"), F.col("n_u"), percent))
-        pairs = pairs.select(F.least("u", F.col("id")).alias("a"), F.greatest("u", F.col("id")).alias("b")).distinct()
-        fresh = scratch.keep(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        most = member.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-        if not fresh.isEmpty():
-            more = scratch.keep(_confirm(fresh.select(F.col("a").alias("u"), F.col("b").alias("v")), texts, percent))
-            tested = scratch.keep(tested.select("a", "b").union(fresh))
-            if not more.isEmpty():
-                roots = scratch.keep(components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).union(more), scratch))
-        if n_centres >= most:  # every member of every mixed bucket was a centre
+        stars = _stars(buckets, percent, limit)
+        if tested is not None:  # a large bucket's star gives keys, even where its pairs were tested before
+            stars = stars.filter("least is not null").union(stars.filter("least is null").join(tested, ["a", "b"], "left_anti").select(*stars.columns))
+        stars = scratch.keep(stars)
+        found = scratch.keep(_confirm(stars.select("u", "v", "least"), texts, percent))
+        tested = stars.select("a", "b") if tested is None else tested.union(stars.select("a", "b"))
+        roots = merge(roots, found.filter("key is null").select("u", "v"))
+        # buckets with few pairs a member that no path connects yet: those pairs
+        mixed = scratch.keep(_mixed(buckets, roots))
+        left = mixed.filter((F.col("open_pairs") <= limit) | (F.col("size") <= limit))
+        other = left.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+        rest = left.join(other, "bucket").filter("id < b and root <> root_b").filter(_similar_sizes(F.col("n"), F.col("n_b"), percent))
+        rest = rest.select(F.col("id").alias("a"), "b").distinct()
+        rest = scratch.keep(rest.join(tested, ["a", "b"], "left_anti"))
+        more = scratch.keep(_confirm(rest.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(None).cast("long").alias("least")), texts, percent).select("u", "v"))
+        tested = tested.union(rest)
+        # the others: dealt anew by what their members have and their centres lack
+        many = mixed.filter((F.col("open_pairs") > limit) & (F.col("size") > limit)).select("id").distinct()
+        if not more.isEmpty():
+            roots = merge(roots, more)
+        if many.isEmpty():
+            return roots
+        keyed = found.filter("key is not null").join(many.withColumnRenamed("id", "v"), "v", "left_semi")
+        keyed = keyed.select(F.xxhash64("u", "key").alias("bucket"), F.col("v").alias("id"), "n").distinct()
+        buckets = _counted(_mixed(_counted(keyed, scratch), roots).select("bucket", "id", "n"), scratch)
+        if buckets.isEmpty():
             return roots
-        n_centres *= 8
+        limit *= 4
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

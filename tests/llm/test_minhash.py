@@ -91,6 +91,9 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, a), (None, a), (3, a), (5, a), (5, b), (7, b), (7, b), (9, "x")], "doc_id long, text string")
     rows = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(df).collect())
     assert rows == [(0, 0, True), (0, 0, True), (3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 3, False), (9, 9, True)]
+    near = [(20, a + " x")] * 40 + [(21, a + " y")] * 40
+    out = minhash.near_duplicates(df.union(spark.createDataFrame(near, df.schema))).filter("doc_id >= 20").groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, out)) == [(20, 3, False, 40), (21, 3, False, 40)]
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -110,3 +113,38 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 90), (100, 95), (300, 300)]
     out = {r["id"]: r["root"] for r in minhash.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()}
     assert out == {k: 0 for k in range(61)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_residual_keys_lose_no_link():
+    """Any two linked sets that the centre doesn't connect share a key."""
+    rng, seen = np.random.default_rng(8), 0
+    for _ in range(300):
+        base = rng.choice(2**60, 60, replace=False).astype(np.uint64)
+        pool = rng.choice(2**60, 12, replace=False).astype(np.uint64)
+        sets = []
+        for _ in range(14):
+            keep = base[rng.random(60) > rng.choice([0.02, 0.08, 0.15])][: rng.integers(40, 61)]
+            sets.append(np.unique(np.concatenate([keep, pool[rng.random(12) < rng.choice([0.1, 0.4, 0.8])]])))
+        centre = sets[rng.integers(0, 14)]
+        least = min(map(len, sets))
+        keyed = [minhash.residual_keys(centre, s, least, 85) for s in sets]
+        for i in range(14):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and not (keyed[i][0] and keyed[j][0]):
+                    seen += 1
+                    assert len(np.intersect1d(keyed[i][1], keyed[j][1])), (i, j)
+    assert seen > 500
+
+
+def test_large_buckets_are_dealt_anew(spark, chains, monkeypatch):
+    monkeypatch.setattr(minhash, "OPEN_PAIRS", 1)
+    rng, rows = random.Random(9), [t for _, t in chains]
+    hub = [f"g{k}" for k in range(100)]
+    for k in range(60):
+        copy = list(hub)
+        for at in rng.sample(range(100), rng.randint(1, 6)):
+            copy[at] = f"y{rng.randint(0, 3)}"
+        rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
