@@ -282,7 +282,7 @@ def links(summary: DataFrame, texts: DataFrame, scratch: Scratch, percent: int =
         if many.isEmpty():
             return roots
         keyed = found.filter("key is not null").join(many.withColumnRenamed("id", "v"), "v", "left_semi")
-        keyed = keyed.select(F.xxhash64("u", "key").alias("bucket"), F.col("v").alias("id"), "n").distinct()
+        keyed = scratch.keep(keyed.select(F.xxhash64("u", "key").alias("bucket"), F.col("v").alias("id"), "n").distinct())
         buckets = _counted(_mixed(_counted(keyed, scratch), roots).select("bucket", "id", "n"), scratch)
         if buckets.isEmpty():
             return roots
