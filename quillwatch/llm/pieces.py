@@ -13,6 +13,7 @@ table gives an empty table; input columns named like the outputs are replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Distinct words that a task's table holds before it starts anew, and characters in them.
-TABLE_ENTRIES, TABLE_CHARS = 500_000, 64_000_000
+TABLE_ENTRIES, TABLE_CHARS = 300_000, 20_000_000
 #: Characters of texts whose ids are put together at once.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -55,7 +56,7 @@ def _chunks(text: str) -> list[str]:
 
 
 class ChunkTable(dict):
-    """word -> row; row k's ids are flat[start[k]:start[k + 1]]."""
+    """word -> row; row k's ids are flat[start[k]:start[k + 1]]. One a worker process, for all its tasks."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -64,41 +65,43 @@ class ChunkTable(dict):
 
     def renew(self) -> None:
         self.clear()
-        self.flat, self.start, self.chars = [], [0], 0
-        self._arrays = None
-
-    def full(self) -> bool:
-        return len(self) >= TABLE_ENTRIES or self.chars >= TABLE_CHARS
-
-    def __missing__(self, word: str) -> int:
-        # markers alone: the library itself adds the first one to what it is given, but gives nothing for nothing
-        ids = self.model.encode(word) if word else [self.model.piece_to_id(MARK)]
-        self.flat.extend(ids)
-        self.start.append(len(self.flat))
-        self.chars += len(word)
-        self._arrays = None
-        row = self[word] = len(self.start) - 2
-        return row
-
-    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these rows one after the other, and each row's number of ids."""
-        if self._arrays is None:
-            self._arrays = np.array(self.flat, dtype=np.int32), np.array(self.start, dtype=np.int64)
-        flat, start = self._arrays
+        self.flat, self.start, self.chars = array("i"), array("q", [0]), 0
+
+    def learn(self, words: list[str]) -> None:
+        """Segments those of the words that it doesn't know, in one call."""
+        if len(self) >= TABLE_ENTRIES or self.chars >= TABLE_CHARS:
+            self.renew()
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        # the library adds the first marker to what it is given, but gives nothing for nothing: a marker alone
+        for word, ids in zip(new, self.model.encode(new, num_threads=1) if new else ()):
+            self[word] = len(self.start) - 1
+            self.flat.extend(ids if word else [self.model.piece_to_id(MARK)])
+            self.start.append(len(self.flat))
+            self.chars += len(word)
+
+    def gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words one after the other, and each word's number of ids."""
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        flat, start = np.array(self.flat), np.array(self.start)
         first, size = start[rows], start[rows + 1] - start[rows]
         before = np.cumsum(size) - size
         return flat[np.arange(size.sum()) + np.repeat(first - before, size)], size
 
 
+@lru_cache(maxsize=2)
+def _table(path: str) -> ChunkTable:
+    return ChunkTable(path)
+
+
 def _encode_block(texts: list[str], table: ChunkTable) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and the number of ids of each text."""
-    parts, n_chunks = [], []
+    words, ends = [], []
     for text in texts:
-        chunks = _chunks(text) if text else []
-        parts.append(np.fromiter(map(table.__getitem__, chunks), np.int64, len(chunks)))
-        n_chunks.append(len(chunks))
-    ids, size = table.gather(np.concatenate(parts) if parts else np.empty(0, np.int64))
-    ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(n_chunks)]
+        words += _chunks(text) if text else []
+        ends.append(len(words))
+    table.learn(words)
+    ids, size = table.gather(words)
+    ends = np.concatenate([[0], np.cumsum(size)])[ends]
     return ids, np.diff(np.concatenate([[0], ends]))
 
 
@@ -122,12 +125,10 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model_path)
+        table = _table(model_path)
         for batch in batches:
             done = 0
             for block in _blocks([t or "" for t in batch.column(at).to_pylist()], len):
-                if table.full():
-                    table.renew()
                 flat, sizes = _encode_block(block, table)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 part = batch.slice(done, len(block))
@@ -137,6 +138,44 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
     return rest.mapInArrow(run, schema)
 
 
+class DecodedTable(dict):
+    """The ids of a marked word, as bytes -> its text. One a worker process."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.model, self.size = _model(path), 0
+        self.opens = np.array([self.model.id_to_piece(k).startswith(MARK) for k in range(self.model.get_piece_size())])
+
+    def learn(self, keys: list[bytes]) -> None:
+        if len(self) >= TABLE_ENTRIES or self.size >= 4 * TABLE_CHARS:
+            self.clear()
+            self.size = 0
+        new = [k for k in dict.fromkeys(keys) if k not in self]
+        if new:
+            self.size += sum(map(len, new))
+            self.update(zip(new, self.model.decode([np.frombuffer(k, np.int32).tolist() for k in new], num_threads=1)))
+
+
+@lru_cache(maxsize=2)
+def _decoded(path: str) -> DecodedTable:
+    return DecodedTable(path)
+
+
+def _decode_block(rows: list[np.ndarray | None], table: DecodedTable) -> list[str]:
+    keys, ends = [], []
+    for row in rows:
+        if row is not None and len(row):
+            row = np.ascontiguousarray(row, dtype=np.int32)
+            raw = row.tobytes()
+            stops = [*(4 * (np.flatnonzero(table.opens[row[1:]]) + 1)).tolist(), len(raw)]
+            keys += [raw[a:b] for a, b in zip([0, *stops], stops)]
+        ends.append(len(keys))
+    table.learn(keys)
+    words = list(map(table.__getitem__, keys))
+    # each word but the first opens with a marker, which the library strips from what it decodes alone
+    return [" ".join(words[a:b]) for a, b in zip([0, *ends], ends)]
+
+
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """df (or its columns of keep) with the text that the library decodes from each row's ids; null ids are read as none."""
     names = [c for c in (keep if keep is not None else df.columns) if c != text]
@@ -144,26 +183,13 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text",
     schema = df.select(*names, F.lit("").alias(text)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(model_path)
-        opens = np.array([model.id_to_piece(k).startswith(MARK) for k in range(model.get_piece_size())])
-        table: dict[bytes, str] = {}
-
-        def word(key: bytes) -> str:
-            if (found := table.get(key)) is None:
-                if len(table) >= TABLE_ENTRIES:
-                    table.clear()
-                found = table[key] = model.decode(np.frombuffer(key, np.int32).tolist())
-            return found
-
+        table = _decoded(model_path)
         for batch in batches:
-            out = []
-            for value in batch.column(len(names)):
-                row = value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.empty(0, np.int32)
-                row = np.ascontiguousarray(row, dtype=np.int32)
-                cuts = np.flatnonzero(opens[row[1:]]) + 1
-                raw, ends = row.tobytes(), [*(4 * cuts).tolist(), 4 * len(row)]
-                # each later word opens with a marker, which the library strips from what it decodes alone
-                out.append(" ".join(map(word, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)))) if len(row) else "")
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.string())], names=[*names, text])
+            done = 0
+            for block in _blocks(batch.column(len(names)), lambda v: len(v) if v.is_valid else 0):
+                out = _decode_block([v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in block], table)
+                part = batch.slice(done, len(block))
+                done += len(block)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(out, pa.string())], names=[*names, text])
 
     return source.mapInArrow(run, schema)

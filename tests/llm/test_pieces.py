@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -40,15 +41,13 @@ def test_random_texts(spark, model):
     check(run(spark.createDataFrame(texts, "text string")), model)
 
 
-def test_a_full_table_starts_anew(spark, small, model, monkeypatch):
-    table = pieces.ChunkTable(queries.model_path())
-    for limit in (1, 50):
-        monkeypatch.setattr(pieces, "TABLE_ENTRIES", limit)
-        for text in ("a b c a", "c d e f g h"):
-            if table.full():
-                table.renew()
-            ids, sizes = pieces._encode_block([text, ""], table)
-            assert ids.tolist() == model.encode(text) and sizes.tolist() == [len(ids), 0]
+def test_a_full_table_starts_anew(model, monkeypatch):
+    table, back = pieces.ChunkTable(queries.model_path()), pieces.DecodedTable(queries.model_path())
+    monkeypatch.setattr(pieces, "TABLE_ENTRIES", 3)
+    for text in ("a b c a", "c d e f g h", "a", "", "x  y"):
+        ids, sizes = pieces._encode_block([text, "", "a b"], table)
+        assert ids.tolist() == model.encode(text) + model.encode("a b") and sizes.tolist() == [len(model.encode(text)), 0, 2]
+        assert pieces._decode_block([np.array(model.encode(text)), None], back) == [text, ""]
 
 
 def test_query_and_empty_table(spark, small, model):
