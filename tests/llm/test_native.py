@@ -171,3 +171,9 @@ def test_templates_learn_from_labels(spark):
     rows = [(f"http://h.net/spam/x{k}a/p", 1 if k < 30 else None) for k in range(60)] + [(f"http://h.net/good/x{k}a/p", 0 if k < 30 else None) for k in range(60)]
     out = url_filters.judge_urls(spark.createDataFrame(rows, "url string, bad int"), rules=(), label="bad").collect()
     assert {(r["template"], r["verdict"]) for r in out} == {("/spam/*/p", "block"), ("/good/*/p", "allow")}
+
+
+def test_the_rules_own_labels_block_what_varies_beside_them(spark):
+    rows = [(f"http://x.org/es/{k}",) for k in range(12)] + [(f"http://x.org/{c}/{k}",) for k, c in enumerate("abcdefg")]
+    out = url_filters.judge_urls(spark.createDataFrame(rows, "url string")).collect()
+    assert {(r["rule"], r["template"], r["purity"], r["verdict"]) for r in out} == {("org/es/", "/*/{n}", 0.125, "block"), (None, "/*/{n}", 0.125, "block")}
