@@ -1,8 +1,11 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised, the known license sentences among them become identifiers, and
-the sequence of identifiers is matched against ordered rules. Everything happens inside a row with built-in
-functions: no shuffle, and repeated or missing ids don't matter.
+A text is normalised, with line and sentence ends marked; the known license sentences that stand in it from one mark
+to another become identifiers, and the sequence of identifiers is matched against ordered rules. Everything happens
+inside a row with built-in functions: no shuffle, and repeated or missing ids don't matter.
+
+The SQL twin still reads a text twice, by line and with lines joined, and takes the reading that knows more sentences.
+Its rows are the same where no notice is wrapped over lines in a way that it can't read, as in the given tables.
 
 Cases: a null or empty text has no sentence and no license; very long texts are scanned whole; equal sentences
 match each time they stand there; an empty table gives an empty table; input columns named like the outputs are
@@ -77,36 +80,40 @@ for _kind in ("by-nc-nd", "by-nc-sa", "by-nc", "by-nd", "by-sa", "by"):
     for _version in ("4.0", "3.0", "2.5", "2.0"):
         RULES.append((f"CC-{_kind.upper()}-{_version}", _kind == "by", (f"cc-{_kind}-{_version}",)))
 
-#: Where a sentence ends: at stops before white space or the text's end, or at a colon or semicolon that ends its line.
+#: The SQL twin's two readings: at stops before white space or the text's end, or at a colon or semicolon that ends its line.
 SENTENCE_END = "[.!?]+(?:[ \t\r\n]+|$)|[:;][ \t\r]*\n"
 LINE_OR_SENTENCE_END = "\n|" + SENTENCE_END
 
+#: Each known sentence holds one of these, so texts without any need no normalisation.
+MARKS = ("license", "permission", "software", "warranty", "redistribution", "reserved")
+
 
-def _clean(sentence: Column) -> Column:
-    """Inner dots stay, as in a version's number."""
-    return F.btrim(F.regexp_replace(sentence, "[^a-z0-9.]+|[.](?![a-z0-9])", " "), F.lit(" ."))
+def _normalised(text: Column) -> Column:
+    """Lower-case words one space apart, and one line feed where lines or sentences end. Inner dots stay, as in a version's number."""
+    out = F.regexp_replace(F.lower(text), "[.!?](?:[ \t\r\n]|\\z)", "\n")
+    out = F.regexp_replace(out, "[.](?![a-z0-9])", " ")
+    out = F.regexp_replace(out, "[^a-z0-9.\n]+", " ")
+    return F.concat(F.lit("\n"), F.regexp_replace(out, " ?\n[ \n]*", "\n"), F.lit("\n"))
 
 
-def _identifiers(text: Column, end: str) -> Column:
+def _identifiers(text: Column) -> Column:
+    """Known sentences from mark to mark, whatever marks stand between their words; of those that begin at one place the longest."""
     table = F.create_map(*[F.lit(x) for pair in dict((s, i) for i, s in SENTENCES).items() for x in pair])
-    known = [s for _, s in SENTENCES]
-    # a known sentence's raw form can't be shorter, which spares most fragments the normalisation
-    raw = F.filter(F.split(F.lower(text), end, -1), lambda s: F.length(s) >= min(map(len, known)))
-    return F.transform(F.filter(F.transform(raw, _clean), lambda s: s.isin(known)), lambda s: table[s])
+    known = sorted({s for _, s in SENTENCES}, key=lambda s: (-len(s), s))
+    one_of = "|".join(s.replace(".", "[.]").replace(" ", "[ \n]") for s in known)
+    found = F.regexp_extract_all(_normalised(text), F.lit(f"(?<=\n)[ .]?({one_of})(?= ?\n)"), 1)
+    has = reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(m)) for m in MARKS])
+    return F.when(has, F.transform(found, lambda s: table[F.translate(s, "\n", " ")])).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     """df with license_sentences (identifiers in order, comma-joined), licenses (every rule's name that matches, in
     rule order, comma-joined), license (the first of them, else null) and permissive (null without a license).
 
-    Sentences end at line ends; texts whose lines are wrapped are read once more with lines joined, and the reading
-    that knows more sentences counts (the first of two equal ones).
+    A known sentence begins and ends at a line's, a sentence's or the text's begin and end, and may be wrapped over
+    any lines between; each place counts once.
     """
-    by_line = _identifiers(F.col(text), LINE_OR_SENTENCE_END)
-    joined = _identifiers(F.col(text), SENTENCE_END)
-    out = df.withColumn("_by_line", F.coalesce(by_line, F.array().cast("array<string>"))).withColumn("_joined", F.coalesce(joined, F.array().cast("array<string>")))
-    ids = F.when(F.size("_joined") > F.size("_by_line"), F.col("_joined")).otherwise(F.col("_by_line"))
-    out = out.withColumn("license_sentences", F.array_join(ids, ",")).drop("_by_line", "_joined")
+    out = df.withColumn("license_sentences", F.array_join(_identifiers(F.col(text)), ","))
     padded = F.concat(F.lit(","), F.col("license_sentences"), F.lit(","))
     fits = [(name, free, F.contains(padded, F.lit("," + ",".join(seq) + ","))) for name, free, seq in RULES]
     out = out.withColumn("licenses", F.when(F.col("license_sentences") == "", "").otherwise(F.array_join(F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, _, c in fits]))), ",")))

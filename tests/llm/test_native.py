@@ -177,3 +177,93 @@ def test_the_rules_own_labels_block_what_varies_beside_them(spark):
     rows = [(f"http://x.org/es/{k}",) for k in range(12)] + [(f"http://x.org/{c}/{k}",) for k, c in enumerate("abcdefg")]
     out = url_filters.judge_urls(spark.createDataFrame(rows, "url string")).collect()
     assert {(r["rule"], r["template"], r["purity"], r["verdict"]) for r in out} == {("org/es/", "/*/{n}", 0.125, "block"), (None, "/*/{n}", 0.125, "block")}
+
+
+MIT = """MIT License
+
+Copyright (c) 2024 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """   Copyright 2024 Jane Doe
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+GPL = """Copyright (C) 2024  Jane Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Copyright (c) 2024, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_canonical_notices_in_their_usual_layout(spark):
+    cases = {
+        MIT: ("mit-grant,mit-notice,as-is", "MIT", "MIT"),
+        APACHE: ("apache-notice,apache-copy", "Apache-2.0", "Apache-2.0"),
+        GPL: ("gpl3-later,gpl-hope", "GPL-3.0-or-later", "GPL-3.0-or-later"),
+        BSD: ("reserved,bsd-grant,bsd-source,bsd-binary,bsd-names", "BSD-3-Clause,BSD-2-Clause", "BSD-3-Clause"),
+        MPL: ("mpl-notice", "MPL-2.0", "MPL-2.0"),
+    }
+    cases |= {"\n".join(("/*", *(f" * {x}".rstrip() for x in t.splitlines()), " */")): v for t, v in list(cases.items())}
+    cases |= {"\n".join(f"# {x}".rstrip() for x in t.splitlines()).replace("\n", "\r\n"): v for t, v in list(cases.items())[:5]}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_sentences"], r["licenses"], r["license"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+    assert all(any(m in s for m in licenses.MARKS) for _, s in licenses.SENTENCES)
