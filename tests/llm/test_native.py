@@ -267,3 +267,10 @@ def test_canonical_notices_in_their_usual_layout(spark):
     got = {r["doc_id"]: (r["license_sentences"], r["licenses"], r["license"]) for r in licenses.scan_licenses(df).collect()}
     assert got == dict(enumerate(cases.values()))
     assert all(any(m in s for m in licenses.MARKS) for _, s in licenses.SENTENCES)
+
+
+def test_one_line_and_wrapped_notices_in_one_text(spark):
+    text = GPL + "\nSPDX-License-Identifier: MIT\nLicensed under CC BY 4.0\nReleased under the MIT License\n" + MIT
+    r = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).first()
+    assert r["license_sentences"] == "gpl3-later,gpl-hope,mit-name,cc-by-4.0,mit-name,mit-grant,mit-notice,as-is"
+    assert (r["licenses"], r["license"], r["permissive"]) == ("GPL-3.0-or-later,MIT,CC-BY-4.0", "GPL-3.0-or-later", False)
