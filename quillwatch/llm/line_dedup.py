@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency.
 
 For each host, the number of its pages that hold a line is divided by the host's page total; lines above a ratio
-are boilerplate and are dropped from every page of that host.
+that stand on a least number of pages are boilerplate and are dropped from every page of that host, however small.
 
 Cases: a null text stays null and counts as a page without lines; a null host is a host of its own; a line without
 any character but white space is never dropped; a line counts once a page however often it stands there; repeated
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 MAX_RATIO = 0.1
-#: Fewer pages than this say nothing of what is common on a host.
-MIN_HOST_PAGES = 20
+#: A line on fewer pages than this says nothing of what is common on a host; from 20 pages on the ratio asks for as many.
+MIN_LINE_PAGES = 3
 #: Boilerplate lists of all hosts together up to this many lines (16 bytes each) are broadcast; above, both sides are shuffled.
 BROADCAST_LINES = 100_000
 
@@ -36,7 +36,7 @@ def _is_blank(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\f\r")) == ""
 
 
-def boilerplate(df: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_host_pages: int = MIN_HOST_PAGES) -> DataFrame:
+def boilerplate(df: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_host_pages: int = 1, min_line_pages: int = MIN_LINE_PAGES) -> DataFrame:
     """Rows (host, key, n_pages, host_pages) of the lines above the ratio.
 
     A page's lines are reduced to distinct 16-byte keys before the shuffle and counted by partial aggregates, so
@@ -46,16 +46,19 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", max_rat
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: ~_is_blank(x)), _key))
     counts = pages.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n_pages"))
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= min_host_pages)
-    # min_host_pages bounds what a line must reach on any host, so most lines go before the join
-    counts = counts.filter(F.col("n_pages") > max_ratio * min_host_pages)
+    # both least numbers bound what a line must reach on any host, so most lines go before the join
+    counts = counts.filter((F.col("n_pages") >= min_line_pages) & (F.col("n_pages") > max_ratio * min_host_pages))
     joined = counts.alias("c").join(totals.alias("t"), F.expr("c.host <=> t.host"))
     return joined.select("c.host", "key", "n_pages", "host_pages").filter(F.col("n_pages") > F.lit(max_ratio) * F.col("host_pages"))
 
 
-def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_host_pages: int = MIN_HOST_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """df with the text less its host's boilerplate, and n_lines_dropped. A column of that name is replaced."""
+def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_host_pages: int = 1, broadcast_lines: int = BROADCAST_LINES, min_line_pages: int = MIN_LINE_PAGES) -> DataFrame:
+    """df with the text less its host's boilerplate, and n_lines_dropped. A column of that name is replaced.
+
+    Hosts with fewer than min_host_pages pages, none by default, keep all lines.
+    """
     scratch = Scratch(df.sparkSession)
-    found = scratch.keep(boilerplate(df, host, text, max_ratio, min_host_pages).groupBy("host").agg(F.collect_list("key").alias("_keys"), F.count("*").alias("_n")))
+    found = scratch.keep(boilerplate(df, host, text, max_ratio, min_host_pages, min_line_pages).groupBy("host").agg(F.collect_list("key").alias("_keys"), F.count("*").alias("_n")))
     n_lines = found.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     lists = found.select(F.col("host").alias("_host"), "_keys")
     lists = F.broadcast(lists) if n_lines <= broadcast_lines else lists

@@ -274,3 +274,11 @@ def test_one_line_and_wrapped_notices_in_one_text(spark):
     r = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).first()
     assert r["license_sentences"] == "gpl3-later,gpl-hope,mit-name,cc-by-4.0,mit-name,mit-grant,mit-notice,as-is"
     assert (r["licenses"], r["license"], r["permissive"]) == ("GPL-3.0-or-later,MIT,CC-BY-4.0", "GPL-3.0-or-later", False)
+
+
+def test_small_hosts_lose_their_boilerplate(spark):
+    rows = [(h, f"menu\nown {k}\nfew {k % 2}") for h, n in (("a", 19), ("b", 3), ("c", 2), (None, 5)) for k in range(n)] + [("d", f"own {k}" + "\nrare" * (k < 3)) for k in range(30)]
+    got = {(r["source"], r["text"], r["n_lines_dropped"]) for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "source string, text string")).collect()}
+    want = {("a", f"own {k}", 2) for k in range(19)} | {("b", f"own {k}\nfew {k % 2}", 1) for k in range(3)} | {("c", f"menu\nown {k}\nfew {k}", 0) for k in range(2)}
+    want |= {(None, f"own {k}" + "\nfew 1" * (k % 2), 2 - k % 2) for k in range(5)} | {("d", f"own {k}" + "\nrare" * (k < 3), 0) for k in range(30)}
+    assert got == want
