@@ -12,8 +12,11 @@ Skew: URLs are counted by (host, shape) before any level, counts are partial agg
 sort-merge joins, which adaptive execution splits.
 
 Cases: null URLs and those without ``://`` have an empty host and path, form a host of their own and get a verdict
-like any other; repeated rows count each; very long URLs are read whole, but their tree ends at MAX_DEPTH; an empty
-table gives an empty table; input columns named like the outputs are replaced.
+like any other; repeated rows count each; very long URLs are read whole, and the tree goes on until no path has a
+further segment; an empty table gives an empty table; input columns named like the outputs are replaced.
+
+Depth: below MAX_DEPTH levels each round takes the paths of a template over all that they share to where they branch
+next, so the rounds are as many as a path has branchings, not segments. Only paths not yet at their end are written again.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ RULES = (
     ("block", "org/es/"),
 )
 MAX_RULES = 1000
+#: Levels dealt with one by one, with all paths, which are all that the SQL twin has; the tree itself has no last level.
 MAX_DEPTH = 4
 #: A level varies when it has at least so many values, and fewer than so many URLs for each of them.
 MIN_VALUES, MAX_URLS_A_VALUE = 8, 3
@@ -75,33 +79,58 @@ def _general(segment: Column) -> Column:
 
 
 def _shape(path: Column) -> Column:
-    """Up to MAX_DEPTH general segments; ``**`` stands for what follows."""
+    """All segments, general."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
-    head = F.transform(F.slice(parts, 1, MAX_DEPTH), _general)
-    return F.when(path == "", F.array().cast("array<string>")).when(F.size(parts) > MAX_DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(F.transform(parts, _general))
+
+
+def _branch(level: DataFrame, scratch: Scratch) -> DataFrame:
+    """level with the first segment of rest moved to the template, as ``*`` where it merges."""
+    here = level.withColumn("segment", F.get("rest", F.lit(0)))
+    branch = here.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    branch = scratch.keep(branch)
+    whole = branch.groupBy("host", "template").agg(F.count("*").alias("branches"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
+    both = branch.join(whole, ["host", "template"])
+    siblings = (F.col("all_bad") - F.col("bad") + 1) / (F.col("all_labelled") - F.col("labelled") + 2)
+    apart = F.abs((F.col("bad") + 1) / (F.col("labelled") + 2) - siblings)
+    # a branch without labels is no evidence, and only joins siblings that have none either
+    compared = (F.col("labelled") > 0) & (F.col("all_labelled") > F.col("labelled"))
+    similar = (F.col("all_labelled") == 0) | compared & (apart <= MAX_DEVIATION * F.sqrt(siblings * (1 - siblings) / (F.col("labelled") + 2)))
+    varies = (F.col("branches") >= MIN_VALUES) & (F.col("all_n") < MAX_URLS_A_VALUE * F.col("branches"))
+    merges = (F.col("branches") >= MIN_BRANCHES) & (2 * F.col("n") < F.col("all_n")) & similar
+    merged = both.select("host", "template", "segment", (varies | merges).alias("wild"))
+    joined = here.join(merged, ["host", "template", "segment"], "left")
+    name = F.when(F.col("segment").isNull(), "").when(F.coalesce("wild", F.lit(False)), "/*").otherwise(F.concat(F.lit("/"), F.col("segment")))
+    rest = F.when(F.col("segment").isNull(), F.col("rest")).otherwise(F.expr("slice(rest, 2, size(rest))"))
+    return scratch.keep(joined.withColumn("template", F.concat("template", name)).withColumn("rest", rest).select(*level.columns))
+
+
+def _to_next_branch(level: DataFrame, scratch: Scratch) -> DataFrame:
+    """level with the segments up to where a template's paths first differ moved to the template; a path that ends before is no difference."""
+    longest = level.groupBy("host", "template").agg(F.max("rest").alias("_most"))
+    both = scratch.keep(level.join(longest, ["host", "template"]))
+    differs = F.expr("array_position(zip_with(rest, slice(_most, 1, size(rest)), (x, y) -> x <=> y), false)")
+    shared = both.groupBy("host", "template").agg(F.min(F.when(differs > 0, differs - 1).otherwise(F.size("_most"))).cast("int").alias("_shared"))
+    out = both.join(shared, ["host", "template"])
+    name = F.concat(F.col("template"), F.expr("array_join(transform(slice(rest, 1, _shared), x -> concat('/', x)), '')"))
+    return scratch.keep(out.withColumn("template", name).withColumn("rest", F.expr("slice(rest, _shared + 1, size(rest))")).select(*level.columns))
 
 
 def template_tree(counts: DataFrame, scratch: Scratch) -> DataFrame:
     """counts: (host, shape, n, bad, labelled). Adds template: the shape with merged segments as ``*``."""
-    level = scratch.keep(counts.withColumn("template", F.lit("")))
-    for depth in range(MAX_DEPTH):
-        here = level.withColumn("segment", F.get("shape", F.lit(depth)))
-        branch = here.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-        branch = scratch.keep(branch)
-        whole = branch.groupBy("host", "template").agg(F.count("*").alias("branches"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
-        both = branch.join(whole, ["host", "template"])
-        siblings = (F.col("all_bad") - F.col("bad") + 1) / (F.col("all_labelled") - F.col("labelled") + 2)
-        apart = F.abs((F.col("bad") + 1) / (F.col("labelled") + 2) - siblings)
-        # a branch without labels is no evidence, and only joins siblings that have none either
-        compared = (F.col("labelled") > 0) & (F.col("all_labelled") > F.col("labelled"))
-        similar = (F.col("all_labelled") == 0) | compared & (apart <= MAX_DEVIATION * F.sqrt(siblings * (1 - siblings) / (F.col("labelled") + 2)))
-        varies = (F.col("branches") >= MIN_VALUES) & (F.col("all_n") < MAX_URLS_A_VALUE * F.col("branches"))
-        merges = (F.col("branches") >= MIN_BRANCHES) & (2 * F.col("n") < F.col("all_n")) & similar
-        merged = both.select("host", "template", "segment", (varies | merges).alias("wild"))
-        joined = here.join(merged, ["host", "template", "segment"], "left")
-        name = F.when(F.col("segment").isNull(), "").when(F.coalesce("wild", F.lit(False)), "/*").otherwise(F.concat(F.lit("/"), F.col("segment")))
-        level = scratch.keep(joined.withColumn("template", F.concat("template", name)).select(*level.columns))
-    return level
+    level = scratch.keep(counts.withColumn("template", F.lit("")).withColumn("rest", F.col("shape")))
+    for _ in range(MAX_DEPTH):
+        level = _branch(level, scratch)
+    ended = []
+    while not (deeper := level.filter(F.size("rest") > 0)).isEmpty():
+        ended.append(level.filter(F.size("rest") == 0))
+        if len(ended) > 16:
+            ended = [scratch.keep(reduce(DataFrame.union, ended))]
+        level = _to_next_branch(deeper, scratch)
+        if not (deeper := level.filter(F.size("rest") > 0)).isEmpty():
+            ended.append(level.filter(F.size("rest") == 0))
+            level = _branch(deeper, scratch)
+    return reduce(DataFrame.union, [*ended, level]).drop("rest")
 
 
 def judge_urls(df: DataFrame, url: str = "url", rules=RULES, label: str | None = None) -> DataFrame:

@@ -282,3 +282,13 @@ def test_small_hosts_lose_their_boilerplate(spark):
     want = {("a", f"own {k}", 2) for k in range(19)} | {("b", f"own {k}\nfew {k % 2}", 1) for k in range(3)} | {("c", f"menu\nown {k}\nfew {k}", 0) for k in range(2)}
     want |= {(None, f"own {k}" + "\nfew 1" * (k % 2), 2 - k % 2) for k in range(5)} | {("d", f"own {k}" + "\nrare" * (k < 3), 0) for k in range(30)}
     assert got == want
+
+
+def test_templates_learn_at_any_depth(spark):
+    labelled = lambda k: 1 if k < 30 else None
+    rows = [(f"http://h.net/a/b/c/d/spam/x{k}a/p", labelled(k)) for k in range(60)] + [(f"http://h.net/a/b/c/d/good/x{k}a/p", labelled(k) and 0) for k in range(60)]
+    rows += [("http://h.net/a/b/c/d", None), ("http://h.net/a/b/c/d/good", None), ("http://h.net/" + "a/" * 500, None)] + [("http://i.net" + "/a" * k, 0) for k in range(40)]
+    out = url_filters.judge_urls(spark.createDataFrame(rows, "url string, bad int"), rules=(), label="bad").collect()
+    assert len(out) == len(rows)
+    assert {(r["template"], r["verdict"]) for r in out if "/c/" in r["url"]} == {("/a/b/c/d/spam/*/p", "block"), ("/a/b/c/d/good/*/p", "allow"), ("/a/b/c/d", "allow"), ("/a/b/c/d/good", "allow")}
+    assert all(r["template"] == r["path"] for r in out if "/c/" not in r["url"])
