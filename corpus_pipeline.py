@@ -27,7 +27,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group, by similarities of 0.85 or more, the document with the least id stays."""
+    """Of each near-duplicate group, by similarities of 0.85 or more, the document with the least id stays.
+
+    Ids go, not rows: all rows of a kept id stay, and all rows with a null id, copies or not.
+    """
     return minhash.drop_near_duplicates(docs)
 
 

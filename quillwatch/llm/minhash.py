@@ -308,6 +308,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with df's columns."""
+    """One document of each group, with df's columns: all rows of its id, and all rows with a null id."""
     gone = near_duplicates(df, key, text, percent).filter("not kept").select(key).distinct()
     return df.join(gone, key, "left_anti").select(*df.columns)
