@@ -7,18 +7,23 @@ bands put classes into buckets. In each bucket the edges form a star around one
 with the others, so a bucket of k classes has k - 1 candidate pairs. Each pair is confirmed on the full shingle sets
 of both whole texts.
 
-A star can miss links between two classes that its centre isn't linked to. In a bucket with few pairs that no path
-connects yet, ``OPEN_PAIRS`` for each of its classes at most, those are tested. A bucket with more is dealt anew: two of
-its classes can only be linked without the centre if they share shingles that it lacks, or are of certain sizes below
-its own (`residual_keys`), so these make the buckets of a next round, with stars of their own and a higher limit.
-Rounds end when no bucket is left: no link between two classes of a bucket is lost, and neither the pairs nor the
-buckets' rows grow with the square of a group.
-
-With 20 bands of 4 bins a pair of similarity 0.85 shares no bucket with a chance of (1 - 0.85**4)**20 = 4e-7.
-
-Memory and skew: classes absorb exact copies through partial aggregates; stars and tested pairs are joined by
+A star can miss links between two classes that its centre isn't linked to. So buckets that hold classes of several
+components are dealt anew by what their members have and their centre lacks (`redeal`): two sets have at most what
+each shares with the centre in common, and the shingles that both have and it lacks; where the first can't suffice
+for a link, they share enough of the latter, and then one of the first few of them in any common order. The order is
+from rare to common among the centre's members, and shingles of one member alone are left out, so the new buckets are
+few and small. They get stars of their own, around ``MORE`` times as many centres in each round, ``MOST_CENTRES`` at
+most; the number of pairs is therefore bounded by the number of members times that of centres, whatever a group's
+size. A centre that all members were held against isn't dealt again, so buckets shrink and rounds end. No link between
+two classes of a bucket is lost.
+
+With 20 bands of 4 bins a pair of similarity 0.85 shares no bucket with a chance of (1 - 0.85**4)**20 = 4e-7, one of
+0.80 with 3e-5.
+
+Memory and skew: classes absorb exact copies through partial aggregates; stars and their texts are joined by
 sort-merge joins, which adaptive execution splits for hot keys; connected components are found by large-star and
-small-star steps over tables in the shared folder. Nothing but row counts comes to the driver.
+small-star steps over tables in the shared folder. Nothing but row counts comes to the driver. The tables of a round
+are dropped when the next one begins.
 
 Cases: null or empty texts and texts of white space have an empty set and are linked with nothing; fewer than five
 words are one shingle; rows that repeat an id count as one document with several texts; rows with a null id link
@@ -29,11 +34,12 @@ very long texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch
@@ -42,8 +48,8 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 20, 4
 BINS = BANDS * ROWS
-#: Buckets may test so many unconnected pairs for each of their classes; four times as many in each further round.
-OPEN_PAIRS = 16
+#: Buckets of the bands have one centre each, those of each further round so many times as many, up to a number.
+MORE, MOST_CENTRES = 4, 64
 #: Words whose hashes a task keeps.
 WORD_TABLE = 1_000_000
 
@@ -113,76 +119,65 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 
 def summarise(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, n_shingles, digest of the set, bands); digest and bands are null for empty sets."""
-    source = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    schema = "id " + source.schema["id"].dataType.simpleString() + ", n_shingles long, digest binary, bands array<long>"
+    """Rows (id, h: hash of the text, n_shingles, digest of the set, bands); digest and bands are null for empty sets."""
+    source = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    schema = "id " + source.schema["id"].dataType.simpleString() + ", h long, n_shingles long, digest binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
             sizes, digests, bands = [], [], []
-            for value in batch.column(1).cast(pa.binary()):
+            for value in batch.column(2).cast(pa.binary()):
                 s = shingle_set(value.as_py(), table)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(bands_of(signature(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "h", "n_shingles", "digest", "bands"])
 
     return source.mapInArrow(run, schema)
 
 
-def residual_keys(centre: np.ndarray, other: np.ndarray, least: int, percent: int) -> tuple[bool, np.ndarray]:
-    """Whether two sets are linked, and keys of which other shares one with every set that it is linked to.
-
-    That holds among sets of at least least shingles that are held against the same centre and aren't both linked to
-    it. Two sets have at most what each shares with the centre in common, and the shingles that both have and it
-    lacks. So where sharing with the centre can't suffice, they share enough of the latter, and then one of the first
-    few of them by hash; a set that is close to the centre but not linked may reach sets smaller than the centre
-    without them, which sizes below the centre's tell.
-    """
+def held_against(centre: np.ndarray, other: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many shingles two sets share, and those that other has alone."""
     at = np.minimum(np.searchsorted(centre, other), len(centre) - 1)
     shared = centre[at] == other
-    both, n = int(shared.sum()), len(other)
-    need = lambda size: -(-percent * (n + size) // (100 + percent))  # noqa: E731  in common with a set of that size
-    linked = both >= need(len(centre))
-    smallest = max(least, -(-percent * n // 100))
-    more = other[~shared]
-    short = need(smallest) - both
-    keys = more[: max(0, len(more) - short + 1)] if short > 0 else more
-    sizes = [n] if n < len(centre) else []
-    if not linked:
-        sizes += range(smallest, (100 + percent) * both // percent - n + 1)
-    return linked, np.concatenate([keys, np.array(sorted(set(sizes)), dtype=np.uint64)]).view(np.int64)
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(u, v, n, key) for pairs (u, v, least): with a null key where the full sets are linked; where least isn't null,
-    also v's residual keys against u and the size n of v's set. texts: (id, text)."""
-    kind = pairs.schema["u"].dataType.simpleString()
+    return int(shared.sum()), other[~shared]
+
+
+def _need(a: Column | int, b: Column | int, percent: int) -> Column:
+    """The least intersection of two linked sets of these sizes."""
+    return F.floor((percent * (a + b) + 99 + percent) / (100 + percent)).cast("long")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """pairs (u, v, n_u, n, main, more columns) with linked, both (shingles in common) and more (v's others, of main pairs only).
+
+    texts: (id, text). Sizes are those of the full sets of whole texts.
+    """
+    names = pairs.columns
     joined = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-    joined = joined.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").select("u", "v", "least", "text_u", "text_v")
+    joined = joined.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").select(*names, "text_u", "text_v")
+    schema = pairs.select("*", F.lit(True).alias("linked"), F.lit(0).cast("long").alias("both"), F.array().cast("array<long>").alias("more")).schema
+    at_main = names.index("main")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last, left = WordHashes(), None, None
         for batch in batches:
-            rows, sizes, found = [], [], []
-            leasts, left_texts, right_texts = batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()), batch.column(4).cast(pa.binary())
-            for k, (least, left_text, right_text) in enumerate(zip(leasts, left_texts, right_texts)):
+            linked, both, more = [], [], []
+            left_texts, right_texts = batch.column(len(names)).cast(pa.binary()), batch.column(len(names) + 1).cast(pa.binary())
+            for main, left_text, right_text in zip(batch.column(at_main).to_pylist(), left_texts, right_texts):
                 left_text = left_text.as_py()
                 if left is None or left_text != last:  # a star's rows follow each other
                     last, left = left_text, shingle_set(left_text, table)
                 right = shingle_set(right_text.as_py(), table)
-                if not len(left) or not len(right):
-                    continue
-                linked, keys = residual_keys(left, right, least or 0, percent)
-                keys = [None] * linked + (keys.tolist() if least is not None else [])
-                rows += [k] * len(keys)
-                sizes += [len(right)] * len(keys)
-                found += keys
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()), pa.array(found, pa.int64())], names=["u", "v", "n", "key"])
+                shared, others = held_against(left, right)
+                linked.append(100 * shared >= percent * (len(left) + len(right) - shared))
+                both.append(shared)
+                more.append(others.view(np.int64) if main else [])
+            columns = [*batch.columns[: len(names)], pa.array(linked, pa.bool_()), pa.array(both, pa.int64()), pa.array(more, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "linked", "both", "more"])
 
-    return joined.mapInArrow(run, f"u {kind}, v {kind}, n long, key long")
+    return joined.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -191,7 +186,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Large-star and small-star steps, both in one job, until each node hangs on one root that hangs on nothing; minima
     are partial aggregates.
     """
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+    now, last = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"), None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -199,94 +194,129 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = scratch.keep(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        if last is not None:
+            scratch.drop(last)
+        last = now
         ends = now.select(F.col("u").alias("id"), F.lit(1).alias("below")).union(now.select(F.col("v").alias("id"), F.lit(0).alias("below")))
         hung = ends.groupBy("id").agg(F.sum("below").alias("below"), F.count("*").alias("k"))
         if hung.filter("below > 1 or (below = 1 and k > 1)").isEmpty():
-            return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-
-
-def _similar_sizes(a, b, percent: int):
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
+            roots = scratch.keep(now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()))
+            scratch.drop(now)
+            return roots
 
 
-def _counted(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """members (bucket, id, n) of buckets of two or more, with the bucket's size."""
+def _band_buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (bucket, id, n, far, own) of the bands' buckets of two or more; those that share most are the least far."""
+    members = classes.select("id", "n", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    return scratch.keep(members.join(sizes, "bucket").select("bucket", "id", "n", "size"))
+    members = scratch.keep(members.join(sizes, "bucket"))
+    reach = members.groupBy("id").agg((-F.sum("size")).alias("far"))
+    out = scratch.keep(members.join(reach, "id").select("bucket", "id", "n", "far", F.xxhash64("id").alias("own")))
+    scratch.drop(members)
+    return out
 
 
-def _stars(buckets: DataFrame, percent: int, limit: int) -> DataFrame:
-    """(a, b, u, v, least): each bucket's star around the member that shares most with all others, in any bucket.
+def stars(members: DataFrame, centres: int, percent: int) -> DataFrame:
+    """Pairs (u, v, n_u, n, own_u, own, main, also) of every bucket's stars, around its so many least far members.
 
-    least is the size of the smallest member of the centre's large buckets, and null in small ones, where pairs of
-    too different sizes are left out.
+    main: u is the first centre of a bucket with v; also: v is a centre in all such buckets. Pairs of another centre
+    are left out where a component or too different sizes say all.
+    """
+    row = F.struct("far", (-F.col("n")).alias("less"), "id", "own")
+    if centres == 1:
+        top = members.groupBy("bucket").agg(F.array(F.min(row)).alias("top"))
+    else:  # the rank's limit applies before the shuffle
+        ranked = members.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("far", F.desc("n"), "id", "own")))
+        top = ranked.filter(F.col("k") <= centres).groupBy("bucket").agg(F.sort_array(F.collect_list(row)).alias("top"))
+    joined = members.join(top, "bucket").select("top", row.alias("row"))
+    each = joined.select("row", F.get("top", F.lit(0)).alias("first"), F.element_at("top", -1).alias("last"), F.explode(F.filter("top", lambda t: t < F.col("row"))).alias("c"))
+    main, also = F.col("c") == F.col("first"), F.col("row") <= F.col("last")
+    pairs = each.select(F.col("c.id").alias("u"), F.col("row.id").alias("v"), (-F.col("c.less")).alias("n_u"), (-F.col("row.less")).alias("n"), F.col("c.own").alias("own_u"), F.col("row.own").alias("own"), main.alias("main"), also.alias("also"))
+    similar = (100 * F.least("n", "n_u")) >= (percent * F.greatest("n", "n_u"))
+    pairs = pairs.filter(F.col("main") | ((F.col("own") != F.col("own_u")) & similar)).filter("u <> v")
+    return pairs.groupBy("u", "v", "n_u", "n", "own_u", "own").agg(F.max("main").alias("main"), F.min(F.when(F.col("main"), F.col("also"))).alias("also"))
+
+
+def redeal(confirmed: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Members (bucket, id, n, far, own) of buckets in which all links between classes that a star left apart must lie.
+
+    Two sets x and y of a star that aren't both linked to its centre u have min(|x & u|, |y & u|) shingles in common with it
+    at most. If that can't make them a link, they share shingles that u lacks, and each deals itself to the first of
+    those that it can't do without. If it can, the one that isn't linked to u reaches a y smaller than u: it deals
+    itself to all sizes that it may reach so, and every set smaller than u to its own.
     """
-    reach = buckets.groupBy("id").agg(F.sum("size").alias("reach"))
-    order = F.struct("reach", "n", "id")
-    centres = buckets.join(reach, "id").groupBy("bucket").agg(F.max(order).alias("c")).select("bucket", F.col("c.id").alias("u"), F.col("c.n").alias("n_u"))
-    large = F.col("size") > limit
-    stars = buckets.join(centres, "bucket").filter("id <> u").filter(large | _similar_sizes(F.col("n"), F.col("n_u"), percent))
-    stars = stars.groupBy("u", F.col("id").alias("v")).agg(F.min(F.when(large, F.least("n", "n_u"))).alias("least"))
-    smallest = stars.groupBy("u").agg(F.min("least").alias("smallest"))
-    stars = stars.join(smallest, "u").select("u", "v", F.when(F.col("least").isNotNull(), F.col("smallest")).alias("least"))
-    return stars.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "u", "v", "least")
-
-
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members of buckets that hold several components, with each one's root, and in how many pairs of the bucket no
-    path connects the two, for each member."""
-    labelled = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    counts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("own"))
-    several = counts.filter("own < k * k").select("bucket", ((F.col("k") * F.col("k") - F.col("own")) / (2 * F.col("k"))).alias("open_pairs"))
-    return labelled.join(several, "bucket")
-
-
-def links(summary: DataFrame, texts: DataFrame, scratch: Scratch, percent: int = PERCENT, ties: DataFrame | None = None) -> DataFrame:
-    """Components (id, root) of classes linked by the similarity, or by the edges (u, v) of ties.
-
-    summary: (id, n, bands), one row a class. Classes that nothing links are left out.
+    main = confirmed.filter("main")
+    opened = main.filter("not linked and own <> own_u").select("u").distinct()
+    n, n_u, both = F.col("n"), F.col("n_u"), F.col("both")
+    smallest = F.floor((percent * n + 99) / 100).cast("long")
+    rest = main.filter("not also").join(opened, "u", "left_semi").select(
+        "u", F.col("v").alias("id"), "n", "n_u", "own", "both", "linked", "more", F.size("more").cast("long").alias("far"),
+        F.when(F.col("linked"), F.col("own_u")).otherwise(F.col("own")).alias("side"), (_need(n, smallest, percent) - both).alias("short"), smallest.alias("low"),
+        F.least(F.floor((100 + percent) * both / percent).cast("long") - n, n_u - 1).alias("high"),
+    )
+    each = rest.select("u", "id", "n", "own", "far", "side", "short", F.explode("more").alias("x"))
+    shared = each.groupBy("u", "x").agg(F.count("*").alias("c")).filter("c > 1")
+    lists = each.join(shared, ["u", "x"]).groupBy("u", "id", "n", "own", "far", "side", "short").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("keys"))
+    first = F.when(F.col("short") > 0, F.greatest(F.lit(0), F.size("keys") - F.col("short") + 1)).otherwise(F.size("keys")).cast("int")
+    common = ["id", "n", "far", "own", "side"]
+    by_key = lists.select("u", *common, F.explode(F.slice("keys", F.lit(1), first)).alias("key")).select(F.xxhash64("u", "key.x").alias("bucket"), *common, F.lit(True).alias("seeks"))
+    reaches = ~F.col("linked") & (F.col("low") <= F.col("high"))
+    sought = F.when(reaches, F.transform(F.sequence("low", F.greatest("low", "high")), lambda s: F.struct(s.alias("size"), F.lit(True).alias("seeks")))).otherwise(F.array())
+    alone = (n < n_u) & ~(reaches & n.between(F.col("low"), F.col("high")))
+    owned = F.when(alone, F.array(F.struct(n.alias("size"), F.lit(False).alias("seeks")))).otherwise(F.array())
+    by_size = rest.select("u", *common, F.explode(F.concat(owned, sought)).alias("s")).select(F.xxhash64("u", F.lit("size"), "s.size").alias("bucket"), *common, "s.seeks")
+    dealt = scratch.keep(by_key.union(by_size))
+    mixed = dealt.groupBy("bucket").agg(F.min("side").alias("a"), F.max("side").alias("b"), F.max("seeks").alias("seeks")).filter("a <> b and seeks").select("bucket")
+    out = scratch.keep(dealt.join(mixed, "bucket").select("bucket", "id", "n", "far", "own"))
+    scratch.drop(dealt)
+    return out
+
+
+def _merged(roots: DataFrame, later: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """roots after the edges of later, which mostly lie within components already."""
+    edges = reduce(DataFrame.union, later)
+    for end in ("u", "v"):
+        edges = edges.join(roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    edges = scratch.keep(edges.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).filter("u <> v").distinct())
+    if edges.isEmpty():
+        return roots
+    moved = components(edges, scratch).select(F.col("id").alias("old"), F.col("root").alias("new"))
+    known = roots.join(moved, F.col("root") == F.col("old"), "left").select("id", F.coalesce("new", "root").alias("root"))
+    fresh = moved.join(roots, F.col("id") == F.col("old"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("root"))
+    return scratch.keep(known.union(fresh))
+
+
+def links(classes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int = PERCENT, ties: DataFrame | None = None) -> DataFrame:
+    """Components (id, root) of classes (id, n, bands) linked by the similarity, or by the edges (u, v) of ties.
+
+    texts: (id, text), with rows for classes at least; repeated ones must be equal. Classes that nothing links are left out.
     """
-    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        known = [] if old is None else [old.select(F.col("id").alias("u"), F.col("root").alias("v"))]
-        known += [ties] if old is None and ties is not None else []
-        for e in known:
-            new = new.union(e)
-        return scratch.keep(components(new, scratch))
-
-    buckets = _counted(summary.select("id", "n", F.explode("bands").alias("bucket")), scratch)
-    # the texts that any pair can need are shuffled once, and all rounds read them; repeated rows give one
-    texts = texts.join(buckets.select("id").distinct(), "id", "left_semi").withColumn("h", F.xxhash64("text"))
-    texts = scratch.keep(texts.dropDuplicates(["id", "h"]).drop("h"))
-    tested, roots, limit = None, None, OPEN_PAIRS
+    members = _band_buckets(classes, scratch)
+    # the texts that any pair can need are shuffled once, and all rounds read them
+    texts = scratch.keep(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    roots, later, centres = None, [], 1
     while True:
-        stars = _stars(buckets, percent, limit)
-        if tested is not None:  # a large bucket's star gives keys, even where its pairs were tested before
-            stars = stars.filter("least is not null").union(stars.filter("least is null").join(tested, ["a", "b"], "left_anti").select(*stars.columns))
-        stars = scratch.keep(stars)
-        found = scratch.keep(_confirm(stars.select("u", "v", "least"), texts, percent))
-        tested = stars.select("a", "b") if tested is None else tested.union(stars.select("a", "b"))
-        roots = merge(roots, found.filter("key is null").select("u", "v"))
-        # buckets with few pairs a member that no path connects yet: those pairs
-        mixed = scratch.keep(_mixed(buckets, roots))
-        left = mixed.filter((F.col("open_pairs") <= limit) | (F.col("size") <= limit))
-        other = left.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-        rest = left.join(other, "bucket").filter("id < b and root <> root_b").filter(_similar_sizes(F.col("n"), F.col("n_b"), percent))
-        rest = rest.select(F.col("id").alias("a"), "b").distinct()
-        rest = scratch.keep(rest.join(tested, ["a", "b"], "left_anti"))
-        more = scratch.keep(_confirm(rest.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(None).cast("long").alias("least")), texts, percent).select("u", "v"))
-        tested = tested.union(rest)
-        # the others: dealt anew by what their members have and their centres lack
-        many = mixed.filter((F.col("open_pairs") > limit) & (F.col("size") > limit)).select("id").distinct()
-        if not more.isEmpty():
-            roots = merge(roots, more)
-        if many.isEmpty():
-            return roots
-        keyed = found.filter("key is not null").join(many.withColumnRenamed("id", "v"), "v", "left_semi")
-        keyed = scratch.keep(keyed.select(F.xxhash64("u", "key").alias("bucket"), F.col("v").alias("id"), "n").distinct())
-        buckets = _counted(_mixed(_counted(keyed, scratch), roots).select("bucket", "id", "n"), scratch)
-        if buckets.isEmpty():
-            return roots
-        limit *= 4
+        pairs = scratch.keep(stars(members, centres, percent))
+        scratch.drop(members)
+        done = scratch.keep(confirm(pairs, texts, percent))
+        scratch.drop(pairs)
+        linked = done.filter("linked").select("u", "v")
+        if roots is None:
+            roots = components(linked if ties is None else linked.union(ties), scratch)
+            plain = done
+            for end, own in (("u", "own_u"), ("v", "own")):
+                joined = done.join(roots.select(F.col("id").alias(end), "root"), end, "left")
+                done = joined.withColumn(own, F.xxhash64(F.coalesce("root", end))).drop("root")
+            done = scratch.keep(done)
+            scratch.drop(plain)
+        else:
+            later.append(scratch.keep(linked))
+        members = redeal(done, scratch, percent)
+        scratch.drop(done)
+        if members.isEmpty():
+            scratch.drop(texts)
+            return _merged(roots, later, scratch) if later else roots
+        centres = min(centres * MORE, MOST_CENTRES)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -294,14 +324,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     scratch = Scratch(df.sparkSession)
     summary = scratch.keep(summarise(df, key, text))
     real = summary.filter(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    classes = scratch.keep(real.groupBy("digest").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col(key).isNotNull())
-    # an id that stands beside several sets ties their classes
-    several = real.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("id")
-    held = real.join(several, "id").select("id", "digest").join(classes.select("digest", "rep"), "digest")
-    ties = held.join(held.groupBy("id").agg(F.min("rep").alias("least")), "id").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    # a class goes by its least id and that row's text
+    node = F.struct("id", "h")
+    classes = scratch.keep(real.groupBy("digest").agg(F.min(node).alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    texts = df.filter(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h")).alias("id"), F.col(text).alias("text"))
+    # an id that stands beside several texts ties their classes
+    several = real.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("id")
+    held = scratch.keep(real.join(several, "id").select("id", "digest").join(classes.select("digest", "rep"), "digest"))
+    ties = held.join(held.groupBy("id").agg(F.min("rep").alias("least")), "id").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
     roots = links(classes.select(F.col("rep").alias("id"), "n", "bands"), texts, scratch, percent, ties)
-    labelled = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
+    labelled = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep")["id"].alias("component_id"))
     out = summary.select("id", "n_shingles", "digest").join(labelled, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", F.col("id")))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

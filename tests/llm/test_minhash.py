@@ -115,30 +115,54 @@ def test_components(spark):
     assert out == {k: 0 for k in range(61)} | {90: 90, 95: 90, 100: 90}
 
 
-def test_residual_keys_lose_no_link():
-    """Any two linked sets that the centre doesn't connect share a key."""
-    rng, seen = np.random.default_rng(8), 0
-    for _ in range(300):
+def _linked(a, b):
+    both = len(np.intersect1d(a, b))
+    return 100 * both >= 85 * (len(a) + len(b) - both)
+
+
+def test_redealt_buckets_lose_no_link(spark):
+    """Any two linked sets that the centre doesn't connect meet in a bucket."""
+    rng, groups, rows = np.random.default_rng(8), [], []
+    for g in range(300):
         base = rng.choice(2**60, 60, replace=False).astype(np.uint64)
         pool = rng.choice(2**60, 12, replace=False).astype(np.uint64)
         sets = []
         for _ in range(14):
             keep = base[rng.random(60) > rng.choice([0.02, 0.08, 0.15])][: rng.integers(40, 61)]
             sets.append(np.unique(np.concatenate([keep, pool[rng.random(12) < rng.choice([0.1, 0.4, 0.8])]])))
-        centre = sets[rng.integers(0, 14)]
-        least = min(map(len, sets))
-        keyed = [minhash.residual_keys(centre, s, least, 85) for s in sets]
-        for i in range(14):
-            for j in range(i):
-                both = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and not (keyed[i][0] and keyed[j][0]):
+        groups.append(sets)
+        for i in range(1, 14):
+            both, more = minhash.held_against(sets[0], sets[i])
+            rows.append((g * 14, g * 14 + i, len(sets[0]), len(sets[i]), g * 14, g * 14 if _linked(sets[0], sets[i]) else g * 14 + i, True, False, _linked(sets[0], sets[i]), both, more.view(np.int64).tolist()))
+    schema = "u long, v long, n_u long, n long, own_u long, own long, main boolean, also boolean, linked boolean, both long, more array<long>"
+    buckets = {}
+    for r in minhash.redeal(spark.createDataFrame(rows, schema), Scratch(spark), 85).collect():
+        buckets.setdefault(r["bucket"], set()).add(r["id"])
+    met = {(a, b) for members in buckets.values() for a in members for b in members}
+    seen = 0
+    for g, sets in enumerate(groups):
+        for i in range(1, 14):
+            for j in range(1, i):
+                if _linked(sets[i], sets[j]) and not (_linked(sets[0], sets[i]) and _linked(sets[0], sets[j])):
                     seen += 1
-                    assert len(np.intersect1d(keyed[i][1], keyed[j][1])), (i, j)
+                    assert (g * 14 + i, g * 14 + j) in met, (g, i, j)
     assert seen > 500
 
 
+def near_copies(n, words=150, seed=5):
+    """Copies of one text with 1 to 4 of its words changed, many of which are linked to few others."""
+    rng, base = random.Random(seed), [f"g{k}" for k in range(words)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(words), rng.randint(1, 4)):
+            copy[at] = f"y{i}_{at}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
 def test_large_buckets_are_dealt_anew(spark, chains, monkeypatch):
-    monkeypatch.setattr(minhash, "OPEN_PAIRS", 1)
+    monkeypatch.setattr(minhash, "MORE", 1)  # one centre a bucket in all rounds
     rng, rows = random.Random(9), [t for _, t in chains]
     hub = [f"g{k}" for k in range(100)]
     for k in range(60):
@@ -148,3 +172,23 @@ def test_large_buckets_are_dealt_anew(spark, chains, monkeypatch):
         rows.append(" ".join(copy))
     rows = list(enumerate(rows))
     assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_pairs_grow_with_the_group_not_its_square(spark, monkeypatch):
+    made, plain = [], minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda pairs, *rest: (made.append(pairs.count()), plain(pairs, *rest))[1])
+    totals = []
+    for n in (200, 800):
+        made.clear()
+        rows = near_copies(n)
+        assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+        totals.append(sum(made))
+    assert totals[1] < 8 * totals[0], totals
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120_000)]
+    other = [w if rng.random() > 0.01 else "new" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:60_000])), (4, "w " * 200_000), (5, "w " * 300_000)]
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
