@@ -10,9 +10,8 @@ of both whole texts.
 A star can miss links between two classes that its centre isn't linked to. So buckets that hold classes of several
 components are dealt anew by what their members have and their centre lacks (`redeal`): two sets have at most what
 each shares with the centre in common, and the shingles that both have and it lacks; where the first can't suffice
-for a link, they share enough of the latter, and then one of the first few of them in any common order. The order is
-from rare to common among the centre's members, and shingles of one member alone are left out, so the new buckets are
-few and small. They get stars of their own, around ``MORE`` times as many centres in each round, ``MOST_CENTRES`` at
+for a link, they share enough of the latter, and then one of the first few of them in any common order. Shingles that
+many of the centre's members have come last in that order, so the new buckets are small. They get stars of their own, around ``MORE`` times as many centres in each round, ``MOST_CENTRES`` at
 most; the number of pairs is therefore bounded by the number of members times that of centres, whatever a group's
 size. A centre that all members were held against isn't dealt again, so buckets shrink and rounds end. No link between
 two classes of a bucket is lost.
@@ -21,7 +20,7 @@ With 20 bands of 4 bins a pair of similarity 0.85 shares no bucket with a chance
 0.80 with 3e-5.
 
 Memory and skew: classes absorb exact copies through partial aggregates; stars and their texts are joined by
-sort-merge joins, which adaptive execution splits for hot keys; connected components are found by large-star and
+sort-merge joins, which adaptive execution splits for hot keys; pairs and ids are broadcast up to ``BROADCAST_ROWS``; connected components are found by large-star and
 small-star steps over tables in the shared folder. Nothing but row counts comes to the driver. The tables of a round
 are dropped when the next one begins.
 
@@ -50,6 +49,10 @@ BANDS, ROWS = 20, 4
 BINS = BANDS * ROWS
 #: Buckets of the bands have one centre each, those of each further round so many times as many, up to a number.
 MORE, MOST_CENTRES = 4, 64
+#: A shingle is common to a star if at least one in so many of its members has it, so a star has so many times a member's at most.
+COMMON = 32
+#: Pairs or ids (16 to 80 bytes each) that are broadcast at most; beyond, joins shuffle both sides.
+BROADCAST_ROWS = 200_000
 #: Words whose hashes a task keeps.
 WORD_TABLE = 1_000_000
 
@@ -149,14 +152,16 @@ def _need(a: Column | int, b: Column | int, percent: int) -> Column:
     return F.floor((percent * (a + b) + 99 + percent) / (100 + percent)).cast("long")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, few: bool = False) -> DataFrame:
     """pairs (u, v, n_u, n, main, more columns) with linked, both (shingles in common) and more (v's others, of main pairs only).
 
-    texts: (id, text). Sizes are those of the full sets of whole texts.
+    texts: (id, text). Sizes are those of the full sets of whole texts. few: the pairs can be broadcast.
     """
     names = pairs.columns
-    joined = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-    joined = joined.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").select(*names, "text_u", "text_v")
+    left, right = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
+    if few:  # texts that no pair needs aren't shuffled
+        left = left.join(F.broadcast(pairs.select("u").distinct()), "u", "left_semi")
+    joined = right.join(F.broadcast(pairs) if few else pairs, "v").join(left, "u").select(*names, "text_u", "text_v")
     schema = pairs.select("*", F.lit(True).alias("linked"), F.lit(0).cast("long").alias("both"), F.array().cast("array<long>").alias("more")).schema
     at_main = names.index("main")
 
@@ -193,34 +198,35 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = scratch.keep(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now, _ = scratch.settle(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         if last is not None:
             scratch.drop(last)
         last = now
         ends = now.select(F.col("u").alias("id"), F.lit(1).alias("below")).union(now.select(F.col("v").alias("id"), F.lit(0).alias("below")))
         hung = ends.groupBy("id").agg(F.sum("below").alias("below"), F.count("*").alias("k"))
         if hung.filter("below > 1 or (below = 1 and k > 1)").isEmpty():
-            roots = scratch.keep(now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()))
+            roots, _ = scratch.settle(now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()))
             scratch.drop(now)
             return roots
 
 
 def _band_buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members (bucket, id, n, far, own) of the bands' buckets of two or more; those that share most are the least far."""
+    """Members (bucket, id, n, far, own, low) of the bands' buckets of two or more; those that share most are the least
+    far, and low is the least n in the bucket."""
     members = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("n").alias("low")).filter("size > 1")
     members = scratch.keep(members.join(sizes, "bucket"))
     reach = members.groupBy("id").agg((-F.sum("size")).alias("far"))
-    out = scratch.keep(members.join(reach, "id").select("bucket", "id", "n", "far", F.xxhash64("id").alias("own")))
+    out = scratch.keep(members.join(reach, "id").select("bucket", "id", "n", "far", F.xxhash64("id").alias("own"), "low"))
     scratch.drop(members)
     return out
 
 
 def stars(members: DataFrame, centres: int, percent: int) -> DataFrame:
-    """Pairs (u, v, n_u, n, own_u, own, main, also) of every bucket's stars, around its so many least far members.
+    """Pairs (u, v, n_u, n, own_u, own, main, also, low) of every bucket's stars, around its so many least far members.
 
-    main: u is the first centre of a bucket with v; also: v is a centre in all such buckets. Pairs of another centre
-    are left out where a component or too different sizes say all.
+    main: u is the first centre of a bucket with v; also: v is a centre in all such buckets; low: the least n in them.
+    Pairs of another centre are left out where a component or too different sizes say all.
     """
     row = F.struct("far", (-F.col("n")).alias("less"), "id", "own")
     if centres == 1:
@@ -228,17 +234,18 @@ def stars(members: DataFrame, centres: int, percent: int) -> DataFrame:
     else:  # the rank's limit applies before the shuffle
         ranked = members.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("far", F.desc("n"), "id", "own")))
         top = ranked.filter(F.col("k") <= centres).groupBy("bucket").agg(F.sort_array(F.collect_list(row)).alias("top"))
-    joined = members.join(top, "bucket").select("top", row.alias("row"))
-    each = joined.select("row", F.get("top", F.lit(0)).alias("first"), F.element_at("top", -1).alias("last"), F.explode(F.filter("top", lambda t: t < F.col("row"))).alias("c"))
+    joined = members.join(top, "bucket").select("top", "low", row.alias("row"))
+    each = joined.select("row", "low", F.get("top", F.lit(0)).alias("first"), F.element_at("top", -1).alias("last"), F.explode(F.filter("top", lambda t: t < F.col("row"))).alias("c"))
     main, also = F.col("c") == F.col("first"), F.col("row") <= F.col("last")
-    pairs = each.select(F.col("c.id").alias("u"), F.col("row.id").alias("v"), (-F.col("c.less")).alias("n_u"), (-F.col("row.less")).alias("n"), F.col("c.own").alias("own_u"), F.col("row.own").alias("own"), main.alias("main"), also.alias("also"))
+    pairs = each.select(F.col("c.id").alias("u"), F.col("row.id").alias("v"), (-F.col("c.less")).alias("n_u"), (-F.col("row.less")).alias("n"), F.col("c.own").alias("own_u"), F.col("row.own").alias("own"), main.alias("main"), also.alias("also"), "low")
     similar = (100 * F.least("n", "n_u")) >= (percent * F.greatest("n", "n_u"))
     pairs = pairs.filter(F.col("main") | ((F.col("own") != F.col("own_u")) & similar)).filter("u <> v")
-    return pairs.groupBy("u", "v", "n_u", "n", "own_u", "own").agg(F.max("main").alias("main"), F.min(F.when(F.col("main"), F.col("also"))).alias("also"))
+    return pairs.groupBy("u", "v", "n_u", "n", "own_u", "own").agg(F.max("main").alias("main"), F.min(F.when(F.col("main"), F.col("also"))).alias("also"), F.min(F.when(F.col("main"), F.col("low"))).alias("low"))
 
 
-def redeal(confirmed: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Members (bucket, id, n, far, own) of buckets in which all links between classes that a star left apart must lie.
+def redeal(confirmed: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, int]:
+    """Members (bucket, id, n, far, own, low) of buckets in which all links between classes that a star left apart must
+    lie, and their number.
 
     Two sets x and y of a star that aren't both linked to its centre u have min(|x & u|, |y & u|) shingles in common with it
     at most. If that can't make them a link, they share shingles that u lacks, and each deals itself to the first of
@@ -246,28 +253,30 @@ def redeal(confirmed: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     itself to all sizes that it may reach so, and every set smaller than u to its own.
     """
     main = confirmed.filter("main")
-    opened = main.filter("not linked and own <> own_u").select("u").distinct()
+    apart = ~F.col("linked") & (F.col("own") != F.col("own_u"))
+    opened = main.groupBy("u").agg(F.min("low").alias("least"), F.count("*").alias("members"), F.max(apart).alias("open")).filter("open and members > 1").drop("open")
+    rest = main.filter("not also").drop("low").join(opened, "u")
+    counts = rest.select("u", "members", F.explode("more").alias("x")).groupBy("u", "members", "x").agg(F.count("*").alias("c")).filter(F.col("c") >= F.greatest(F.lit(2), F.col("members") / COMMON))
+    common = counts.groupBy("u").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]).alias("common"))
     n, n_u, both = F.col("n"), F.col("n_u"), F.col("both")
-    smallest = F.floor((percent * n + 99) / 100).cast("long")
-    rest = main.filter("not also").join(opened, "u", "left_semi").select(
-        "u", F.col("v").alias("id"), "n", "n_u", "own", "both", "linked", "more", F.size("more").cast("long").alias("far"),
-        F.when(F.col("linked"), F.col("own_u")).otherwise(F.col("own")).alias("side"), (_need(n, smallest, percent) - both).alias("short"), smallest.alias("low"),
+    low = F.greatest("least", F.floor((percent * n + 99) / 100).cast("long"))
+    rest = rest.join(common, "u", "left").select(
+        "u", F.col("v").alias("id"), "n", "n_u", "own", "both", "linked", "more", F.coalesce("common", F.array().cast("array<long>")).alias("common"), F.size("more").cast("long").alias("far"),
+        F.when(F.col("linked"), F.col("own_u")).otherwise(F.col("own")).alias("side"), (_need(n, low, percent) - both).alias("short"), low.alias("low"),
         F.least(F.floor((100 + percent) * both / percent).cast("long") - n, n_u - 1).alias("high"),
     )
-    each = rest.select("u", "id", "n", "own", "far", "side", "short", F.explode("more").alias("x"))
-    shared = each.groupBy("u", "x").agg(F.count("*").alias("c")).filter("c > 1")
-    lists = each.join(shared, ["u", "x"]).groupBy("u", "id", "n", "own", "far", "side", "short").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("keys"))
-    first = F.when(F.col("short") > 0, F.greatest(F.lit(0), F.size("keys") - F.col("short") + 1)).otherwise(F.size("keys")).cast("int")
-    common = ["id", "n", "far", "own", "side"]
-    by_key = lists.select("u", *common, F.explode(F.slice("keys", F.lit(1), first)).alias("key")).select(F.xxhash64("u", "key.x").alias("bucket"), *common, F.lit(True).alias("seeks"))
+    keys = F.concat(F.sort_array(F.array_except("more", "common")), F.array_intersect("common", "more"))
+    first = F.when(F.col("short") > 0, F.greatest(F.lit(0), F.size("more") - F.col("short") + 1)).otherwise(F.size("more")).cast("int")
+    carried = ["id", "n", "far", "own", "side"]
+    by_key = rest.select("u", *carried, F.explode(F.slice(keys, F.lit(1), first)).alias("x")).select(F.xxhash64("u", "x").alias("bucket"), *carried, F.lit(True).alias("seeks"))
     reaches = ~F.col("linked") & (F.col("low") <= F.col("high"))
     sought = F.when(reaches, F.transform(F.sequence("low", F.greatest("low", "high")), lambda s: F.struct(s.alias("size"), F.lit(True).alias("seeks")))).otherwise(F.array())
     alone = (n < n_u) & ~(reaches & n.between(F.col("low"), F.col("high")))
     owned = F.when(alone, F.array(F.struct(n.alias("size"), F.lit(False).alias("seeks")))).otherwise(F.array())
-    by_size = rest.select("u", *common, F.explode(F.concat(owned, sought)).alias("s")).select(F.xxhash64("u", F.lit("size"), "s.size").alias("bucket"), *common, "s.seeks")
+    by_size = rest.select("u", *carried, F.explode(F.concat(owned, sought)).alias("s")).select(F.xxhash64("u", F.lit("size"), "s.size").alias("bucket"), *carried, "s.seeks")
     dealt = scratch.keep(by_key.union(by_size))
-    mixed = dealt.groupBy("bucket").agg(F.min("side").alias("a"), F.max("side").alias("b"), F.max("seeks").alias("seeks")).filter("a <> b and seeks").select("bucket")
-    out = scratch.keep(dealt.join(mixed, "bucket").select("bucket", "id", "n", "far", "own"))
+    mixed = dealt.groupBy("bucket").agg(F.min("side").alias("a"), F.max("side").alias("b"), F.max("seeks").alias("seeks"), F.min("n").alias("low")).filter("a <> b and seeks").select("bucket", "low")
+    out = scratch.settle(dealt.join(mixed, "bucket").select("bucket", "id", "n", "far", "own", "low"))
     scratch.drop(dealt)
     return out
 
@@ -292,13 +301,14 @@ def links(classes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int =
     texts: (id, text), with rows for classes at least; repeated ones must be equal. Classes that nothing links are left out.
     """
     members = _band_buckets(classes, scratch)
-    # the texts that any pair can need are shuffled once, and all rounds read them
-    texts = scratch.keep(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    # the texts that any pair can need are written once, and all rounds read them
+    ids, n_ids = scratch.settle(members.select("id").distinct())
+    texts = scratch.keep(texts.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, "id", "left_semi").dropDuplicates(["id"]))
     roots, later, centres = None, [], 1
     while True:
-        pairs = scratch.keep(stars(members, centres, percent))
+        pairs, n_pairs = scratch.settle(stars(members, centres, percent))
         scratch.drop(members)
-        done = scratch.keep(confirm(pairs, texts, percent))
+        done, _ = scratch.settle(confirm(pairs, texts, percent, n_pairs <= BROADCAST_ROWS))
         scratch.drop(pairs)
         linked = done.filter("linked").select("u", "v")
         if roots is None:
@@ -307,13 +317,13 @@ def links(classes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int =
             for end, own in (("u", "own_u"), ("v", "own")):
                 joined = done.join(roots.select(F.col("id").alias(end), "root"), end, "left")
                 done = joined.withColumn(own, F.xxhash64(F.coalesce("root", end))).drop("root")
-            done = scratch.keep(done)
+            done, _ = scratch.settle(done)
             scratch.drop(plain)
         else:
-            later.append(scratch.keep(linked))
-        members = redeal(done, scratch, percent)
+            later.append(scratch.settle(linked)[0])
+        members, n_members = redeal(done, scratch, percent)
         scratch.drop(done)
-        if members.isEmpty():
+        if not n_members:
             scratch.drop(texts)
             return _merged(roots, later, scratch) if later else roots
         centres = min(centres * MORE, MOST_CENTRES)

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.storage import shared_folder
 
 
+#: Rows (tens to hundreds of bytes each) that one task reads where that saves shuffles.
+FEW_ROWS = 20_000
+
+
 class Scratch:
     """Tables written once and reread: lineage ends there, and a lost executor costs no recomputation."""
 
@@ -26,6 +30,14 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def settle(self, df: DataFrame, few: int = FEW_ROWS) -> tuple[DataFrame, int]:
+        """keep(df) and its number of rows; a table of few rows is read in one partition, and so isn't shuffled again."""
+        kept = self.keep(df)
+        n = kept.count()
+        out = kept.coalesce(1) if n <= few else kept
+        out._scratch_path = kept._scratch_path
+        return out, n
+
     def drop(self, table: DataFrame | None = None) -> None:
         """Deletes one table, or the whole folder; the tables that a result still reads stay until the session ends."""
         path = self.root if table is None else table._scratch_path

@@ -133,10 +133,10 @@ def test_redealt_buckets_lose_no_link(spark):
         groups.append(sets)
         for i in range(1, 14):
             both, more = minhash.held_against(sets[0], sets[i])
-            rows.append((g * 14, g * 14 + i, len(sets[0]), len(sets[i]), g * 14, g * 14 if _linked(sets[0], sets[i]) else g * 14 + i, True, False, _linked(sets[0], sets[i]), both, more.view(np.int64).tolist()))
-    schema = "u long, v long, n_u long, n long, own_u long, own long, main boolean, also boolean, linked boolean, both long, more array<long>"
+            rows.append((g * 14, g * 14 + i, len(sets[0]), len(sets[i]), g * 14, g * 14 if _linked(sets[0], sets[i]) else g * 14 + i, True, False, min(map(len, sets)), _linked(sets[0], sets[i]), both, more.view(np.int64).tolist()))
+    schema = "u long, v long, n_u long, n long, own_u long, own long, main boolean, also boolean, low long, linked boolean, both long, more array<long>"
     buckets = {}
-    for r in minhash.redeal(spark.createDataFrame(rows, schema), Scratch(spark), 85).collect():
+    for r in minhash.redeal(spark.createDataFrame(rows, schema), Scratch(spark), 85)[0].collect():
         buckets.setdefault(r["bucket"], set()).add(r["id"])
     met = {(a, b) for members in buckets.values() for a in members for b in members}
     seen = 0
