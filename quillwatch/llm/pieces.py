@@ -2,26 +2,29 @@
 
 In a model none of whose pieces has a whitespace marker after another character, no merge crosses the place before
 a run of markers. So a text is cut there, each distinct marked word is segmented once by the library, and the ids
-are joined back by position. The table of distinct words is held by each task and emptied when it is full, so its
-memory is bounded and no row is shuffled.
+are joined back by position. A task's table of distinct words is emptied when it is full and freed when the task
+ends, so its memory is bounded and no row is shuffled. Ids are decoded by a table of the pieces' own texts; a row
+whose ids need more than these (unknown and control ids, bytes that are no text) is left to the library.
 
 Cases: a null text is read as empty; an empty text has no ids and decodes to an empty text; runs of spaces, texts
 without spaces and very long texts give the library's own ids; repeated rows and null keys pass through; an empty
-table gives an empty table; input columns named like the outputs are replaced.
+table gives an empty table; input columns named like the outputs are replaced, and no other name is taken.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 MARK = "▁"
 #: Distinct words that a task's table holds before it starts anew, and characters in them.
 TABLE_ENTRIES, TABLE_CHARS = 300_000, 20_000_000
@@ -56,7 +59,7 @@ def _chunks(text: str) -> list[str]:
 
 
 class ChunkTable(dict):
-    """word -> row; row k's ids are flat[start[k]:start[k + 1]]. One a worker process, for all its tasks."""
+    """word -> row; row k's ids are flat[start[k]:start[k + 1]]."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -65,32 +68,35 @@ class ChunkTable(dict):
 
     def renew(self) -> None:
         self.clear()
-        self.flat, self.start, self.chars = array("i"), array("q", [0]), 0
+        self.flat, self.start, self.used, self.chars = np.empty(1 << 12, np.int32), np.zeros(1 << 12, np.int64), 0, 0
+        self._add([""], [[self.model.piece_to_id(MARK)]])  # the library gives nothing for nothing: here it is a marker alone
+
+    def _add(self, words: list[str], ids: list[list[int]]) -> None:
+        n, ends = len(self), self.used + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        while n + len(words) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.start[n + 1 : n + 1 + len(words)] = ends
+        self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]) - self.used)
+        self.update(zip(words, range(n, n + len(words))))
+        self.used = int(ends[-1])
+        self.chars += sum(map(len, words))
 
     def learn(self, words: list[str]) -> None:
-        """Segments those of the words that it doesn't know, in one call."""
+        """Segments those of the words that it doesn't know, in one call; the library adds each one's first marker."""
         if len(self) >= TABLE_ENTRIES or self.chars >= TABLE_CHARS:
             self.renew()
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        # the library adds the first marker to what it is given, but gives nothing for nothing: a marker alone
-        for word, ids in zip(new, self.model.encode(new, num_threads=1) if new else ()):
-            self[word] = len(self.start) - 1
-            self.flat.extend(ids if word else [self.model.piece_to_id(MARK)])
-            self.start.append(len(self.flat))
-            self.chars += len(word)
+        new = list(set(words).difference(self))
+        if new:
+            self._add(new, self.model.encode(new, num_threads=1))
 
     def gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words one after the other, and each word's number of ids."""
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        flat, start = np.array(self.flat), np.array(self.start)
-        first, size = start[rows], start[rows + 1] - start[rows]
+        first, size = self.start[rows], self.start[rows + 1] - self.start[rows]
         before = np.cumsum(size) - size
-        return flat[np.arange(size.sum()) + np.repeat(first - before, size)], size
-
-
-@lru_cache(maxsize=2)
-def _table(path: str) -> ChunkTable:
-    return ChunkTable(path)
+        return self.flat[np.arange(size.sum()) + np.repeat(first - before, size)], size
 
 
 def _encode_block(texts: list[str], table: ChunkTable) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +131,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model_path)
+        table = ChunkTable(model_path)
         for batch in batches:
             done = 0
             for block in _blocks([t or "" for t in batch.column(at).to_pylist()], len):
@@ -138,56 +144,59 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
     return rest.mapInArrow(run, schema)
 
 
-class DecodedTable(dict):
-    """The ids of a marked word, as bytes -> its text. One a worker process."""
+class PieceTexts:
+    """The bytes that each id stands for: id k's are flat[start[k]:start[k + 1]]. plain: whether that is all there is to it."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.model, self.size = _model(path), 0
-        self.opens = np.array([self.model.id_to_piece(k).startswith(MARK) for k in range(self.model.get_piece_size())])
-
-    def learn(self, keys: list[bytes]) -> None:
-        if len(self) >= TABLE_ENTRIES or self.size >= 4 * TABLE_CHARS:
-            self.clear()
-            self.size = 0
-        new = [k for k in dict.fromkeys(keys) if k not in self]
-        if new:
-            self.size += sum(map(len, new))
-            self.update(zip(new, self.model.decode([np.frombuffer(k, np.int32).tolist() for k in new], num_threads=1)))
+        self.model = m = _model(path)
+        every = range(m.get_piece_size())
+        texts = [bytes([int(m.id_to_piece(k)[1:-1], 16)]) if m.is_byte(k) else m.id_to_piece(k).replace(MARK, " ").encode() for k in every]
+        self.plain = np.array([not (m.is_control(k) or m.is_unknown(k) or m.is_unused(k)) for k in every])
+        self.opens = np.array([m.id_to_piece(k).startswith(MARK) for k in every])
+        self.flat = np.frombuffer(b"".join(texts), np.uint8)
+        self.start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+    def decode(self, rows: list[np.ndarray]) -> list[str]:
+        """What the library decodes from each row's ids."""
+        ids = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
+        plain = (ids >= 0) & (ids < len(self.plain))
+        ids = np.where(plain, ids, 0)
+        plain &= self.plain[ids]
+        first, size = self.start[ids], self.start[ids + 1] - self.start[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)].tobytes()
+        stops = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+        at, odd = ends[stops].tolist(), np.concatenate([[0], np.cumsum(~plain)])[stops].tolist()
+        out = []
+        for k, row in enumerate(rows):
+            try:
+                if odd[k + 1] > odd[k]:
+                    raise ValueError("ids that stand for more than their bytes")
+                opens = len(row) and self.opens[row[0]]  # the dummy prefix, which is no space of the text
+                out.append(data[at[k] + bool(opens) : at[k + 1]].decode())
+            except ValueError:  # bytes that are no text raise one too
+                out.append(self.model.decode(row.tolist(), num_threads=1))
+        return out
 
 
 @lru_cache(maxsize=2)
-def _decoded(path: str) -> DecodedTable:
-    return DecodedTable(path)
-
-
-def _decode_block(rows: list[np.ndarray | None], table: DecodedTable) -> list[str]:
-    keys, ends = [], []
-    for row in rows:
-        if row is not None and len(row):
-            row = np.ascontiguousarray(row, dtype=np.int32)
-            raw = row.tobytes()
-            stops = [*(4 * (np.flatnonzero(table.opens[row[1:]]) + 1)).tolist(), len(raw)]
-            keys += [raw[a:b] for a, b in zip([0, *stops], stops)]
-        ends.append(len(keys))
-    table.learn(keys)
-    words = list(map(table.__getitem__, keys))
-    # each word but the first opens with a marker, which the library strips from what it decodes alone
-    return [" ".join(words[a:b]) for a, b in zip([0, *ends], ends)]
+def _piece_texts(path: str) -> PieceTexts:
+    """One a worker, of the vocabulary's size."""
+    return PieceTexts(path)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """df (or its columns of keep) with the text that the library decodes from each row's ids; null ids are read as none."""
     names = [c for c in (keep if keep is not None else df.columns) if c != text]
-    source = df.select(*names, F.col(ids).alias("_ids"))
+    source = df.select(*names, F.col(ids).alias(fresh(names, ids)[0]))
     schema = df.select(*names, F.lit("").alias(text)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _decoded(model_path)
+        table = _piece_texts(model_path)
         for batch in batches:
             done = 0
             for block in _blocks(batch.column(len(names)), lambda v: len(v) if v.is_valid else 0):
-                out = _decode_block([v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in block], table)
+                out = table.decode([v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.empty(0, np.int32) for v in block])
                 part = batch.slice(done, len(block))
                 done += len(block)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(out, pa.string())], names=[*names, text])

@@ -42,12 +42,22 @@ def test_random_texts(spark, model):
 
 
 def test_a_full_table_starts_anew(model, monkeypatch):
-    table, back = pieces.ChunkTable(queries.model_path()), pieces.DecodedTable(queries.model_path())
+    table, back = pieces.ChunkTable(queries.model_path()), pieces.PieceTexts(queries.model_path())
     monkeypatch.setattr(pieces, "TABLE_ENTRIES", 3)
     for text in ("a b c a", "c d e f g h", "a", "", "x  y"):
         ids, sizes = pieces._encode_block([text, "", "a b"], table)
         assert ids.tolist() == model.encode(text) + model.encode("a b") and sizes.tolist() == [len(model.encode(text)), 0, 2]
-        assert pieces._decode_block([np.array(model.encode(text)), None], back) == [text, ""]
+        assert back.decode([np.array(model.encode(text), np.int32), np.empty(0, np.int32)]) == [text, ""]
+
+
+def test_any_ids_decode_as_the_library_decodes_them(spark, model):
+    rng = random.Random(6)
+    rows = [[rng.randrange(300) if rng.random() < 0.3 else rng.randrange(model.get_piece_size()) for _ in range(rng.randint(0, 12))] for _ in range(2000)]
+    rows += [[0], [1, 2], [0, 0, 300], [model.piece_to_id("▁")] * 3]
+    df = spark.createDataFrame([(r, k, "x") for k, r in enumerate(rows)] + [(None, -1, "x")], "_ids array<int>, k int, text string")
+    for r in pieces.decode(df, queries.model_path(), ids="_ids").collect():
+        assert r["text"] == model.decode(r["_ids"] or []), r
+    assert pieces.decode(df.limit(0), queries.model_path(), ids="_ids").count() == 0
 
 
 def test_query_and_empty_table(spark, small, model):
