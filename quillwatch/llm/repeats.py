@@ -2,18 +2,19 @@
 
 Every window of ``LENGTH`` bytes has one anchor: the least hash among its ``GRAM``-byte strings (the first of equal
 ones). Equal windows have equal anchors at equal places, so windows can only repeat where an anchor's hash does. The
-windows of one anchor form a segment of text. Segments are counted by (anchor, digest) with partial aggregates:
+windows of one anchor form a segment of text. Digests of segments only prune: an anchor seen once has no repeat, and of
+equal segments one goes on, with their number.
 
-* an anchor seen once has no repeat;
-* a segment seen twice or more as a whole repeats in full;
-* where an anchor has several different segments, one of each goes into a suffix array with those of other anchors
-  (whole anchors by key, blocks of about ``BLOCK_BYTES``), whose maximal repeats of ``LENGTH`` bytes or more give the
-  repeated parts of each segment;
-* an anchor with more than ``HOT_SEGMENTS`` different segments would make an unbounded block. Its segments' windows
-  are counted by 128-bit digests instead, which spreads one anchor over all tasks and finds the same windows.
+The segments of repeated anchors go into suffix arrays, whole anchors by key, in blocks of about ``BLOCK_BYTES``. The
+maximal repeats of ``LENGTH`` bytes or more that the interval tree gives there, with all their occurrences, are what is
+removed: an occurrence in a segment is one at all places where that segment stands. They are gathered per document.
 
-The parts found are joined back to all places with that (anchor, digest), and gathered per document. Rows are told
-apart by a 128-bit hash of id and text; rows that agree in both repeat each other in full and share their spans.
+An anchor with more than ``HOT_SEGMENTS`` different segments would make an unbounded block. Of its segments' windows
+those whose 128-bit digest repeats go into the suffix arrays one by one instead, which spreads one anchor over all tasks
+and finds the same windows.
+
+Rows are told apart by a 128-bit hash of id and text; rows that agree in both repeat each other in full and share their
+spans.
 
 Cases: a null text is empty; texts below LENGTH bytes have no window; repeated rows repeat each other; null ids and
 clashing columns don't matter; an empty table gives an empty table; long texts are cut into pieces whose windows
@@ -129,80 +130,90 @@ def segments(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: int
 
 
 def _cut(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, digest, n, data) for each wanted (key, digest, r1, r2, lo, n): its text."""
-    lists = wanted.groupBy("r1", "r2").agg(F.collect_set(F.struct("key", "digest", "lo", "n")).alias("wanted"))
-    joined = rows.join(lists, ["r1", "r2"]).select("data", F.explode("wanted").alias("w"))
-    return joined.select("w.key", "w.digest", "w.n", F.expr(f"substring(data, cast(w.lo + 1 as int), w.n + {length - 1})").alias("data"))
+    """(key, digest, n, k, segments, data) for each wanted (key, digest, k, segments, r1, r2, lo, n): its text."""
+    lists = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("key", "digest", "lo", "n", "k", "segments")).alias("wanted"))
+    # rows that agree in id and text have the same text: each segment is cut from one of them
+    joined = rows.join(lists, ["r1", "r2"]).dropDuplicates(["r1", "r2"]).select("data", F.explode("wanted").alias("w"))
+    return joined.select("w.key", "w.digest", "w.n", "w.k", "w.segments", F.expr(f"substring(data, cast(w.lo + 1 as int), w.n + {length - 1})").alias("data"))
 
 
-def _scan(cut: DataFrame, length: int) -> DataFrame:
-    """(key, digest, a, b): the repeated parts of each segment, from suffix arrays over whole keys."""
+def _scan(strings: DataFrame, length: int, hot_segments: int) -> DataFrame:
+    """(key, digest, a, b): the parts of each string (key, digest, n, k, data) that occurrences of maximal repeats cover,
+    from suffix arrays over whole keys. n: windows; k: places where the string stands."""
     def spans(block: list[tuple]) -> pa.RecordBatch:
         sizes = [s[2] for s in block]
-        depth, out = SuffixOrder([s[3] for s in block], sizes).longest(length), []
-        for (key, digest, n, _), d in zip(block, np.split(depth, np.cumsum(sizes)[:-1])):
+        depth, out = SuffixOrder([s[4] for s in block], sizes, [s[3] for s in block]).longest(length), []
+        for (key, digest, *_), d in zip(block, np.split(depth, np.cumsum(sizes)[:-1])):
             starts = np.flatnonzero(d)
             if len(starts):
                 ends = np.maximum.accumulate(starts + d[starts])
                 cut_at = np.flatnonzero(starts[1:] > ends[:-1]) + 1
                 out += [(key, digest, a, b) for a, b in zip(starts[np.append(0, cut_at)].tolist(), ends[np.append(cut_at - 1, len(ends) - 1)].tolist())]
         columns = list(zip(*out)) if out else [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "digest", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "digest", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, last = [], 0, None
         for batch in batches:
             for s in zip(*(c.to_pylist() for c in batch.columns)):
-                if s[0] != last and (size >= BLOCK_BYTES or len(block) >= MAX_STRINGS - HOT_SEGMENTS):
+                if s[0] != last and (size >= BLOCK_BYTES or len(block) >= MAX_STRINGS - hot_segments):
                     yield spans(block)
                     block, size = [], 0
                 last = s[0]
                 block.append(s)
-                size += len(s[3])
+                size += len(s[4])
         if block:
             yield spans(block)
 
-    return cut.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, digest long, a long, b long")
+    return strings.select("key", "digest", "n", "k", "data").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, digest long, a long, b long")
 
 
-def _count_windows(cut: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """The same as _scan, for keys with any number of segments: one row a window, counted by its digest."""
+def _scan_windows(cut: DataFrame, length: int, hot_segments: int, scratch: Scratch) -> DataFrame:
+    """The same as _scan, for keys with any number of segments: their repeated windows are the strings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, digest, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, digest, n, k, data in zip(*(c.to_pylist() for c in batch.columns)):
                 view = memoryview(data)
                 found = [xxhash.xxh3_128_digest(view[a : a + length]) for a in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([digest] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(found, pa.binary())], names=["key", "digest", "a", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([digest] * n, pa.int64()), pa.array([k] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(found, pa.binary())], names=["key", "digest", "k", "a", "window"])
 
-    windows = scratch.keep(cut.mapInArrow(run, "key long, digest long, a long, window binary"))
-    again = windows.groupBy("window").agg(F.count("*").alias("k")).filter("k > 1").select("window")
-    return windows.join(again, "window").select("key", "digest", "a", (F.col("a") + length).alias("b"))
+    windows = scratch.keep(cut.select("key", "digest", "n", "k", "data").mapInArrow(run, "key long, digest long, k long, a long, window binary"))
+    again = scratch.keep(windows.groupBy("window").agg(F.sum("k").alias("k"), F.min(F.struct("key", "digest", "a")).alias("at")).filter("k > 1"))
+    # strings need whole numbers for names: two 64-bit hashes of the 128-bit digest
+    name = (F.xxhash64("window").alias("key"), F.xxhash64(F.lit("window"), "window").alias("digest"))
+    strings = again.select(*name, "k", F.col("at.key").alias("of_key"), F.col("at.digest").alias("of_digest"), "at.a")
+    texts = cut.select(F.col("key").alias("of_key"), F.col("digest").alias("of_digest"), "data")
+    strings = strings.join(texts, ["of_key", "of_digest"]).select("key", "digest", F.lit(1).alias("n"), "k", F.expr(f"substring(data, cast(a + 1 as int), {length})").alias("data"))
+    found = _scan(strings, length, hot_segments).select("key", "digest").distinct()
+    marked = windows.withColumnsRenamed({"key": "of_key", "digest": "of_digest"}).select("of_key", "of_digest", "a", *name)
+    return marked.join(found, ["key", "digest"]).select(F.col("of_key").alias("key"), F.col("of_digest").alias("digest"), "a", (F.col("a") + length).alias("b"))
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS, piece: int = PIECE) -> DataFrame:
     """(r1, r2, spans): for each row with repeats, by _keyed's key, its repeated byte ranges [a, b), unmerged."""
+    if not 0 < hot_segments <= MAX_STRINGS // 2:
+        raise ValueError(f"hot_segments must be between 1 and {MAX_STRINGS // 2}")
     scratch = Scratch(df.sparkSession)
     rows = _keyed(df, key, text)
     every = scratch.keep(segments(rows, length, gram, piece))
-    counts = every.groupBy("key").agg(F.count("*").alias("k"), F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("k > 1")
-    again = scratch.keep(every.join(counts.select("key", F.expr("d1 <> d2").alias("mixed")), "key"))
-    scratch.drop(every)
-    whole = (F.lit(0).cast("long").alias("a"), (F.col("n") + (length - 1)).cast("long").alias("b"))
-    parts = again.filter("not mixed").select("r1", "r2", "lo", *whole)
-    mixed = again.filter("mixed")
-    each = scratch.keep(mixed.groupBy("key", "digest").agg(F.count("*").alias("k"), F.min(F.struct("r1", "r2", "lo", "n")).alias("at")))
-    per_key = each.groupBy("key").agg(F.count("*").alias("segments"))
-    one = each.join(per_key, "key").select("key", "digest", "at.*", "segments")
-    cut = scratch.keep(_cut(rows, one.drop("segments"), length))
-    hot = scratch.keep(per_key.filter(F.col("segments") > hot_segments).select("key"))
-    found = _scan(cut, length)
+    # what a hot key is joined with is written first, so that the join alone deals it and can be split
+    counts = scratch.keep(every.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
+    again = scratch.keep(every.join(counts, "key"))
+    for table in (every, counts):
+        scratch.drop(table)
+    each = again.groupBy("key", "digest").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("r1", "r2", "lo", "n")])
+    each = scratch.keep(each)
+    per_key = scratch.keep(each.groupBy("key").agg(F.count("*").alias("segments")))
+    cut = scratch.keep(_cut(rows, each.join(per_key, "key"), length))
+    for table in (each, per_key):
+        scratch.drop(table)
+    found, hot = _scan(cut.filter(F.col("segments") <= hot_segments), length, hot_segments), cut.filter(F.col("segments") > hot_segments)
     if not hot.isEmpty():
-        found = _scan(cut.join(hot, "key", "left_anti").select("key", "digest", "n", "data"), length).union(_count_windows(cut.join(hot, "key").select("key", "digest", "n", "data"), length, scratch))
-    # a segment that stands at several places repeats in full, whatever else its anchor has
-    ranges = scratch.keep(found.union(each.filter("k > 1").select("key", "digest", F.lit(0).cast("long").alias("a"), (F.col("at.n") + (length - 1)).cast("long").alias("b"))).groupBy("key", "digest").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+        found = found.union(_scan_windows(hot, length, hot_segments, scratch))
+    ranges = scratch.keep(found.groupBy("key", "digest").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     scratch.drop(cut)
-    parts = parts.union(mixed.join(ranges, ["key", "digest"]).select("r1", "r2", "lo", F.explode("spans").alias("s")).select("r1", "r2", "lo", "s.a", "s.b"))
-    placed = parts.select("r1", "r2", F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b")).alias("span"))
+    parts = again.join(ranges, ["key", "digest"]).select("r1", "r2", "lo", F.explode("spans").alias("s"))
+    placed = parts.select("r1", "r2", F.struct((F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b")).alias("span"))
     return placed.groupBy("r1", "r2").agg(F.collect_set("span").alias("spans"))
 
 

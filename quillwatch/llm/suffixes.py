@@ -3,7 +3,9 @@
 The array is built by prefix doubling in numpy. Ranks of every doubling are kept, so the longest common prefix of
 any two suffixes takes a dozen comparisons. A stack scan over neighbours' common prefixes closes one interval after
 the other, deepest first; an interval whose suffixes differ in what stands before them is a maximal repeat, and its
-suffixes are all the repeat's occurrences. Every string ends with a separator of its own, so no match crosses it.
+suffixes are all the repeat's occurrences. Every string ends with a separator of its own, so no match crosses it. A
+string that stands at several places may be given once with their number: its first suffix is a leaf of several
+occurrences, which is an interval too.
 """
 
 from __future__ import annotations
@@ -86,10 +88,10 @@ class SuffixOrder:
     """The first n_starts suffixes of each string in order, with what their neighbours share.
 
     A suffix at a string's first byte differs in what stands before it from every other one, so that repeats which
-    are cut off there are reported too.
+    are cut off there are reported too. copies: at how many places each string stands, one by default.
     """
 
-    def __init__(self, strings: list[bytes], n_starts: list[int]):
+    def __init__(self, strings: list[bytes], n_starts: list[int], copies: list[int] | None = None):
         block = Block(strings)
         starts = np.array(n_starts, dtype=np.int64)
         owner = np.repeat(np.arange(len(strings)), starts)
@@ -101,34 +103,41 @@ class SuffixOrder:
         self.offset = at - block.first[self.owner]
         self.lcp = np.concatenate([[0], block.common(at[:-1], at[1:])]) if len(at) else at
         self.changes = np.cumsum(np.concatenate([[0], before[1:] != before[:-1]])) if len(at) else at
+        self.sizes = np.array([len(s) for s in strings], dtype=np.int64)
+        self.copies = np.array(copies if copies is not None else [1] * len(strings), dtype=np.int64)
 
-    def _trees(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """First and last suffix of every run of neighbours that share at least that much."""
+    def groups(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, left, right) of each maximal repeat of at least that many bytes: the suffixes from left to right in
+        the order are all its occurrences."""
         edges = np.flatnonzero(np.diff(np.concatenate([[False], self.lcp >= least, [False]]).astype(np.int8)))
-        return edges[::2] - 1, edges[1::2] - 1
-
-    def _scan(self, first: int, last: int, least: int) -> Iterator[tuple[int, int, int]]:
-        """(length, left, right) of a run's maximal repeats, longer ones inside others first."""
-        for depth, left, right in intervals([0, *self.lcp[first + 1 : last + 1].tolist()], least):
-            if self.changes[first + left] != self.changes[first + right]:
-                yield depth, first + left, first + right
+        first, last = edges[::2] - 1, edges[1::2] - 1  # of every run of neighbours that share as much
+        pair = last == first + 1  # whose tree is one interval
+        both = pair & (self.changes[first] != self.changes[last]) if len(first) else pair
+        found = []
+        for a, b in zip(first[~pair].tolist(), last[~pair].tolist()):
+            for depth, left, right in intervals([0, *self.lcp[a + 1 : b + 1].tolist()], least):
+                if self.changes[a + left] != self.changes[a + right]:
+                    found.append((depth, a + left, a + right))
+        leaf = np.flatnonzero((self.offset == 0) & (self.copies[self.owner] > 1) & (self.sizes[self.owner] >= least)) if len(self.order) else self.order
+        size = self.sizes[self.owner[leaf]]
+        alone = (self.lcp[leaf] < size) & (np.append(self.lcp, 0)[leaf + 1] < size)  # else an interval has them all
+        length, left, right = np.array(found, dtype=np.int64).reshape(-1, 3).T
+        return np.concatenate([self.lcp[last[both]], length, size[alone]]), np.concatenate([first[both], left, leaf[alone]]), np.concatenate([last[both], right, leaf[alone]])
 
     def maximal_repeats(self, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, strings, offsets) of each maximal repeat of at least that many bytes, with all its occurrences."""
-        for first, last in zip(*(x.tolist() for x in self._trees(least))):
-            for depth, left, right in self._scan(first, last, least):
-                yield depth, self.owner[left : right + 1], self.offset[left : right + 1]
+        for length, left, right in zip(*(x.tolist() for x in self.groups(least))):
+            yield length, self.owner[left : right + 1], self.offset[left : right + 1]
 
     def longest(self, least: int) -> np.ndarray:
-        """For each start, string by string, the length of the longest maximal repeat that begins there, or 0."""
+        """For each start, string by string, the length of the longest maximal repeat that has an occurrence there, or 0."""
         depth = np.zeros(len(self.lcp), dtype=np.int64)
-        first, last = self._trees(least)
-        pair = (last == first + 1) & (self.changes[first] != self.changes[last])
-        depth[first[pair]] = depth[last[pair]] = self.lcp[last[pair]]
-        more = last > first + 1
-        for a, b in zip(first[more].tolist(), last[more].tolist()):
-            for size, left, right in self._scan(a, b, least):
-                np.maximum(depth[left : right + 1], size, out=depth[left : right + 1])
+        length, left, right = self.groups(least)
+        few = right <= left + 1
+        for end in (left, right):
+            np.maximum.at(depth, end[few], length[few])
+        for size, a, b in zip(length[~few].tolist(), left[~few].tolist(), right[~few].tolist()):
+            np.maximum(depth[a : b + 1], size, out=depth[a : b + 1])
         out = np.empty_like(depth)
         out[self.order] = depth
         return out
