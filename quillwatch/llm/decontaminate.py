@@ -3,32 +3,35 @@
 Windows of the benchmark's normalised words form a hash set that is broadcast; each document's word windows are
 looked up in it, hits are verified word by word, and the hit words give spans to remove or documents to reject.
 
-The set's size is bounded: benchmark items are dealt into slices of at most ``SLICE_BYTES`` of text by a hash of
-their id, and a larger benchmark takes several passes over the documents, each broadcasting one slice.
+The set's size is bounded as built: items are cut into chunks of ``CHUNK_WORDS`` that overlap by a window less a word,
+and chunks are dealt by hash into slices of about ``SLICE_WORDS``; each slice is broadcast in a pass of its own. A slice
+takes some 60 MB in a worker. Between passes the documents are written with what was found so far.
 
 Cases: null and empty texts have no words and no hits; items without words are never found; items shorter than a
 window are one window as a whole; equal items and repeated rows each count; null item ids count as an item but
-name nothing; an empty benchmark hits nothing and an empty table gives an empty table; input columns named like the
-outputs are replaced. Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lower-cased.
+name nothing; an empty benchmark hits nothing and an empty table gives an empty table; very long texts and items are
+read whole; input columns named like the outputs are replaced, and no other name is taken. Words are runs of
+``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lower-cased.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
 from .storage import Scratch
 
 WINDOW = 13
 #: A document with at least this share of hit words is contaminated.
 MIN_PERCENT = 5
-#: Text bytes of benchmark items that are broadcast at once.
-SLICE_BYTES = 32_000_000
+#: Words of benchmark items that are broadcast at once, and in one chunk of an item.
+SLICE_WORDS, CHUNK_WORDS = 300_000, 5_000
 #: Words of documents that are looked up at once.
 BLOCK_WORDS = 200_000
 
@@ -42,22 +45,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-class WindowSet:
-    """The windows of one slice. size -> {window of word numbers: item ids}, and a sorted array of their hashes."""
-
-    def __init__(self, items: list[tuple], window: int):
-        self.numbers: dict[bytes, int] = {}
-        self.items: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
-        for k, (item_id, text) in enumerate(items):
-            words = words_of((text or "").encode())
-            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], dtype=np.uint32)
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                self.items[size][ids[i : i + size].tobytes()].add((k, item_id))
-        self.items = {size: dict(found) for size, found in self.items.items()}
-        self.hashes = {size: np.unique(np.concatenate([window_hashes(np.frombuffer(key, np.uint32), size) for key in found])) for size, found in self.items.items()}
-
-
 def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(len(ids) - size + 1, dtype=np.uint64)
     for k in range(size):
@@ -65,36 +52,87 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+class Windows:
+    """The distinct windows of one size, by hash: of window k, hashes[k] is the hash, flat[place[k]:] are the words, and
+    items[start[k]:start[k + 1]] the items."""
+
+    def __init__(self, size: int, flat: np.ndarray, at: np.ndarray, item: np.ndarray):
+        """at: where windows begin in flat; item: the item of each."""
+        hashes = np.zeros(len(at), dtype=np.uint64)
+        for k in range(size):
+            hashes = hashes * _ODD + flat[at + k]
+        order = np.lexsort((item, hashes))
+        at, item, hashes = at[order], item[order], hashes[order]
+        new = np.append(True, hashes[1:] != hashes[:-1])
+        for k in range(size):
+            new[1:] |= flat[at[1:] + k] != flat[at[:-1] + k]
+        keep = new | np.append(True, item[1:] != item[:-1])
+        self.size, self.flat = size, flat
+        self.hashes, self.place, self.items = hashes[new], at[new], item[keep]
+        self.start = np.append(np.flatnonzero(new[keep]), keep.sum())
+
+    def find(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, window) for all of these places at which one of the windows stands."""
+        hashes = np.zeros(len(at), dtype=np.uint64)
+        for k in range(self.size):
+            hashes = hashes * _ODD + words[at + k]
+        low = np.searchsorted(self.hashes, hashes)
+        found = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes)
+        at, low = at[found], low[found]
+        many = np.searchsorted(self.hashes, hashes[found], side="right") - low
+        at, window = np.repeat(at, many), np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        same = np.ones(len(at), dtype=bool)
+        for k in range(self.size):
+            same &= words[at + k] == self.flat[self.place[window] + k]
+        return at[same], window[same]
+
+
+class WindowSet:
+    """The windows of one slice, by size. items: (number of the item, its id, words of a chunk)."""
+
+    def __init__(self, items: list[tuple], window: int):
+        self.numbers: dict[bytes, int] = {}
+        self.names = dict({number: name for number, name, _ in items})
+        own: dict[int, list] = {}
+        flat, end = [], 0
+        for number, _, words in items:
+            ids = np.array([self.numbers.setdefault(w.encode(), len(self.numbers) + 1) for w in words], dtype=np.uint32)
+            size = min(window, len(ids))
+            if size:
+                starts = np.arange(len(ids) - size + 1) + end
+                own.setdefault(size, []).append((starts, np.full(len(starts), number, dtype=np.int64)))
+                flat.append(ids)
+                end += len(ids)
+        words = np.concatenate([*flat, np.empty(0, np.uint32)])
+        self.sizes = [Windows(size, words, *map(np.concatenate, zip(*parts))) for size, parts in own.items()]
+
+
 def _find(words: np.ndarray, starts: np.ndarray, windows: WindowSet, hit: np.ndarray, found: list[set]) -> None:
-    """Marks hit words and adds (item number, item id) to each document's set. words: numbers, 0 for words of no item."""
+    """Marks hit words and adds item numbers to each document's set. words: numbers, 0 for words of no item."""
     known = np.concatenate([[0], np.cumsum(words > 0)])
     ends = np.append(starts[1:], len(words))
-    for size, table in windows.items.items():
+    for table in windows.sizes:
+        size = table.size
         if len(words) < size:
             continue
         at = np.flatnonzero(known[size:] - known[:-size] == size)
-        doc = np.searchsorted(starts, at, side="right") - 1
-        inside = at + size <= ends[doc]
-        at, doc = at[inside], doc[inside]
+        at = at[at + size <= ends[np.searchsorted(starts, at, side="right") - 1]]
         if not len(at):
             continue
-        mixed = np.zeros(len(at), dtype=np.uint64)
+        at, window = table.find(words, at)
         for k in range(size):
-            mixed = mixed * _ODD + words[at + k]
-        hashes = windows.hashes[size]
-        place = np.minimum(np.searchsorted(hashes, mixed), len(hashes) - 1)
-        for i in np.flatnonzero(hashes[place] == mixed).tolist():
-            items = table.get(words[at[i] : at[i] + size].tobytes())
-            if items:
-                hit[at[i] : at[i] + size] = True
-                found[doc[i]] |= items
-
-
-def _pass(df: DataFrame, text: str, items: list[tuple], window: int) -> DataFrame:
-    """df with _hits (positions of hit words) and _items, each with what this slice adds; _n_words."""
+            hit[at + k] = True
+        doc = np.searchsorted(starts, at, side="right") - 1
+        for d, w in np.unique(np.stack([doc, window], axis=1), axis=0).tolist():
+            found[d].update(table.items[table.start[w] : table.start[w + 1]].tolist())
+
+
+def _pass(df: DataFrame, text: str, inner: list[str], items: list[tuple], window: int) -> DataFrame:
+    """df with what this slice adds to its inner columns: number of words, positions of hit words, items (number, id)."""
     windows = df.sparkSession.sparkContext.broadcast(WindowSet(items, window))
     names = df.columns
-    at, had_hits, had_items = names.index(text), names.index("_hits"), names.index("_items")
+    at, at_words, at_hits, at_items = (names.index(c) for c in (text, *inner))
+    kind = pa.list_(pa.struct([("number", pa.int64()), ("id", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = windows.value.numbers.get
@@ -112,43 +150,66 @@ def _pass(df: DataFrame, text: str, items: list[tuple], window: int) -> DataFram
                 flat, stops = np.concatenate(ids), np.cumsum(sizes)
                 hit, found = np.zeros(total, dtype=bool), [set() for _ in sizes]
                 nonempty = np.flatnonzero(sizes)
-                if total and windows.value.items:
-                    _find(flat, (stops - sizes)[nonempty], windows.value, hit, own := [found[k] for k in nonempty])
+                if total and windows.value.sizes:
+                    _find(flat, (stops - sizes)[nonempty], windows.value, hit, [found[k] for k in nonempty])
                 part = batch.slice(first, end - first)
-                old_hits, old_items = part.column(had_hits).to_pylist(), part.column(had_items).to_pylist()
+                old_hits, old_items = part.column(at_hits).to_pylist(), part.column(at_items).to_pylist()
                 hits = [np.union1d(old, np.flatnonzero(hit[s - n : s])).astype(np.int32) if n else np.empty(0, np.int32) for old, s, n in zip(old_hits, stops, sizes)]
-                names_found = [sorted([*old, *(str(i) if i is not None else None for _, i in new)], key=lambda x: (x is None, x or "")) for old, new in zip(old_items, found)]
                 columns = list(part.columns)
-                columns[had_hits] = pa.array(hits, pa.list_(pa.int32()))
-                columns[had_items] = pa.array(names_found, pa.list_(pa.string()))
-                columns[names.index("_n_words")] = pa.array(sizes, pa.int64())
+                columns[at_words] = pa.array(sizes, pa.int64())
+                columns[at_hits] = pa.array(hits, pa.list_(pa.int32()))
+                every = [{x["number"]: x["id"] for x in old} | {k: windows.value.names[k] for k in new} for old, new in zip(old_items, found)]
+                columns[at_items] = pa.array([[{"number": k, "id": v} for k, v in x.items()] for x in every], kind)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 first = end
 
     return df.mapInArrow(run, df.schema)
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def _words(text: Column) -> Column:
+    """words_of on a column."""
+    plain = F.regexp_replace(F.translate(text, ascii_uppercase, ascii_lowercase), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")
+    return F.filter(F.split(plain, " ", -1), lambda w: w != "")
+
+
+def _chunks(benchmark: DataFrame, item_id: str, item_text: str, window: int, chunk_words: int) -> DataFrame:
+    """(number, id, begin, words): each item's chunks. Every window lies in one of them."""
+    items = benchmark.select(F.monotonically_increasing_id().alias("number"), F.col(item_id).cast("string").alias("id"), _words(F.col(item_text)).alias("w")).filter("size(w) > 0")
+    begins = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(chunk_words))
+    return items.select("number", "id", "w", F.explode(begins).alias("begin")).select("number", "id", "begin", F.slice("w", F.col("begin") + 1, F.lit(chunk_words + window - 1)).alias("words"))
+
+
+def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slice_words: int = SLICE_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """df with n_words, hit_words (ascending positions), items (ids as sorted strings), n_hit, n_items, contaminated."""
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n_slices = max(1, -(-total // slice_bytes))
-    state = df.drop("n_words", "hit_words", "items", "n_hit", "n_items", "contaminated").withColumns(
-        {"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")}
-    )
     scratch = Scratch(df.sparkSession)
+    chunks = scratch.keep(_chunks(benchmark, item_id, item_text, window, chunk_words))  # so that numbers stay as they are
+    total = chunks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    n_slices = max(1, -(-total // slice_words))
+    outputs = ("n_words", "hit_words", "items", "n_hit", "n_items", "contaminated")
+    rest = df.drop(*outputs)
+    inner = fresh([*df.columns, *outputs], "_words", "_hits", "_items")
+    kinds = ("long", "array<int>", "array<struct<number:long,id:string>>")
+    state = rest.select("*", *[(F.lit(0) if kind == "long" else F.array()).cast(kind).alias(c) for c, kind in zip(inner, kinds)])
+    last = None
     for k in range(n_slices):
-        rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_slices)) == k).collect()
-        state = _pass(state, text, [tuple(r) for r in rows], window)
+        rows = chunks.filter(F.pmod(F.xxhash64("number", "begin"), F.lit(n_slices)) == k).select("number", "id", "words").collect()
+        state = _pass(state, text, inner, [tuple(r) for r in rows], window)
         if k + 1 < n_slices:  # so that one slice at a time is held
             state = scratch.keep(state)
-    out = state.withColumnsRenamed({"_n_words": "n_words", "_hits": "hit_words", "_items": "items"})
+            if last is not None:
+                scratch.drop(last)
+            last = state
+    scratch.drop(chunks)
+    names = F.transform(inner[2], lambda x: x["id"])
+    ids = F.concat(F.sort_array(F.filter(names, lambda x: x.isNotNull())), F.filter(names, lambda x: x.isNull()))
+    out = state.select(*rest.columns, F.col(inner[0]).alias("n_words"), F.col(inner[1]).alias("hit_words"), ids.alias("items"))
     out = out.withColumn("n_hit", F.size("hit_words").cast("long")).withColumn("n_items", F.size("items").cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= MIN_PERCENT * F.col("n_words")))
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents of df that aren't contaminated, with df's columns."""
-    columns = df.columns
-    marked = find_contamination(df.select(*columns), benchmark, text, **options)
-    return marked.filter(~F.col("contaminated")).select(*columns)
+    """The documents of df that aren't contaminated, with df's columns, also those named like find_contamination's outputs."""
+    inside = [f"c{k}" for k in range(len(df.columns))]
+    plain = df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(df.columns, inside)])
+    marked = find_contamination(plain, benchmark, inside[df.columns.index(text)], **options)
+    return marked.filter(~F.col("contaminated")).select(*[F.col(x).alias(c) for c, x in zip(df.columns, inside)])

@@ -50,10 +50,32 @@ def test_odd_rows_in_one_slice_and_in_many(spark):
     items_df = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert got(decontaminate.find_contamination(docs_df, items_df)) == want
-    assert got(decontaminate.find_contamination(docs_df, items_df, slice_bytes=100)) == want
+    assert got(decontaminate.find_contamination(docs_df, items_df, slice_words=20, chunk_words=7)) == want
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs_df, items_df).orderBy("doc_id").collect()] == [i for i, v in want.items() if not v[4]]
 
 
+def test_benchmarks_of_several_slices_and_long_texts(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda: f"v{rng.randint(0, 400)}"
+    items = [(k, " ".join(word() for _ in range(rng.choice([3, 20, 200])))) for k in range(30)] + [(99, " ".join(f"u{k}" for k in range(3000)))]
+    docs = [(k, " ".join([*(word() for _ in range(50)), *items[k % 31][1].split()[:30], *(word() for _ in range(50))])) for k in range(60)]
+    docs += [(100, " ".join(f"u{k}" for k in range(1000, 1200))), (101, "q " * 300_000 + items[1][1])]
+    want = brute(docs, items)
+    assert sum(v[1] > 0 for v in want.values()) > 40
+    docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert got(decontaminate.find_contamination(docs_df, items_df, slice_words=1500, chunk_words=400)) == want
+    assert got(decontaminate.find_contamination(docs_df, items_df)) == want
+
+
+def test_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6, "k"), (2, "short item", 7, 8, "l")], "doc_id long, text string, _hits int, _words int, contaminated string")
+    items = spark.createDataFrame([(1, "short item")], "item_id long, text string")
+    assert decontaminate.drop_contaminated(docs, items).collect() == docs.filter("doc_id = 1").collect()
+    assert [(r["_hits"], r["_words"], r["n_hit"]) for r in decontaminate.find_contamination(docs, items).orderBy("doc_id").collect()] == [(5, 6, 0), (7, 8, 2)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
