@@ -7,9 +7,11 @@ inside a row with built-in functions: no shuffle, and repeated or missing ids do
 The SQL twin still reads a text twice, by line and with lines joined, and takes the reading that knows more sentences.
 Its rows are the same where no notice is wrapped over lines in a way that it can't read, as in the given tables.
 
+A sentence may have one blank, ``{}``, for up to ``BLANK_CHARS`` characters of names; the text's own words fill it.
+
 Cases: a null or empty text has no sentence and no license; very long texts are scanned whole; equal sentences
 match each time they stand there; an empty table gives an empty table; input columns named like the outputs are
-replaced.
+replaced, and no other name is taken.
 """
 
 from __future__ import annotations
@@ -47,7 +49,39 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("bsd-names", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-names", "neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-names", "the name of {} may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-names", "neither the name {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("mit-apache-name", "spdx license identifier mit or apache 2.0"),
+    ("mit-apache-name", "spdx license identifier apache 2.0 or mit"),
+    ("mit-apache-name", "licensed under either of apache license version 2.0 or mit license at your option"),
+    ("gpl3-later-name", "spdx license identifier gpl 3.0 or later"),
+    ("gpl2-later-name", "spdx license identifier gpl 2.0 or later"),
+    ("agpl3-name", "spdx license identifier agpl 3.0 only"),
+    ("agpl3-name", "licensed under the gnu affero general public license version 3"),
+    ("agpl3-later-name", "spdx license identifier agpl 3.0 or later"),
+    ("agpl3-later", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl21-name", "spdx license identifier lgpl 2.1 only"),
+    ("lgpl21-later-name", "spdx license identifier lgpl 2.1 or later"),
+    ("lgpl21-later", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"),
+    ("lgpl3-name", "spdx license identifier lgpl 3.0 only"),
+    ("lgpl3-later-name", "spdx license identifier lgpl 3.0 or later"),
+    ("lgpl3-later", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("epl2-notice", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0"),
+    ("epl2-name", "spdx license identifier epl 2.0"),
+    ("mpl-name", "spdx license identifier mpl 2.0"),
+    ("bsd3-name", "spdx license identifier bsd 3 clause"),
+    ("bsd2-name", "spdx license identifier bsd 2 clause"),
+    ("isc-name", "spdx license identifier isc"),
+    ("zlib-name", "spdx license identifier zlib"),
+    ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense-name", "spdx license identifier unlicense"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc0-name", "spdx license identifier cc0 1.0"),
+    ("cc0-name", "licensed under cc0 1.0"),
+    ("cc0-name", "this work is licensed under cc0 1.0"),
+    ("cc0-notice", "to the extent possible under law {} has waived all copyright and related or neighboring rights to this work"),
     ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("reserved", "all rights reserved"),
 ]
@@ -59,22 +93,47 @@ for _kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
 # License, permissive or not, and the identifiers that must follow each other. The order decides which
 # rule names the text's license; a rule that another one contains comes after it.
 RULES: list[tuple[str, bool, tuple[str, ...]]] = [
+    ("AGPL-3.0-or-later", False, ("agpl3-later",)),
+    ("AGPL-3.0-or-later", False, ("agpl3-later-name",)),
+    ("AGPL-3.0-only", False, ("agpl3-name",)),
     ("GPL-3.0-or-later", False, ("gpl3-later", "gpl-hope")),
     ("GPL-3.0-or-later", False, ("gpl3-later",)),
     ("GPL-2.0-or-later", False, ("gpl2-later", "gpl-hope")),
     ("GPL-2.0-or-later", False, ("gpl2-later",)),
+    ("GPL-3.0-or-later", False, ("gpl3-later-name",)),
+    ("GPL-2.0-or-later", False, ("gpl2-later-name",)),
     ("GPL-3.0-only", False, ("gpl3-name",)),
     ("GPL-2.0-only", False, ("gpl2-name",)),
+    ("LGPL-3.0-or-later", False, ("lgpl3-later",)),
+    ("LGPL-3.0-or-later", False, ("lgpl3-later-name",)),
+    ("LGPL-3.0-only", False, ("lgpl3-name",)),
+    ("LGPL-2.1-or-later", False, ("lgpl21-later",)),
+    ("LGPL-2.1-or-later", False, ("lgpl21-later-name",)),
+    ("LGPL-2.1-only", False, ("lgpl21-name",)),
+    ("EPL-2.0", False, ("epl2-notice",)),
+    ("EPL-2.0", False, ("epl2-name",)),
     ("MPL-2.0", False, ("mpl-notice",)),
+    ("MPL-2.0", False, ("mpl-name",)),
+    ("MIT OR Apache-2.0", True, ("mit-apache-name",)),
     ("Apache-2.0", True, ("apache-notice", "apache-copy")),
     ("Apache-2.0", True, ("apache-notice",)),
     ("Apache-2.0", True, ("apache-name",)),
     ("BSD-3-Clause", True, ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-3-Clause", True, ("bsd3-name",)),
     ("BSD-2-Clause", True, ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("BSD-2-Clause", True, ("bsd2-name",)),
     ("MIT", True, ("mit-grant", "mit-notice", "as-is")),
     ("MIT", True, ("mit-grant", "mit-notice")),
     ("MIT", True, ("mit-name",)),
     ("ISC", True, ("isc-grant",)),
+    ("ISC", True, ("isc-name",)),
+    ("Zlib", True, ("zlib-as-is", "zlib-grant")),
+    ("Zlib", True, ("zlib-grant",)),
+    ("Zlib", True, ("zlib-name",)),
+    ("CC0-1.0", True, ("cc0-notice",)),
+    ("CC0-1.0", True, ("cc0-name",)),
+    ("Unlicense", True, ("unlicense",)),
+    ("Unlicense", True, ("unlicense-name",)),
 ]
 for _kind in ("by-nc-nd", "by-nc-sa", "by-nc", "by-nd", "by-sa", "by"):
     for _version in ("4.0", "3.0", "2.5", "2.0"):
@@ -84,8 +143,10 @@ for _kind in ("by-nc-nd", "by-nc-sa", "by-nc", "by-nd", "by-sa", "by"):
 SENTENCE_END = "[.!?]+(?:[ \t\r\n]+|$)|[:;][ \t\r]*\n"
 LINE_OR_SENTENCE_END = "\n|" + SENTENCE_END
 
+BLANK = "{}"
+BLANK_CHARS = 200
 #: Each known sentence holds one of these, so texts without any need no normalisation.
-MARKS = ("license", "permission", "software", "warranty", "redistribution", "reserved")
+MARKS = ("license", "permission", "software", "warranty", "redistribution", "reserved", "waived", "cc0")
 
 
 def _normalised(text: Column) -> Column:
@@ -100,10 +161,24 @@ def _identifiers(text: Column) -> Column:
     """Known sentences from mark to mark, whatever marks stand between their words; of those that begin at one place the longest."""
     table = F.create_map(*[F.lit(x) for pair in dict((s, i) for i, s in SENTENCES).items() for x in pair])
     known = sorted({s for _, s in SENTENCES}, key=lambda s: (-len(s), s))
-    one_of = "|".join(s.replace(".", "[.]").replace(" ", "[ \n]") for s in known)
+    blank = f"[a-z0-9. \n]{{1,{BLANK_CHARS}}}?"
+    one_of = "|".join(s.replace(".", "[.]").replace(" ", "[ \n]").replace(BLANK, blank) for s in known)
     found = F.regexp_extract_all(_normalised(text), F.lit(f"(?<=\n)[ .]?({one_of})(?= ?\n)"), 1)
-    has = reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(m)) for m in MARKS])
-    return F.when(has, F.transform(found, lambda s: table[F.translate(s, "\n", " ")])).otherwise(F.array().cast("array<string>"))
+    has = text.rlike(f"(?i){'|'.join(MARKS)}")
+    return F.when(has, F.transform(found, lambda s: table[unfilled(F.translate(s, "\n", " "))])).otherwise(F.array().cast("array<string>"))
+
+
+def blanks() -> list[tuple[str, str]]:
+    """What stands before and after the blank of each sentence that has one."""
+    return [tuple(s.split(BLANK)) for _, s in SENTENCES if BLANK in s]
+
+
+def unfilled(sentence: Column) -> Column:
+    """The sentence with a blank in place of names, if it is one of those that have one."""
+    for before, after in blanks():
+        fits = sentence.startswith(before) & sentence.endswith(after) & F.length(sentence).between(len(before) + len(after) + 1, len(before) + len(after) + BLANK_CHARS)
+        sentence = F.when(fits, F.lit(before + BLANK + after)).otherwise(sentence)
+    return sentence
 
 
 def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:

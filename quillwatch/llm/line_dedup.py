@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
 from .storage import Scratch
 
 MAX_RATIO = 0.1
@@ -43,7 +44,8 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", max_rat
     neither a hot host nor a hot line gathers in one task.
     """
     pages = df.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: ~_is_blank(x)), _key))
+    # lines are made distinct as strings, which are hashed; structs would be compared each with each
+    keys = F.transform(F.array_distinct(F.filter(_lines(F.col("text")), lambda x: ~_is_blank(x))), _key)
     counts = pages.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n_pages"))
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= min_host_pages)
     # both least numbers bound what a line must reach on any host, so most lines go before the join
@@ -58,14 +60,15 @@ def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ma
     Hosts with fewer than min_host_pages pages, none by default, keep all lines.
     """
     scratch = Scratch(df.sparkSession)
-    found = scratch.keep(boilerplate(df, host, text, max_ratio, min_host_pages, min_line_pages).groupBy("host").agg(F.collect_list("key").alias("_keys"), F.count("*").alias("_n")))
-    n_lines = found.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    lists = found.select(F.col("host").alias("_host"), "_keys")
+    found = scratch.keep(boilerplate(df, host, text, max_ratio, min_host_pages, min_line_pages).groupBy("host").agg(F.collect_list("key").alias("keys"), F.count("*").alias("n")))
+    n_lines = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    of, keys, left = fresh([*df.columns, "n_lines_dropped"], "_host", "_keys", "_left")
+    lists = found.select(F.col("host").alias(of), F.col("keys").alias(keys))
     lists = F.broadcast(lists) if n_lines <= broadcast_lines else lists
-    joined = df.join(lists, F.col(host).eqNullSafe(F.col("_host")), "left")
-    kept = F.filter(_lines(F.col(text)), lambda x: _is_blank(x) | ~F.array_contains(F.col("_keys"), _key(x)))
-    has = F.col("_keys").isNotNull() & F.col(text).isNotNull()
-    joined = joined.withColumn("_kept", F.when(has, kept))
-    dropped = F.when(has, F.size(_lines(F.col(text))) - F.size("_kept")).otherwise(0).cast("long")
-    out = joined.withColumn("n_lines_dropped", dropped).withColumn(text, F.when(has, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    return out.drop("_host", "_keys", "_kept")
+    joined = df.join(lists, F.col(host).eqNullSafe(F.col(of)), "left")
+    kept = F.filter(_lines(F.col(text)), lambda x: _is_blank(x) | ~F.array_contains(F.col(keys), _key(x)))
+    has = F.col(keys).isNotNull() & F.col(text).isNotNull()
+    joined = joined.withColumn(left, F.when(has, kept))
+    dropped = F.when(has, F.size(_lines(F.col(text))) - F.size(left)).otherwise(0).cast("long")
+    out = joined.withColumn("n_lines_dropped", dropped).withColumn(text, F.when(has, F.array_join(left, "\n")).otherwise(F.col(text)))
+    return out.drop(of, keys, left)

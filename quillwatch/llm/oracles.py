@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from . import licenses, quality_rules, url_filters
+from . import licenses, line_dedup, quality_rules, url_filters
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,7 +65,7 @@ WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l,
 totals AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 common AS (
   SELECT x.source, x.l FROM (SELECT source, l, count(DISTINCT doc_id) AS n FROM lines WHERE regexp_matches(l, '{SPACE_WORD}') GROUP BY source, l) x
-  JOIN totals t ON t.source IS NOT DISTINCT FROM x.source WHERE t.n >= 20 AND x.n > 0.1::DOUBLE * t.n),
+  JOIN totals t ON t.source IS NOT DISTINCT FROM x.source WHERE x.n >= {line_dedup.MIN_LINE_PAGES} AND x.n > {line_dedup.MAX_RATIO}::DOUBLE * t.n),
 marked AS (SELECT lines.*, c.l IS NOT NULL AS gone FROM lines LEFT JOIN common c ON c.source IS NOT DISTINCT FROM lines.source AND c.l = lines.l),
 texts AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, coalesce(string_agg(l, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS t FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(t.n, 0) AS n_lines_dropped, length(t.t)::BIGINT AS n_chars_kept, md5(t.t) AS kept_md5 FROM documents d LEFT JOIN texts t ON t.doc_id = d.doc_id
@@ -77,13 +77,14 @@ _ENDS = {"line": licenses.LINE_OR_SENTENCE_END, "joined": licenses.SENTENCE_END}
 _READ = """
 {name}_parts AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), {end}) AS p FROM documents)),
 {name}_known AS (SELECT doc_id, count(*) AS n, string_agg(y.id, ',' ORDER BY k) AS ids
-  FROM {name}_parts p JOIN known y ON y.s = trim(regexp_replace(regexp_replace(p.s, '[.]+([^a-z0-9.]|$)', ' \\1', 'g'), '[^a-z0-9.]+', ' ', 'g'), ' .') GROUP BY doc_id)"""
+  FROM (SELECT doc_id, k, {unfilled} AS s FROM (SELECT doc_id, k, trim(regexp_replace(regexp_replace(s, '[.]+([^a-z0-9.]|$)', ' \\1', 'g'), '[^a-z0-9.]+', ' ', 'g'), ' .') AS s FROM {name}_parts)) p JOIN known y ON y.s = p.s GROUP BY doc_id)"""
+_UNFILLED = "CASE " + " ".join(f"WHEN starts_with(s, {_quote(a)}) AND ends_with(s, {_quote(b)}) AND length(s) BETWEEN {len(a + b) + 1} AND {len(a + b) + licenses.BLANK_CHARS} THEN {_quote(a + licenses.BLANK + b)}" for a, b in licenses.blanks()) + " ELSE s END"
 _FITS = lambda out: "CASE " + " ".join(f"WHEN contains(p, ',{','.join(seq)},') THEN {out(name, free)}" for name, free, seq in licenses.RULES) + " END"
 _EACH = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN contains(p, ',{','.join(seq)},') THEN {_quote(name)} END" for name, _, seq in licenses.RULES) + "], lambda x: x IS NOT NULL))"
 _NAMES = ", ".join(_quote(n) for n in dict.fromkeys(name for name, _, _ in licenses.RULES))
 LICENSES = f"""
 WITH known(s, id) AS (VALUES {_KNOWN}),
-{','.join(_READ.format(name=name, end=_quote(end)) for name, end in _ENDS.items())},
+{','.join(_READ.format(name=name, end=_quote(end), unfilled=_UNFILLED) for name, end in _ENDS.items())},
 chosen AS (SELECT d.doc_id, CASE WHEN coalesce(j.n, 0) > coalesce(l.n, 0) THEN j.ids ELSE coalesce(l.ids, '') END AS ids FROM documents d LEFT JOIN line_known l ON l.doc_id = d.doc_id LEFT JOIN joined_known j ON j.doc_id = d.doc_id)
 SELECT doc_id, ids AS license_sentences, array_to_string(list_filter([{_NAMES}], lambda n: list_contains(e, n)), ',') AS licenses, {_FITS(lambda n, f: _quote(n))} AS license, {_FITS(lambda n, f: str(f).lower())} AS permissive
 FROM (SELECT *, {_EACH} AS e FROM (SELECT *, concat(',', ids, ',') AS p FROM chosen))
@@ -112,13 +113,18 @@ e{_d} AS (SELECT host, template, segment,
     OR (branches >= {url_filters.MIN_BRANCHES} AND 2 * n < all_n AND (all_labelled = 0 OR (labelled > 0 AND all_labelled > labelled AND abs(own - siblings) <= {url_filters.MAX_DEVIATION} * sqrt(siblings * (1 - siblings) / (labelled + 2))))) AS wild FROM d{_d}),
 t{_d} AS (SELECT t.host, t.shape, t.n, t.bad, t.labelled, concat(t.template, CASE WHEN len(t.shape) < {_d} THEN '' WHEN e.wild THEN '/*' ELSE concat('/', t.shape[{_d}]) END) AS template
   FROM t{_d - 1} t LEFT JOIN e{_d} e ON e.host = t.host AND e.template = t.template AND len(t.shape) >= {_d} AND e.segment = t.shape[{_d}])"""
+_pure = lambda t: f"({t}.l - {t}.b + {url_filters.SMOOTHING / 2}) / ({t}.l + {url_filters.SMOOTHING})::DOUBLE"
 _LAST = f"t{url_filters.MAX_DEPTH}"
 URL_FILTERS = f"""
 WITH cut AS (SELECT page_id, {_lower("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 parts AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS p, {_rule_sql(lambda r, v: r)} AS rule, {_rule_sql(lambda r, v: v)} AS rule_verdict FROM cut),
 shaped AS (SELECT *, CASE WHEN path = '' THEN [] WHEN len(p) > {url_filters.MAX_DEPTH} THEN list_append(list_transform(p[1 : {url_filters.MAX_DEPTH}], lambda s: {_SEGMENT}), '**') ELSE list_transform(p, lambda s: {_SEGMENT}) END AS shape FROM parts),
 t0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE rule_verdict = 'block') AS bad, count(rule_verdict) AS labelled, '' AS template FROM shaped GROUP BY host, shape){_LEVELS},
-pure AS (SELECT host, template, (sum(labelled) - sum(bad) + {url_filters.SMOOTHING / 2}) / (sum(labelled) + {url_filters.SMOOTHING})::DOUBLE AS purity FROM {_LAST} GROUP BY host, template)
+totals AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS above, sum(labelled) AS l, sum(bad) AS b FROM {_LAST} GROUP BY host, template),
+beside AS (SELECT host, above, sum(l) AS l, sum(b) AS b FROM totals GROUP BY host, above),
+hosts AS (SELECT host, sum(l) AS l, sum(b) AS b FROM totals GROUP BY host),
+pure AS (SELECT t.host, t.template, CASE WHEN t.l > 0 THEN {_pure('t')} WHEN s.l > 0 THEN {_pure('s')} ELSE {_pure('h')} END AS purity
+  FROM totals t JOIN beside s ON s.host = t.host AND s.above = t.above JOIN hosts h ON h.host = t.host)
 SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.rule_verdict, CASE WHEN p.purity < {url_filters.MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, t.template, p.purity
 FROM shaped s JOIN {_LAST} t ON t.host = s.host AND t.shape = s.shape JOIN pure p ON p.host = t.host AND p.template = t.template
 """

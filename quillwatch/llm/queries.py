@@ -37,7 +37,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes that belong to a repeated 400-byte string."""
     out = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("changed"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,8 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's number of boilerplate lines, and its text without them as a digest. The SQL exempts sources of fewer than 20 documents."""
-    out = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), min_host_pages=20)
+    """Every document's number of boilerplate lines, and its text without them as a digest."""
+    out = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "n_lines_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 

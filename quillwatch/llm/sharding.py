@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLE_SIZE = 65_537
-#: The broadcast table never holds more slots than this (16 bytes a row).
-MAX_TABLE_SIZE = 2_000_003
+#: Tables up to so many slots (16 bytes a row) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_SLOTS = 2_000_003
 
 
 def _is_prime(n: int) -> bool:
@@ -28,9 +28,11 @@ def fill_table(shards: list[str], size: int = TABLE_SIZE, weights: list[int] | N
     """Index of the owning shard for each slot. A shard of weight w claims w slots in each turn."""
     if not shards or len(set(shards)) != len(shards):
         raise ValueError("shards need distinct names")
-    if not _is_prime(size) or size > MAX_TABLE_SIZE or size < len(shards):
-        raise ValueError(f"the table size must be a prime from {len(shards)} to {MAX_TABLE_SIZE}")
+    if not _is_prime(size) or size < len(shards):
+        raise ValueError(f"the table size must be a prime of {len(shards)} or more")
     weights = weights or [1] * len(shards)
+    if len(weights) != len(shards) or min(weights) < 0 or max(weights) < 1:
+        raise ValueError("each shard needs a weight of 0 or more, and one of them 1 or more")
     start = [xxhash.xxh64_intdigest(s, seed=1) % size for s in shards]
     step = [xxhash.xxh64_intdigest(s, seed=2) % (size - 1) + 1 for s in shards]
     owner, asked, free = [-1] * size, [0] * len(shards), size
@@ -58,11 +60,12 @@ def assign_shards(df: DataFrame, keys: list[str], shards: list[str], size: int =
     """df with slot, shard and shard_name: one broadcast join with a table of fixed size, no shuffle."""
     table = lookup_frame(df.sparkSession, shards, size, weights)
     placed = df.drop("shard", "shard_name").withColumn("slot", slot_of([F.col(k) for k in keys], size))
-    return placed.join(F.broadcast(table), "slot", "left")
+    return placed.join(F.broadcast(table) if size <= BROADCAST_SLOTS else table, "slot", "left")
 
 
 def write_shards(df: DataFrame, keys: list[str], shards: list[str], path: str, files_per_shard: int = 1, **options) -> None:
-    """Writes a folder for each shard. The hash spreads hot keys' neighbours; files_per_shard splits large shards."""
+    """Writes a folder for each shard, in so many files. Rows are dealt to files by the hash of all they hold, so that one
+    key's rows, of which there may be many, are spread too; a retry deals alike."""
     placed = assign_shards(df, keys, shards, **options)
-    salt = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit("file")), F.lit(files_per_shard))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_shard))
     placed.repartition(len(shards) * files_per_shard, "shard", salt).write.partitionBy("shard").parquet(path)

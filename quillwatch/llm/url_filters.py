@@ -3,8 +3,10 @@
 A URL's host and path are cut out, and the longest rule that fits decides. All URLs, decided or not, go into a tree
 of path segments per host. Level by level, segments that vary (many values with few URLs each) become a wildcard,
 and branches that differ statistically little from their siblings in labelled rate are merged into it. What is left
-of a path is its template; labelled URLs give each template a purity, smoothed toward one half, and URLs that no rule
-decides are blocked where their template's purity is low. Built-in functions only.
+of a path is its template; labelled URLs give each template a purity, smoothed toward one half. A template without
+labels takes the purity of its siblings, which are the templates that differ in the last segment only, and where they
+have none either, that of its host. URLs that no rule decides are blocked where this purity is low. Built-in functions
+only.
 
 Labels come from the rules' own verdicts unless a label column is given (1 bad, 0 good, null none).
 
@@ -13,7 +15,8 @@ sort-merge joins, which adaptive execution splits.
 
 Cases: null URLs and those without ``://`` have an empty host and path, form a host of their own and get a verdict
 like any other; repeated rows count each; very long URLs are read whole, and the tree goes on until no path has a
-further segment; an empty table gives an empty table; input columns named like the outputs are replaced.
+further segment; an empty table gives an empty table; input columns named like the outputs are replaced, and no other
+name is taken.
 
 Depth: below MAX_DEPTH levels each round takes the paths of a template over all that they share to where they branch
 next, so the rounds are as many as a path has branchings, not segments. Only paths not yet at their end are written again.
@@ -27,6 +30,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
 from .storage import Scratch
 
 # The rules of the registered query, as (verdict, host and path).
@@ -37,7 +41,8 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-MAX_RULES = 1000
+#: Up to so many rules are literals of the plan, which tries one after the other; more are looked up by host.
+LITERAL_RULES = 200
 #: Levels dealt with one by one, with all paths, which are all that the SQL twin has; the tree itself has no last level.
 MAX_DEPTH = 4
 #: A level varies when it has at least so many values, and fewer than so many URLs for each of them.
@@ -60,9 +65,9 @@ def path_of(url: Column) -> Column:
 
 def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null. The first of two equally long ones wins."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     ordered = sorted(rules, key=lambda r: -len(r[1]))
+    if len(ordered) > LITERAL_RULES:
+        return _longest_by_host(host, path, ordered)
 
     def fits(rule: str) -> Column:
         own, slash, rest = rule.partition("/")
@@ -72,6 +77,22 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return reduce(lambda tail, r: F.when(fits(r[1]), F.struct(F.lit(r[1]).alias("rule"), F.lit(r[0]).alias("verdict"))).otherwise(tail), reversed(ordered), none)
 
 
+def _longest_by_host(host: Column, path: Column, ordered: list[tuple[str, str]]) -> Column:
+    """longest_rule for any number of rules, the best first: those of the host and of each domain above it are tried."""
+    by_host: dict[str, list] = {}
+    for rank, (verdict, rule) in enumerate(ordered):
+        own, slash, rest = rule.partition("/")
+        by_host.setdefault(own, []).append((rank, slash + rest, rule, verdict))
+    rows = lambda found: F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(p).alias("path"), F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for k, p, r, v in found])
+    table = F.map_from_arrays(F.array(*[F.lit(h) for h in by_host]), F.array(*[rows(found) for found in by_host.values()]))
+    none = F.array().cast("array<struct<rank:int,path:string,rule:string,verdict:string>>")
+    labels = F.split(host, "[.]", -1)
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    fits = F.filter(F.flatten(F.transform(domains, lambda d: F.coalesce(table[d], none))), lambda r: path.startswith(r["path"]))
+    best = F.array_min(fits)
+    return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
+
+
 def _general(segment: Column) -> Column:
     """Numbers and long hexadecimal names vary by nature."""
     number = F.regexp_extract(segment, "^[0-9]+([.][a-z0-9]{1,5})?$", 1)
@@ -133,18 +154,28 @@ def template_tree(counts: DataFrame, scratch: Scratch) -> DataFrame:
     return reduce(DataFrame.union, [*ended, level]).drop("rest")
 
 
+def _purity(labelled: Column, bad: Column) -> Column:
+    return (labelled - bad + SMOOTHING / 2) / (labelled + SMOOTHING)
+
+
 def judge_urls(df: DataFrame, url: str = "url", rules=RULES, label: str | None = None) -> DataFrame:
     """df with host, path, rule, template, purity and verdict (allow or block)."""
-    out = df.drop("host", "path", "rule", "template", "purity", "verdict", "_rule", "_shape")
+    out = df.drop("host", "path", "rule", "template", "purity", "verdict")
+    found, shape, own_host, own_shape = fresh([*df.columns, "host", "path", "rule", "template", "purity", "verdict"], "_found", "_shape", "_own_host", "_own_shape")
     out = out.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    out = out.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("_shape", _shape(F.col("path")))
-    bad = F.col(label) if label else F.when(F.col("_rule.verdict") == "block", 1).when(F.col("_rule.verdict") == "allow", 0)
+    out = out.withColumn(found, longest_rule(F.col("host"), F.col("path"), rules)).withColumn(shape, _shape(F.col("path")))
+    bad = F.col(label) if label else F.when(F.col(f"{found}.verdict") == "block", 1).when(F.col(f"{found}.verdict") == "allow", 0)
     scratch = Scratch(df.sparkSession)
-    counts = out.groupBy("host", F.col("_shape").alias("shape")).agg(F.count("*").alias("n"), F.coalesce(F.sum(bad), F.lit(0)).cast("long").alias("bad"), F.count(bad).alias("labelled"))
+    counts = out.groupBy("host", F.col(shape).alias("shape")).agg(F.count("*").alias("n"), F.coalesce(F.sum(bad), F.lit(0)).cast("long").alias("bad"), F.count(bad).alias("labelled"))
     tree = template_tree(counts, scratch)
-    totals = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    purity = (F.col("labelled") - F.col("bad") + SMOOTHING / 2) / (F.col("labelled") + SMOOTHING)
-    judged = scratch.keep(tree.select("host", "template", F.col("shape").alias("_shape")).join(totals.select("host", "template", purity.alias("purity")), ["host", "template"]))
-    joined = out.join(judged, ["host", "_shape"], "left")
+    totals = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).withColumn("above", F.regexp_replace("template", "/[^/]*$", ""))
+    totals = scratch.keep(totals)
+    beside = totals.groupBy("host", "above").agg(F.sum("bad").alias("bad_beside"), F.sum("labelled").alias("labelled_beside"))
+    whole = beside.groupBy("host").agg(F.sum("bad_beside").alias("bad_host"), F.sum("labelled_beside").alias("labelled_host"))
+    backed = totals.join(beside, ["host", "above"]).join(whole, "host")
+    purity = F.when(F.col("labelled") > 0, _purity(F.col("labelled"), F.col("bad"))).when(F.col("labelled_beside") > 0, _purity(F.col("labelled_beside"), F.col("bad_beside"))).otherwise(_purity(F.col("labelled_host"), F.col("bad_host")))
+    judged = tree.select("host", "template", "shape").join(backed.select("host", "template", purity.alias("purity")), ["host", "template"])
+    judged = scratch.keep(judged.select(F.col("host").alias(own_host), F.col("shape").alias(own_shape), "template", "purity"))
+    joined = out.join(judged, (F.col("host") == F.col(own_host)) & (F.col(shape) == F.col(own_shape)), "left").drop(own_host, own_shape)
     method = F.when(F.col("purity") < MIN_PURITY, "block").otherwise("allow")
-    return joined.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), method)).drop("_rule", "_shape")
+    return joined.withColumn("rule", F.col(f"{found}.rule")).withColumn("verdict", F.coalesce(F.col(f"{found}.verdict"), method)).drop(found, shape)

@@ -31,7 +31,7 @@ def without_boilerplate(docs):
     pages, holds = Counter(d["source"] for d in docs), Counter()
     for d in docs:
         holds.update({(d["source"], x) for x in d["text"].split("\n") if WORD.search(x)})
-    common = {(s, x) for (s, x), n in holds.items() if pages[s] >= 20 and n > 0.1 * pages[s]}
+    common = {(s, x) for (s, x), n in holds.items() if n >= 3 and n > 0.1 * pages[s]}
     out = []
     for d in docs:
         text = "\n".join(x for x in d["text"].split("\n") if (d["source"], x) not in common)
@@ -44,7 +44,7 @@ def test_run_on_whole_tables(spark, sf):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     one = kept_by_rules(docs)
     two = without_boilerplate(one)
-    near = near_duplicates([(d["doc_id"], d["text"]) for d in two])
+    near = near_duplicates([(d["doc_id"], d["text"]) for d in two], 80)
     three = [d for d in two if near[d["doc_id"]][2]]
     hit = contamination([(d["doc_id"], d["text"]) for d in three], items)
     four = [d for d in three if not hit[d["doc_id"]][4]]
