@@ -14,8 +14,10 @@ LOCAL_REVIEWER, DISABLED = "ollama-gemma-3-4b", "disabled"
 
 
 def leading_integer(text: Column) -> Column:
-    """The integer that a text begins with, after white space; null if none."""
-    return F.try_to_number(F.nullif(F.regexp_extract(text, "^\\s*([+-]?[0-9]{1,18})", 1), F.lit("")), F.lit("S" + "9" * 18)).cast("long")
+    """The integer that a text begins with, after white space; null if none. What a long can't hold is its nearest value."""
+    digits = F.nullif(F.regexp_extract(text, "^\\s*([+-]?[0-9]+)", 1), F.lit(""))
+    edge = F.when(digits.startswith("-"), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+    return F.when(digits.isNotNull(), F.coalesce(digits.try_cast("long"), edge))
 
 
 def number_setting(text: Column, default: int, floor: int | None = None) -> Column:
@@ -43,6 +45,11 @@ def inner_timeout_ms(name: Column, text: Column) -> Column:
     return F.when(name == LOCAL_REVIEWER, F.greatest(F.lit(LOCAL_TIMEOUT_MS).cast("long"), given)).otherwise(given)
 
 
+def enabled(text: Column) -> Column:
+    """Scans run unless the switch says exactly false."""
+    return F.coalesce(text, F.lit("")) != "false"
+
+
 def interval_text(ms: Column) -> Column:
     """Milliseconds as whole seconds in words, halves rounded up."""
     return F.concat(F.floor(ms / 1000 + 0.5).cast("long").cast("string"), F.lit(" seconds"))

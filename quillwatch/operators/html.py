@@ -133,6 +133,12 @@ def page_features(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
     return pages.withColumn("_page", parse_page(F.col(html), F.col(url))).select("*", "_page.text", "_page.policy_href", "_page.form").drop("_page")
 
 
+@F.pandas_udf(T.StringType())
+def parse_text(html: pd.Series) -> pd.Series:
+    """The text of each page's body."""
+    return html.map(lambda h: page_text(_read(h)))
+
+
 def policy_link(html: Column) -> Column:
     """The first policy link of well-formed markup without a parser: anchors with double-quoted addresses."""
     anchors = F.regexp_extract_all(html, F.lit('(?is)(<a [^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))
@@ -145,9 +151,13 @@ def policy_link(html: Column) -> Column:
 def fetch_policies(pages: DataFrame, store: DataFrame, href: str = "policy_href", url: str = "url") -> DataFrame:
     """pages with policy_url and policy_text, read from a table of fetched documents (url, ok, body).
 
-    A link that isn't http or https, a document that is missing and one that wasn't fetched well give an empty text.
+    A link that isn't http or https, a document that is missing and one that wasn't fetched well give an empty text. Of
+    several documents of one address the least counts. Only wanted documents are shuffled with their markup, and each
+    is parsed once.
     """
     wanted = pages.withColumn("policy_url", urls.resolve_policy_url(F.col(href), F.col(url)))
-    got = store.filter("ok").groupBy(urls.url_key(F.col("url")).alias("_key")).agg(F.min("body").alias("_body"))
+    keys = wanted.select(urls.url_key(F.col("policy_url")).alias("_key")).filter("_key is not null").distinct()
+    found = store.filter("ok").select(urls.url_key(F.col("url")).alias("_key"), F.col("body").alias("_body")).join(keys, "_key", "left_semi")
+    got = found.groupBy("_key").agg(F.min("_body").alias("_body")).select("_key", parse_text("_body").alias("_text"))
     joined = wanted.join(got, urls.url_key(F.col("policy_url")) == F.col("_key"), "left")
-    return joined.withColumn("policy_text", F.coalesce(texts.visible_text(F.col("_body")), F.lit(""))).drop("_key", "_body")
+    return joined.withColumn("policy_text", F.coalesce("_text", F.lit(""))).drop("_key", "_text")

@@ -1,8 +1,8 @@
 """The scan-job life cycle as an append-only event log: claim, complete, fail, release, reap.
 
 Parquet tables know no update, so each transition is a row (job_id, version, kind, at, worker, error, result), and a
-job's state is the fold of its rows: the row with the greatest version says everything that can change. One writer
-appends transitions, so versions rise by one and a claim is exclusive.
+job's state is the fold of its rows: the row with the greatest version says everything that can change. Versions rise
+by one, so two writers of one version meet in it: the first to write holds, and the later one is fenced.
 """
 
 from __future__ import annotations
@@ -31,11 +31,30 @@ def created(jobs: DataFrame) -> DataFrame:
     return jobs.select(F.col("id").alias("job_id"), F.lit(0).cast("long").alias("version"), F.lit("created").alias("kind"), F.col("created_at").alias("at"), *state)
 
 
+def _first_and_last(events: DataFrame) -> DataFrame:
+    """(job_id, first, last): each job's first event, and of the greatest version the event that isn't fenced.
+
+    The order is total: of one version the earliest event counts, and of equal times the greatest by the other columns.
+    """
+    rest = ("kind", "at", *STATE)
+    first, last = F.struct("version", "at", "kind", *STATE), F.struct("version", (-F.unix_micros(F.col("at").cast("timestamp"))).alias("before"), *rest)
+    return events.groupBy("job_id").agg(F.min(first).alias("first"), F.max(last).alias("last"))
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """The state of each job: (job_id, version, created_at, STATE). One shuffle on job_id, partial aggregates."""
-    last = F.struct("version", *STATE)
-    out = events.groupBy("job_id").agg(F.max_by(last, "version").alias("s"), F.min_by("at", "version").alias("created_at"))
-    return out.select("job_id", "s.version", "created_at", *[f"s.{c}" for c in STATE])
+    """The state of each job: (job_id, version, created_at, STATE). One shuffle on job_id, partial aggregates.
+
+    Fenced events don't count, whatever the order of the log.
+    """
+    out = _first_and_last(events)
+    return out.select("job_id", "last.version", F.col("first.at").alias("created_at"), *[f"last.{c}" for c in STATE])
+
+
+def compacted(events: DataFrame) -> DataFrame:
+    """The events that the fold of a log rests on: two rows a job at most, with the same fold."""
+    names = ("version", "kind", "at", *STATE)
+    ends = _first_and_last(events).select("job_id", *[F.struct(*[f"{end}.{c}" for c in names]).alias(end) for end in ("first", "last")])
+    return ends.select("job_id", F.explode(F.array_distinct(F.array("first", "last"))).alias("e")).select("job_id", "e.*")
 
 
 def _event(jobs: DataFrame, kind: str, at: Column, **changes: Column) -> DataFrame:
@@ -95,7 +114,7 @@ def reap(jobs: DataFrame, now: Column, after_s: int = STUCK_AFTER_S) -> DataFram
 
 def fenced(events: DataFrame) -> DataFrame:
     """Events of a worker that no longer holds the job: its version isn't the one after the last (a late writer)."""
-    order = Window.partitionBy("job_id").orderBy("version", "at")
+    order = Window.partitionBy("job_id").orderBy("version", "at", *[F.desc(c) for c in ("kind", *STATE)])
     return events.withColumn("fenced", F.coalesce(F.col("version") <= F.lag("version").over(order), F.lit(False)))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.catalog import DEFAULT_RULES, Rule
 from . import html, trackers, verdicts
 
+# Fixed value: the version that results carry.
 RULESET = "2026.04.11-deep"
 TRACKER_TYPE = "array<struct<name:string,vendor:string,risk:string,description:string,baa:boolean,example_url:string,request_count:bigint>>"
 

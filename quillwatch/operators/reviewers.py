@@ -7,6 +7,7 @@ the caller turns that into the stub verdict. Nothing here logs a payload or a re
 from __future__ import annotations
 
 import json
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.settings import DEFAULT_TIMEOUT_MS, LOCAL_TIMEOUT_MS
+from ..functions.settings import DEFAULT_TIMEOUT_MS, LEAST_TIMEOUT_MS, LOCAL_TIMEOUT_MS
 from .verdicts import DATA_RISKS, FORM_RISKS, SCORES, Reviewer
 
 TEMPERATURE = 0.2
@@ -23,13 +24,33 @@ USER_AGENT = "quillwatch/1.0"
 
 PROMPT = f"""You review how a website handles health data. The user message is JSON: policy text, trackers found, hosts that no rule explains, and a summary of the contact form.
 Answer with one JSON object and nothing else:
-privacyPolicyScore: whole number from {SCORES[0]} (no policy) to {SCORES[1]} (covers health data, sharing, agreements, breach notice, retention and trackers);
+privacyPolicyScore: whole number from {SCORES[0]} to {SCORES[1]}. {SCORES[0]}: there is no policy text. 1: a policy that says nothing about health privacy law. 2: names that law, but not what others or trackers get of health data. 3: says how health data and some sharing are handled, but neither agreements with partners nor patients' rights. 4: law, sharing and rights are covered, but agreements, breach notice or retention is missing. {SCORES[1]}: all of it, and what trackers may and may not see;
 privacyPolicyMissing: list of short phrases for what the policy lacks;
-phiFormRiskLevel: one of {', '.join(FORM_RISKS)}; high needs clinical fields together with identity and a foreign or unencrypted target;
+phiFormRiskLevel: one of {', '.join(FORM_RISKS)}. high: clinical fields together with identity, sent to a foreign or unencrypted target. medium: such fields sent to the site itself over https, or contact fields on a page with foreign trackers. low: contact or appointment fields only, sent to the site itself over https. none: no form, or nothing near health data;
 phiFormReasoning: one sentence;
 unknownTrackerClassifications: an object with each unknown host as a key and likelyVendor, phiRisk ({', '.join(DATA_RISKS)}) and reasoning as its value; empty without hosts.
 Without policy text the score is 0 and the list holds "no privacy policy detected"."""
 
+# The names and values of a reply, as a schema that is sent with the request where a model takes one.
+REPLY_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "privacyPolicyScore": {"type": "integer", "minimum": SCORES[0], "maximum": SCORES[1]},
+        "privacyPolicyMissing": {"type": "array", "items": {"type": "string"}},
+        "phiFormRiskLevel": {"type": "string", "enum": list(FORM_RISKS)},
+        "phiFormReasoning": {"type": "string"},
+        "unknownTrackerClassifications": {
+            "type": "object",
+            "additionalProperties": {
+                "type": "object",
+                "properties": {"likelyVendor": {"type": "string"}, "phiRisk": {"type": "string", "enum": list(DATA_RISKS)}, "reasoning": {"type": "string"}},
+                "required": ["likelyVendor", "phiRisk", "reasoning"],
+            },
+        },
+    },
+}
+REPLY_SCHEMA["required"] = list(REPLY_SCHEMA["properties"])
+
 Post = Callable[[str, dict, dict, float], dict]
 
 
@@ -53,7 +74,7 @@ class Gemini:
         body = {
             "systemInstruction": {"parts": [{"text": PROMPT}]},
             "contents": [{"role": "user", "parts": [{"text": payload}]}],
-            "generationConfig": {"temperature": TEMPERATURE, "responseMimeType": "application/json"},
+            "generationConfig": {"temperature": TEMPERATURE, "responseMimeType": "application/json", "responseSchema": REPLY_SCHEMA},
         }
         url = f"https://generativelanguage.googleapis.com/v1beta/models/{self.name}:generateContent"
         return self.post(url, {"x-goog-api-key": self.key}, body, self.timeout_s)["candidates"][0]["content"]["parts"][0]["text"]
@@ -84,8 +105,9 @@ class Ollama:
 def from_settings(settings: dict[str, str], post: Post = post_json) -> Callable[[], Reviewer] | None:
     """What makes the first reviewer that is set up, or None. settings: gemini_key, deepseek_key, ollama_host, ollama_model, timeout_ms."""
     value = lambda k: (settings.get(k) or "").strip()
-    given = int(value("timeout_ms")) if value("timeout_ms").isdigit() else 0
-    timeout = {"timeout_ms": max(1000, given)} if given else {}
+    number = re.match(r"[+-]?[0-9]+", value("timeout_ms"))  # as settings.inner_timeout_ms reads it
+    given = (int(number[0]) if number else 0) or DEFAULT_TIMEOUT_MS
+    timeout = {"timeout_ms": max(LEAST_TIMEOUT_MS, given)} if settings.get("timeout_ms") else {}
     if value("gemini_key"):
         return lambda: Gemini(value("gemini_key"), post=post, **timeout)
     if value("deepseek_key"):

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import threading
+import time
+from collections.abc import Callable
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +29,20 @@ PAYLOADS = {
 
 
 def event_json(name: str, at: Column, **payload: Column) -> Column:
-    """One event as JSON: event, ts, then the payload; long strings are shortened, a payload's own event or ts counts."""
+    """One event as JSON: event, ts, then the payload; long strings are shortened, a payload's own event or ts counts.
+
+    Whether a payload is a string is known when the plan is made only, so the line is made of JSON texts, of which
+    strings are told by their quote and cut as values.
+    """
+    def value(column: Column) -> Column:
+        text = F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false"})
+        capped = F.to_json(F.struct(short(F.get_json_object(text, "$.v")).alias("v")), {"ignoreNullFields": "false"})
+        inner = F.when(text.startswith('{"v":"'), capped).otherwise(text)
+        return F.substring(inner, 6, F.length(inner) - 6)
+
     fields = {"event": F.lit(name), "ts": iso_instant(at)} | payload
-    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
+    parts = [F.concat(F.lit(f"{json.dumps(k)}:"), value(v)) for k, v in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def short(text: Column, limit: int = STRING_CAP) -> Column:
@@ -57,3 +74,43 @@ def health(jobs: DataFrame, worker: str, provider: str, version: str, started_at
         F.lit("shutting_down" if shutting_down else "ok").alias("status"), F.lit(provider).alias("provider"), F.lit(worker).alias("workerId"), "activeJobs",
         (F.unix_millis(now) - F.unix_millis(started_at)).alias("uptimeMs"), F.lit(version).alias("version"), F.lit(shutting_down).alias("shuttingDown"), F.lit(503 if shutting_down else 200).alias("code"),
     )
+
+
+class HealthServer:
+    """Answers GET /healthz with the worker's state as JSON, 503 once it shuts down, and everything else with 404.
+
+    state() gives provider, workerId, activeJobs, version and shuttingDown. Runs on the driver.
+    """
+
+    def __init__(self, state: Callable[[], dict], port: int = 8080, host: str = ""):
+        began = time.monotonic()
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):
+                code, kind, body = 404, "text/plain", b"not found"
+                if self.path == "/healthz":
+                    now = state()
+                    down = bool(now["shuttingDown"])
+                    answer = {"status": "shutting_down" if down else "ok", "provider": now["provider"], "workerId": now["workerId"], "activeJobs": now["activeJobs"], "uptimeMs": int(1000 * (time.monotonic() - began)), "version": now["version"], "shuttingDown": down}
+                    code, kind, body = 503 if down else 200, "application/json", json.dumps(answer).encode()
+                self.send_response(code)
+                self.send_header("content-type", kind)
+                self.send_header("content-length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+            def do_POST(self):
+                self.send_error(404)
+
+            do_PUT = do_DELETE = do_HEAD = do_PATCH = do_POST
+
+            def log_message(self, *_):
+                pass
+
+        self.server = ThreadingHTTPServer((host, port), Handler)
+        self.port = self.server.server_address[1]
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def close(self) -> None:
+        self.server.shutdown()
+        self.server.server_close()

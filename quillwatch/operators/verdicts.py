@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import queue
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.settings import DISABLED
+from ..functions.settings import DEFAULT_TIMEOUT_MS, DISABLED, LOCAL_REVIEWER, LOCAL_TIMEOUT_MS
 
 # What a verdict may say.
 FORM_RISKS = ("none", "low", "medium", "high")
@@ -145,8 +147,35 @@ class Reviewer(Protocol):
     def classify(self, payload: str) -> str: ...
 
 
-def run_reviews(inputs: DataFrame, make_reviewer: Callable[[], Reviewer] | None, payload: str = "payload") -> DataFrame:
-    """inputs with verdict: one reviewer a partition, no row ever fails. Without a reviewer no Python runs."""
+def outer_timeout(name: str, given_ms: int | None = None) -> int:
+    """Milliseconds that a review may take in all; a local reviewer has more time."""
+    base = given_ms if given_ms is not None and given_ms > 0 else DEFAULT_TIMEOUT_MS
+    return max(LOCAL_TIMEOUT_MS, base) if name == LOCAL_REVIEWER else base
+
+
+def classify_within(reviewer: Reviewer, payload: str, timeout_ms: int) -> str:
+    """The reviewer's reply; raises TimeoutError when it takes longer. What it does afterwards is thrown away."""
+    box: queue.Queue = queue.Queue(1)
+
+    def ask() -> None:
+        try:
+            box.put((True, reviewer.classify(payload)))
+        except BaseException as e:
+            box.put((False, e))
+
+    threading.Thread(target=ask, daemon=True).start()
+    try:
+        ok, value = box.get(timeout=timeout_ms / 1000)
+    except queue.Empty:
+        raise TimeoutError("review") from None
+    if not ok:
+        raise value
+    return value
+
+
+def run_reviews(inputs: DataFrame, make_reviewer: Callable[[], Reviewer] | None, payload: str = "payload", timeout_ms: int | None = None) -> DataFrame:
+    """inputs with verdict: one reviewer a partition, no row ever fails or takes longer than the outer timeout. Without a
+    reviewer no Python runs."""
     if make_reviewer is None:
         nothing = F.lit(None).cast(VERDICT_TYPE)
         return inputs.withColumn("verdict", with_fallback(nothing, F.lit(DISABLED), F.lit(0)))
@@ -159,7 +188,7 @@ def run_reviews(inputs: DataFrame, make_reviewer: Callable[[], Reviewer] | None,
             for p in rows[payload]:
                 began = time.monotonic()
                 try:
-                    parsed.append(parse_reply(reviewer.classify(p)))
+                    parsed.append(parse_reply(classify_within(reviewer, p, outer_timeout(reviewer.name, timeout_ms))))
                 except VerdictError as e:
                     parsed.append(_safe(None) | {"error": str(e)})
                 except Exception:  # whatever a reviewer raises, the row gets the stub

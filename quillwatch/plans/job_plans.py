@@ -74,9 +74,11 @@ def queue_reap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State after a log of creations, reaps and claims."""
-    log = jobs.created(_jobs(spark, sf_dir))
-    log = log.union(jobs.reap(jobs.fold(log), now()))
+    """State after a log of creations, reaps, and workers that complete what was reaped from them: these are fenced."""
+    first = jobs.created(_jobs(spark, sf_dir))
+    reaped = jobs.reap(jobs.fold(first), now())
+    late = jobs.complete(jobs.fold(first).join(reaped.select("job_id"), "job_id", "left_semi"), now() + F.expr("INTERVAL 1 SECOND"), F.lit("{}"))
+    log = late.union(first).union(reaped)
     return jobs.fold(log).groupBy("status", "version").agg(F.count("*").alias("jobs"), F.sum("claim_count").alias("claims"))
 
 
@@ -108,7 +110,9 @@ def event_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = telemetry.event_json("scan_started", F.col("ts"), jobId=F.col("event_id").cast("string"), url=F.lit("https://a.example.org/"), provider=F.lit("disabled"), workerId=F.concat(F.lit("w"), F.col("user_id").cast("string")))
+    """Every other event has an address longer than a line may hold."""
+    url = F.concat(F.lit("https://a.example.org/"), F.when(F.col("event_id") % 2 == 0, F.repeat(F.lit("p/"), 400)).otherwise(""))
+    line = telemetry.event_json("scan_started", F.col("ts"), jobId=F.col("event_id").cast("string"), url=url, provider=F.lit("disabled"), workerId=F.concat(F.lit("w"), F.col("user_id").cast("string")))
     return _events(spark, sf_dir).select("event_id", line.alias("line"))
 
 
@@ -191,7 +195,7 @@ ORACLES = {
     "worker_gauge": f"{_J} SELECT coalesce(claimed_by, 'unknown') AS worker, count(*) AS active FROM running GROUP BY 1",
     "health_status": f"{_J} SELECT 'shutting_down' AS status, 'disabled' AS provider, 'w1' AS \"workerId\", count(*) AS \"activeJobs\", 5000::BIGINT AS \"uptimeMs\", '1' AS version, true AS \"shuttingDown\", 503 AS code FROM running WHERE claimed_by = 'w1'",
     "event_truncate": "SELECT doc_id, length(s)::INT AS n_chars, md5(s) AS text_md5 FROM (SELECT doc_id, CASE WHEN length(text) > 500 THEN concat(substring(text, 1, 500), '…') ELSE text END AS s FROM documents)",
-    "event_json": f"SELECT event_id, concat('{{\"event\":\"scan_started\",\"ts\":\"', {_ISO}, '\",\"jobId\":\"', event_id, '\",\"url\":\"https://a.example.org/\",\"provider\":\"disabled\",\"workerId\":\"w', user_id, '\"}}') AS line FROM events",
+    "event_json": f"SELECT event_id, concat('{{\"event\":\"scan_started\",\"ts\":\"', {_ISO}, '\",\"jobId\":\"', event_id, '\",\"url\":\"', CASE WHEN event_id % 2 = 0 THEN concat(substring(concat('https://a.example.org/', repeat('p/', 400)), 1, 500), '…') ELSE 'https://a.example.org/' END, '\",\"provider\":\"disabled\",\"workerId\":\"w', user_id, '\"}}') AS line FROM events",
     "event_counts": "SELECT event_type, count(*) AS events, min(event_id) AS first_id FROM events GROUP BY 1",
     "scan_durations": f"{_J} SELECT id AS job_id, (epoch_ms({_N}) - epoch_ms(started_at))::BIGINT AS duration_ms FROM running",
     "error_cap": "SELECT doc_id, least(length(text), 2000)::INT AS n_chars FROM documents",

@@ -34,7 +34,7 @@ def privacy_text_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def privacy_text_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark, sf_dir).select("page_id", F.length(texts.visible_text(F.col("html"), 500)).alias("n_chars"))
+    return _raw(spark, sf_dir).select("page_id", F.length(texts.visible_text(F.col("html"))).alias("n_chars"))
 
 
 def privacy_link(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ _FORMS = f"SELECT *, {_case('page_id % 6', derived.FORM_FIELDS)} AS fields, {_ca
 ORACLES = {
     "privacy_text": f"SELECT page_id, md5({text_sql('html')}) AS text_md5 FROM pages",
     "privacy_text_parsed": f"SELECT page_id, md5({text_sql('html')}) AS text_md5 FROM pages",
-    "privacy_text_len": f"SELECT page_id, length({text_sql('html', 500)})::INT AS n_chars FROM pages",
+    "privacy_text_len": f"SELECT page_id, length({text_sql('html')})::INT AS n_chars FROM pages",
     "privacy_link": f"{_BASE} SELECT page_id, {_HREF} AS href FROM snapshots",
     "privacy_link_parsed": f"{_BASE} SELECT page_id, {_HREF} AS href FROM snapshots",
     "privacy_resolve": f"{_BASE} SELECT page_id, {_RESOLVED} AS policy_url FROM snapshots",

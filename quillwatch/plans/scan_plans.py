@@ -40,12 +40,12 @@ QUERIES = {f.__name__: f for f in (scan_result, prompt_payload)}
 
 _PARTS = f"""
 WITH {UNKNOWN_SQL},
-snapshots AS ({derived.SNAPSHOTS}),
-listed AS (SELECT page_id, count(*) AS n, string_agg(concat(name, '=', request_count), ';' ORDER BY first_seq, first_idx) AS trackers FROM trackers GROUP BY page_id),
-capped AS (SELECT page_id, count(*) AS n, string_agg(host, ';' ORDER BY place) AS unknown_hosts FROM unknown_hosts WHERE place <= 20 GROUP BY page_id),
-store AS (SELECT regexp_replace(url, '#.*$', '') AS k, min(html) AS body FROM pages WHERE page_id % 9 <> 4 GROUP BY 1),
-policies AS (SELECT w.page_id, {text_sql('s.body')} AS t FROM (SELECT page_id, regexp_replace({_RESOLVED}, '#.*$', '') AS k FROM snapshots) w LEFT JOIN store s ON s.k = w.k),
-forms AS ({_FORMS})
+snapshots AS MATERIALIZED ({derived.SNAPSHOTS}),
+listed AS MATERIALIZED (SELECT page_id, count(*) AS n, string_agg(concat(name, '=', request_count), ';' ORDER BY first_seq, first_idx) AS trackers FROM trackers GROUP BY page_id),
+capped AS MATERIALIZED (SELECT page_id, count(*) AS n, string_agg(host, ';' ORDER BY place) AS unknown_hosts FROM unknown_hosts WHERE place <= 20 GROUP BY page_id),
+store AS MATERIALIZED (SELECT regexp_replace(url, '#.*$', '') AS k, min(html) AS body FROM pages WHERE page_id % 9 <> 4 GROUP BY 1),
+policies AS MATERIALIZED (SELECT w.page_id, {text_sql('s.body')} AS t FROM (SELECT page_id, regexp_replace({_RESOLVED}, '#.*$', '') AS k FROM snapshots) w LEFT JOIN store s ON s.k = w.k),
+forms AS MATERIALIZED ({_FORMS})
 """
 _FROM = "FROM forms f LEFT JOIN listed l ON l.page_id = f.page_id LEFT JOIN capped c ON c.page_id = f.page_id JOIN policies p ON p.page_id = f.page_id"
 ORACLES = {

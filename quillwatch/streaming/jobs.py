@@ -1,8 +1,10 @@
-"""Streams: job inserts that wake workers, a log written by one writer, the reaper, and telemetry windows."""
+"""Streams: job inserts that wake workers, the log of transitions, the reaper's timer, draining, and telemetry windows."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,33 +23,135 @@ class JobLog:
     """The event log in a folder. One instance writes; its batches are idempotent by (batch, step)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folders(self, kind: str) -> list[str]:
+        """Complete folders kind=..., in order of their names."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(n for n in names if n.startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def append(self, events: DataFrame, step: str) -> None:
         """Each step of a batch has a folder of its own, which a repeated batch overwrites."""
         events.write.mode("overwrite").parquet(f"{self.path}/step={step}")
 
+    def _parts(self) -> tuple[list[str], list[str]]:
+        """The newest snapshot, if any, and the steps that came after it."""
+        snapshot = self._folders("snapshot")[-1:]
+        after = f"step={snapshot[0].partition('=')[2]}~" if snapshot else ""
+        return snapshot, [s for s in self._folders("step") if s > after]
+
     def events(self) -> DataFrame:
-        return self.spark.read.schema(jobs.EVENT_SCHEMA).option("basePath", self.path).parquet(f"{self.path}/step=*")
+        snapshot, steps = self._parts()
+        read = self.spark.read.schema(jobs.EVENT_SCHEMA)
+        return read.parquet(*[f"{self.path}/{p}" for p in [*snapshot, *steps]]) if snapshot or steps else self.spark.createDataFrame([], jobs.EVENT_SCHEMA)
 
     def state(self) -> DataFrame:
         return jobs.fold(self.events())
 
+    def compact(self, batch: str) -> None:
+        """Writes what the fold rests on up to and with this batch; later reads begin there. Older folders go."""
+        old, steps = self._parts()
+        jobs.compacted(self.events()).write.mode("overwrite").parquet(f"{self.path}/snapshot={batch}")
+        for name in [*(o for o in old if o != f"snapshot={batch}"), *steps]:
+            self._delete(name)
+
+
+def batch_name(number: int) -> str:
+    """Names of batches sort as their numbers do."""
+    return f"{number:012d}"
 
-def run_queue(inserts: DataFrame, log: JobLog, workers: list[str], now: Callable[[int], Column], checkpoint: str, concurrency: int = 3, after_s: int = jobs.STUCK_AFTER_S) -> StreamingQuery:
+
+def with_ticks(inserts: DataFrame) -> DataFrame:
+    """inserts, and a row of nulls each second, so that batches come while nothing is inserted."""
+    ticks = inserts.sparkSession.readStream.format("rate").load()
+    return inserts.union(ticks.select(*[F.when(F.col("value") < 0, F.lit("")).cast(f.dataType).alias(f.name) for f in inserts.schema]))
+
+
+def run_queue(
+    inserts: DataFrame, log: JobLog, workers: list[str], now: Callable[[int], Column], checkpoint: str, concurrency: int = 3, after_s: int = jobs.STUCK_AFTER_S,
+    period_s: float | None = None, enabled: bool = True, compact_every: int = 100, claiming: Callable[[], bool] = lambda: True,
+) -> StreamingQuery | None:
     """Folds inserts into the log; every batch first reaps what is stuck, then lets workers claim what is pending.
 
-    An insert is only a hint to look: claims are made from the log's state, so a lost or repeated one does no harm.
+    An insert is only a hint to look: claims are made from the log's state, so a lost or repeated one does no harm. With
+    a period a batch comes so often, whether or not anything is inserted, so stuck jobs are reaped by the clock; without
+    one the query ends when all inserts are read. Every so many batches the log is compacted. Nothing runs unless
+    enabled, and nothing is claimed once claiming() is false.
     """
+    if not enabled:
+        return None
+
     def step(batch: DataFrame, number: int) -> None:
-        at = now(number)
-        log.append(jobs.created(batch), f"{number}-1-created")
-        log.append(jobs.reap(log.state(), at, after_s), f"{number}-2-reaped")
-        state = log.state()
-        busy = {r["claimed_by"]: r["n"] for r in state.filter((F.col("status") == jobs.RUNNING) & F.col("claimed_by").isin(workers)).groupBy("claimed_by").agg(F.count("*").alias("n")).collect()}
-        log.append(jobs.claim(state, workers, at, concurrency, busy), f"{number}-3-claimed")
-
-    return inserts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        at, name = now(number), batch_name(number)
+        log.append(jobs.created(batch.filter("id is not null")), f"{name}-1-created")
+        state = log.state().persist()
+        reaped = jobs.reap(state, at, after_s)
+        log.append(reaped, f"{name}-2-reaped")
+        state.unpersist()
+        if claiming():
+            state = log.state().persist()
+            busy = {r["claimed_by"]: r["n"] for r in state.filter((F.col("status") == jobs.RUNNING) & F.col("claimed_by").isin(workers)).groupBy("claimed_by").agg(F.count("*").alias("n")).collect()}
+            log.append(jobs.claim(state, workers, at, concurrency, busy), f"{name}-3-claimed")
+            state.unpersist()
+        if compact_every and number % compact_every == compact_every - 1:
+            log.compact(name)
+
+    stream = with_ticks(inserts) if period_s is not None else inserts
+    trigger = {"availableNow": True} if period_s is None else {"processingTime": f"{period_s} seconds"}
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+@dataclass
+class Shutdown:
+    """What a shutdown did, in order."""
+
+    steps: list[str] = field(default_factory=list)
+    outcome: str = "done"
+    in_flight: int = 0
+    drained: int = 0
+    duration_ms: int = 0
+
+
+def shut_down(in_flight: Callable[[], int], stop_claiming: Callable[[], None], query: StreamingQuery | None = None, close_health: Callable[[], None] = lambda: None, grace_s: float = 120.0, every_s: float = 0.5, log: Callable[[str], None] = lambda line: None) -> Shutdown:
+    """Closes the health endpoint, stops claiming, waits for jobs in flight up to the grace period, then stops the stream.
+
+    Never raises: a step that fails is logged and the next one follows. Jobs still in flight are left to the reaper.
+    """
+    began, out = time.monotonic(), Shutdown()
+
+    def attempt(name: str, act: Callable[[], object]) -> object:
+        try:
+            value = act()
+            out.steps.append(name)
+            return value
+        except Exception as e:
+            log(f"shutdown: {name} failed: {type(e).__name__}")
+            out.steps.append(f"{name} failed")
+            return None
+
+    out.in_flight = attempt("jobs counted", in_flight) or 0
+    attempt("health closed", close_health)
+    attempt("claiming stopped", stop_claiming)
+    left = out.in_flight
+    while left and time.monotonic() - began < grace_s:
+        time.sleep(min(every_s, grace_s))
+        try:
+            left = in_flight()
+        except Exception as e:
+            log(f"shutdown: counting failed: {type(e).__name__}")
+    out.outcome = "timeout" if left else "done"
+    out.steps.append(f"drain {out.outcome}")
+    if query is not None:
+        attempt("stream stopped", query.stop)
+    out.drained, out.duration_ms = out.in_flight - left, int(1000 * (time.monotonic() - began))
+    return out
 
 
 def event_counts(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

@@ -100,6 +100,13 @@ def test_policy_fetching(spark):
     assert got == {1: "Policy", 2: "", 3: "", 4: "", 5: "", 6: "Policy"}
 
 
+def test_fetched_markup_is_parsed(spark):
+    body = "<body><nav>a<nav>b</nav>c</nav>T<img alt='a>b'>Caf&eacute; &#8217;s &mdash; <footer>f</footer>abc</body>"
+    pages = spark.createDataFrame([(1, PAGE, "/p")], "page_id long, url string, policy_href string")
+    store = spark.createDataFrame([("https://clinic.example.com/p", True, body)], "url string, ok boolean, body string")
+    assert html.fetch_policies(pages, store).first()["policy_text"] == "TCafé ’s — abc"
+
+
 def test_reviewers(spark):
     class Raises:
         name = "raises"
@@ -118,6 +125,22 @@ def test_reviewers(spark):
     assert tuple(score(Raises)) == (0, "disabled") and tuple(score(None)) == (0, "disabled") and tuple(score(Good)) == (4, "good")
 
 
+def test_reviews_have_an_outer_timeout(spark):
+    class Slow:
+        name = "slow"
+
+        def classify(self, payload):
+            import time
+
+            time.sleep(20)
+
+    inputs = spark.createDataFrame([(1, "{}")], "page_id long, payload string")
+    began = __import__("time").monotonic()
+    assert tuple(verdicts.run_reviews(inputs, Slow, timeout_ms=300).select("verdict.score", "verdict.provider").first()) == (0, "disabled")
+    assert __import__("time").monotonic() - began < 15
+    assert verdicts.outer_timeout("ollama-gemma-3-4b", 700) == 30_000 and verdicts.outer_timeout("x") == 15_000 and verdicts.outer_timeout("x", 700) == 700
+
+
 def test_scan_with_a_reviewer(spark):
     class Good:
         name = "good"
@@ -163,6 +186,87 @@ def test_reaping(spark):
     assert got == {"old1": ("pending", None), "old3": ("failed", "a")}
 
 
+def test_late_writers_are_fenced_whatever_the_order(spark):
+    log = queue(spark, ("a", "running", 1, "2026-01-01 00:00:00", "w"))
+    reaped = jobs.reap(jobs.fold(log), t0())
+    for delay in (0, 1):  # at the same time and later
+        late = jobs.complete(jobs.fold(log), t0() + F.make_dt_interval(secs=F.lit(delay)), F.lit("{}"))
+        rows = [log, reaped, late]
+        for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0)):
+            events = rows[order[0]].union(rows[order[1]]).union(rows[order[2]])
+            state = jobs.fold(events).collect()
+            assert [(r["status"], r["version"], r["result"]) for r in state] == [("pending", 1, None)]
+            assert {(r["kind"], r["fenced"]) for r in jobs.fenced(events).collect()} == {("created", False), ("reaped", False), ("completed", True)}
+            short = jobs.compacted(events)
+            assert short.count() == 2 and jobs.fold(short).collect() == state
+
+
+def test_the_log_is_compacted(spark, tmp_path):
+    log = streams.JobLog(spark, str(tmp_path / "log"))
+    assert log.state().count() == 0
+    log.append(queue(spark, *[(f"j{k}", "pending", 0, None, None) for k in range(4)]), f"{streams.batch_name(0)}-1-created")
+    log.append(jobs.claim(log.state(), ["a"], t0(), 2), f"{streams.batch_name(0)}-3-claimed")
+    before = sorted(log.state().collect())
+    log.compact(streams.batch_name(0))
+    assert sorted(log.state().collect()) == before and log.events().count() == 6
+    log.append(jobs.complete(log.state().filter("claimed_by = 'a'"), t0(), F.lit("{}")), f"{streams.batch_name(1)}-1-done")
+    log.compact(streams.batch_name(1))
+    assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["snapshot=000000000001"]
+    assert sorted(r["status"] for r in log.state().collect()) == ["complete", "complete", "pending", "pending"]
+
+
+def test_the_clock_reaps_without_inserts(spark, tmp_path):
+    import time
+
+    log = streams.JobLog(spark, str(tmp_path / "log"))
+    log.append(queue(spark, ("old", "running", 1, "2026-01-01 00:00:00", "gone")), "0-seed")
+    (tmp_path / "in").mkdir()
+    inserts = streams.pending_inserts(spark, str(tmp_path / "in"), "id string, status string, created_at timestamp")
+    assert streams.run_queue(inserts, log, ["a"], lambda n: t0(), str(tmp_path / "off"), period_s=1, enabled=False) is None
+    claiming = [True]
+    query = streams.run_queue(inserts, log, ["a"], lambda n: t0(), str(tmp_path / "cp"), period_s=1, claiming=lambda: claiming[0])
+    until = time.monotonic() + 60
+    while time.monotonic() < until and not any(r["claimed_by"] == "a" for r in log.state().collect()):
+        time.sleep(1)
+    done = streams.shut_down(lambda: log.state().filter("status = 'running'").count(), lambda: claiming.__setitem__(0, False), query, grace_s=1)
+    assert [(r["status"], r["claimed_by"], r["claim_count"]) for r in log.state().collect()] == [("running", "a", 2)]
+    assert (done.outcome, done.in_flight, done.drained) == ("timeout", 1, 0) and not query.isActive
+    assert done.steps == ["jobs counted", "health closed", "claiming stopped", "drain timeout", "stream stopped"]
+
+
+def test_shutdown_goes_on_after_a_failure():
+    left, said = iter([2, 1, 0]), []
+    done = streams.shut_down(lambda: next(left), lambda: None, close_health=lambda: 1 / 0, grace_s=5, every_s=0.01, log=said.append)
+    assert (done.outcome, done.drained) == ("done", 2) and done.steps[1] == "health closed failed" and said == ["shutdown: health closed failed: ZeroDivisionError"]
+
+
+def test_health_endpoint():
+    import urllib.error
+    import urllib.request
+
+    state = {"provider": "disabled", "workerId": "w", "activeJobs": 2, "version": "1", "shuttingDown": False}
+    server = telemetry.HealthServer(lambda: state, port=0, host="127.0.0.1")
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{server.port}{path}", timeout=5)
+    try:
+        answer = json.load(get("/healthz"))
+        assert list(answer) == ["status", "provider", "workerId", "activeJobs", "uptimeMs", "version", "shuttingDown"] and (answer["status"], answer["activeJobs"]) == ("ok", 2)
+        with pytest.raises(urllib.error.HTTPError) as e:
+            get("/other")
+        assert e.value.code == 404
+        state["shuttingDown"] = True
+        with pytest.raises(urllib.error.HTTPError) as e:
+            get("/healthz")
+        assert e.value.code == 503 and json.load(e.value)["status"] == "shutting_down"
+    finally:
+        server.close()
+
+
+def test_events_are_cut_by_the_sink(spark):
+    line = telemetry.event_json("scan_failed", t0(), error=F.repeat(F.lit('x"'), 1500), n=F.lit(10**9), list=F.array(F.lit("y")), ts=F.lit("own"))
+    event = json.loads(spark.range(1).select(line).first()[0])
+    assert event == {"event": "scan_failed", "ts": "own", "error": 'x"' * 250 + "…", "n": 10**9, "list": ["y"]}
+
+
 def test_events(spark, tmp_path):
     line = telemetry.event_json("scan_failed", t0(), jobId=F.lit("1"), error=telemetry.short(F.repeat(F.lit("x"), 900)), claimCount=F.lit(1), willRetry=F.lit(True), none=F.lit(None).cast("string"))
     df = spark.range(1).select(line.alias("line"))

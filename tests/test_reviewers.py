@@ -23,6 +23,18 @@ def test_each_reviewer(setting, name):
     assert "0.2" in str(body) and "//api/chat" not in url and timeout == (30 if setting == "ollama_host" else 1)
 
 
+def test_settings_read_numbers_as_the_columns_do():
+    timeout = lambda text: reviewers.from_settings({"gemini_key": "k", "timeout_ms": text})().timeout_s
+    assert [timeout(t) for t in ("", "12abc", " 700", "45000", "-5", "abc", "0")] == [15, 1, 1, 45, 1, 15, 15]
+
+
+def test_the_reply_schema_is_sent():
+    sent = []
+    reviewers.from_settings({"gemini_key": "k"}, lambda *a: sent.append(a) or REPLIES["gemini_key"])().classify("{}")
+    schema = sent[0][2]["generationConfig"]["responseSchema"]
+    assert schema["required"] == list(schema["properties"]) and schema["properties"]["phiFormRiskLevel"]["enum"] == list(verdicts.FORM_RISKS)
+
+
 def test_precedence():
     assert reviewers.from_settings({"gemini_key": " "}) is None
     assert reviewers.from_settings({"ollama_host": "h", "deepseek_key": "k"})().name == "deepseek-v3"
