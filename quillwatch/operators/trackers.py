@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from ..functions import urls
 from ..sources.catalog import DEFAULT_RULES, Rule, catalog_frame, known_pattern
 
-#: Up to so many rules are tested by literal patterns, which are compiled once; a larger catalog is joined.
-LITERAL_RULES = 200
+#: Up to so many rules are tested by literal patterns, which are compiled once; a larger catalog is joined. They are tried
+#: in batches, of which one pattern tells first whether any of them matches.
+LITERAL_RULES, BATCH_RULES = 5_000, 100
 UNKNOWN_HOSTS = 20
 # What a page may be judged, by whether anything was found.
 STATUS_FOUND, STATUS_CLEAN = "warning", "pass"
@@ -26,7 +27,13 @@ def match_rules(requests: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, ur
     real = requests.filter(F.col(url) != "")
     if len(rules) > literal_rules:
         return real.join(catalog, F.expr(f"{url} rlike concat('(?i)', pattern)")).drop("pattern")
-    hits = F.array_compact(F.array(*[F.when(F.col(url).rlike(f"(?i){r.pattern}"), F.lit(k)) for k, r in enumerate(rules)])) if rules else F.array().cast("array<int>")
+    none = F.array().cast("array<int>")
+    hits = []
+    for first in range(0, len(rules), BATCH_RULES):
+        batch = rules[first : first + BATCH_RULES]
+        each = F.array_compact(F.array(*[F.when(F.col(url).rlike(f"(?i){r.pattern}"), F.lit(first + k)) for k, r in enumerate(batch)]))
+        hits.append(each if len(rules) <= BATCH_RULES else F.when(F.col(url).rlike(known_pattern(batch)), each).otherwise(none))
+    hits = F.concat(*hits) if hits else none
     return real.filter(F.col(url).rlike(known_pattern(rules))).withColumn("cat_idx", F.explode(hits)).join(catalog, "cat_idx").drop("pattern")
 
 

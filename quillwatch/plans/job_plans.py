@@ -167,10 +167,36 @@ def timeout_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", settings.outer_timeout_ms(name, F.col("value")).alias("outer_ms"), settings.inner_timeout_ms(name, F.col("value")).alias("inner_ms"), settings.number_setting(F.col("value"), 30_000, 5_000).alias("period_ms"))
 
 
+def slash_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses without the slashes that they end in."""
+    rows = _events(spark, sf_dir).select("event_id", F.concat(F.lit("http://h:1/"), F.col("user_id").cast("string"), F.repeat(F.lit("/"), (F.col("event_id") % 4).cast("int"))).alias("url"))
+    return rows.select("event_id", settings.strip_slashes(F.col("url")).alias("url"))
+
+
+def counts_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a counter gives as text, as a number."""
+    return _settings(spark, sf_dir).select("event_id", settings.count_or_zero(F.col("value")).alias("n"))
+
+
+def scans_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kill switch: only the word false turns scans off."""
+    words = F.array(F.lit("false"), F.lit("true"), F.lit("FALSE"), F.lit(""), F.lit(None).cast("string"))
+    return _events(spark, sf_dir).select("event_id", settings.enabled(words[(F.col("event_id") % 5).cast("int")]).alias("enabled"))
+
+
+def drained_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shutdown's drained count by worker: jobs in flight when it began less those left when its grace period ended."""
+    before = _state(spark, sf_dir).filter("status = 'running'")
+    done = jobs.complete(before.filter("pmod(cast(job_id as long), 3) = 0"), now(), F.lit("{}"))
+    after = jobs.fold(jobs.created(_jobs(spark, sf_dir)).union(done)).filter("status = 'running'").groupBy(jobs.worker_of(F.col("claimed_by")).alias("worker")).agg(F.count("*").alias("left"))
+    began = before.groupBy(jobs.worker_of(F.col("claimed_by")).alias("worker")).agg(F.count("*").alias("in_flight"))
+    return began.join(after, "worker", "left").select("worker", "in_flight", (F.col("in_flight") - F.coalesce("left", F.lit(0))).alias("drained"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        queue_claim_oldest, queue_claim_workers, queue_complete, queue_fail, queue_release, queue_retry_decision, queue_reap, queue_reap_count, queue_fold, queue_fenced, queue_wake_up, worker_gauge, health_status,
+        slash_strip, counts_or_zero, scans_enabled, drained_jobs, queue_claim_oldest, queue_claim_workers, queue_complete, queue_fail, queue_release, queue_retry_decision, queue_reap, queue_reap_count, queue_fold, queue_fenced, queue_wake_up, worker_gauge, health_status,
         event_truncate, event_json, event_counts, scan_durations, error_cap, log_filter, interval_text, worker_ids, provider_choice, timeout_rules,
     )
 }
@@ -181,6 +207,10 @@ _PROVIDER = "CASE WHEN g = 'key' THEN 'gemini-2.5-flash' WHEN d = 'key' THEN 'de
 _SET = "(SELECT event_id, event_id % 8 AS v, CASE WHEN event_id // 8 % 3 = 0 THEN 'key' END AS g, CASE WHEN event_id // 24 % 3 = 0 THEN 'key' END AS d, CASE WHEN event_id // 72 % 3 = 0 THEN 'key' END AS o FROM events)"
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
 ORACLES = {
+    "slash_strip": "SELECT event_id, concat('http://h:1/', user_id) AS url FROM events",
+    "counts_or_zero": "SELECT event_id, [0, 0, 0, 700, -5, 0, 45000, 999999][event_id % 8 + 1]::DOUBLE AS n FROM events",
+    "scans_enabled": "SELECT event_id, event_id % 5 <> 0 AS enabled FROM events",
+    "drained_jobs": f"{_J} SELECT coalesce(claimed_by, 'unknown') AS worker, count(*) AS in_flight, count(*) FILTER (WHERE id::BIGINT % 3 = 0) AS drained FROM running GROUP BY 1",
     "queue_claim_oldest": f"{_J} SELECT id AS job_id, 1::BIGINT AS version, 'running' AS status, 'w-a' AS claimed_by, claim_count + 1 AS claim_count, {_N} AS started_at FROM jobs WHERE status = 'pending' ORDER BY created_at, id LIMIT 1",
     "queue_claim_workers": f"{_J}, places AS (SELECT * FROM (VALUES (1, 'w-a'), (2, 'w-b'), (3, 'w-c'), (4, 'w-a'), (5, 'w-b'), (6, 'w-c'), (7, 'w-a'), (8, 'w-b'), (9, 'w-c'), (10, 'w-a'), (11, 'w-c')) p(k, w)) SELECT j.id AS job_id, p.w AS claimed_by, j.claim_count + 1 AS claim_count FROM (SELECT *, row_number() OVER (ORDER BY created_at, id) AS k FROM jobs WHERE status = 'pending') j JOIN places p ON p.k = j.k",
     "queue_complete": f"{_J} SELECT id AS job_id, 1::BIGINT AS version, 'complete' AS status, claimed_by, '{{\"score\":3}}' AS result, NULL::VARCHAR AS error, {_N} AS completed_at FROM running",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import trackers
 from ..sources import derived
-from ..sources.catalog import DEFAULT_RULES
+from ..sources.catalog import DEFAULT_RULES, Rule
 
 _text = lambda s: "'" + s.replace("'", "''") + "'"
 CATALOG_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {_text(r.pattern)}, {_text(r.name)}, {_text(r.vendor)}, {_text(r.risk)}, {str(r.baa).lower()})" for k, r in enumerate(DEFAULT_RULES)) + ") c(cat_idx, pattern, name, vendor, risk, baa)"
@@ -36,6 +36,10 @@ unknown_hosts AS (SELECT page_id, host, first_seq, row_number() OVER (PARTITION
 """
 
 
+#: A catalog of 150 rules, each for the URLs that hold two certain digits in a row or the name of a page.
+OWN_RULES = tuple(Rule(f"/{k // 2 % 10}{k % 10}" if k < 100 else f"page{k}[^0-9]", f"R{k}", "v", "low", False) for k in range(150))
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.requests(spark, sf_dir)
 
@@ -65,6 +69,11 @@ def tracker_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trackers.match_rules(_requests(spark, sf_dir), literal_rules=0).select("page_id", "seq", "cat_idx", "name")
 
 
+def tracker_own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of a caller's own catalog, larger than one batch of rules."""
+    return trackers.match_rules(_requests(spark, sf_dir), OWN_RULES).select("page_id", "seq", "cat_idx", "name")
+
+
 def tracker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trackers(spark, sf_dir).select("page_id", "name", "request_count")
 
@@ -150,7 +159,7 @@ def unknown_host_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_catalog, request_log, tracker_match, tracker_match_join, tracker_counts, tracker_first_example, tracker_order, tracker_rank_order, tracker_by_vendor, detected_short,
+        rule_catalog, request_log, tracker_match, tracker_match_join, tracker_own_rules, tracker_counts, tracker_first_example, tracker_order, tracker_rank_order, tracker_by_vendor, detected_short,
         page_status, page_warning_count, no_tracker_pages, url_host, url_scheme_filter, empty_urls_dropped, registrable_domain, first_party_filter, known_rule_exclusion, unknown_hosts, unknown_hosts_top20, unknown_host_spread,
     )
 }
@@ -162,6 +171,7 @@ ORACLES = {
     "request_log": f"WITH {BASE_SQL} SELECT page_id, seq, url FROM requests",
     "tracker_match": f"WITH {BASE_SQL} SELECT page_id, seq, cat_idx, name FROM matches",
     "tracker_match_join": f"WITH {BASE_SQL} SELECT page_id, seq, cat_idx, name FROM matches",
+    "tracker_own_rules": f"WITH requests AS ({derived.REQUESTS}) SELECT r.page_id, r.seq, c.cat_idx, c.name FROM requests r JOIN (SELECT * FROM (VALUES {', '.join(f'({k}, {_text(r.pattern)}, {_text(r.name)})' for k, r in enumerate(OWN_RULES))}) v(cat_idx, pattern, name)) c ON r.url <> '' AND regexp_matches(r.url, concat('(?i)', c.pattern))",
     "tracker_counts": f"WITH {BASE_SQL} SELECT page_id, name, request_count FROM trackers",
     "tracker_first_example": f"WITH {BASE_SQL} SELECT page_id, name, vendor, risk, baa, example_url, first_seq FROM trackers",
     "tracker_order": f"WITH {BASE_SQL} SELECT page_id, name, row_number() OVER (PARTITION BY page_id ORDER BY first_seq, first_idx) AS place FROM trackers",

@@ -17,7 +17,8 @@ class Rule(NamedTuple):
 
 
 # Patterns (unanchored, matched without regard to case), names, vendors, risks and whether a business
-# associate agreement is on offer. Results depend on them and on their order.
+# associate agreement is on offer. Results depend on them and on their order. Dots are written [.], since one text
+# serves two SQL dialects of which one drops a lone backslash.
 DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("connect[.]facebook[.]net|fbevents[.]js|facebook[.]com/tr", "Facebook Pixel", "Meta", "high", False, "Advertising pixel that links visits to social accounts"),
     Rule("analytics[.]tiktok[.]com|tiktok[.]com/i18n/pixel", "TikTok Pixel", "TikTok", "high", False, "Advertising pixel for short-video campaigns"),

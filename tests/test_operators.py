@@ -166,6 +166,19 @@ def queue(spark, *rows):
     return jobs.created(jobs_in)
 
 
+def test_captures(spark, tmp_path):
+    from quillwatch.sources import captures
+
+    entry = lambda page, url: {"pageref": page, "request": {"method": "GET", "url": url}}
+    (tmp_path / "a.har").write_text(json.dumps({"log": {"pages": [{"id": "p1", "title": PAGE}, {"id": "p2", "title": "Home"}], "entries": [entry("p1", PAGE), entry("p2", "https://o.org/"), entry("p1", "https://js.driftt.com/x")]}}, indent=1))
+    (tmp_path / "b.har").write_text("no archive")
+    (tmp_path / "c.har").write_text(json.dumps({"log": {"entries": [{"request": {"url": "https://x.net/"}}, {"request": None}]}}))
+    rows = captures.read_captures(spark, str(tmp_path)).collect()
+    assert {(r["page_url"], r["seq"], r["url"]) for r in rows} == {(PAGE, 0, PAGE), (PAGE, 2, "https://js.driftt.com/x"), ("https://o.org/", 1, "https://o.org/"), ("https://x.net/", 0, "https://x.net/")}
+    assert len({r["page_id"] for r in rows}) == 3
+    assert [r["name"] for r in trackers.detect_trackers(captures.read_captures(spark, str(tmp_path))).collect()] == ["Drift"]
+
+
 def test_life_cycle(spark):
     log = queue(spark, *[(f"j{k}", "pending", 0, None, None) for k in range(10)])
     claims = jobs.claim(jobs.fold(log), ["a", "b", "c"], t0(), per_worker=4)
