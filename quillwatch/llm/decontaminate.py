@@ -5,7 +5,7 @@ looked up in it, hits are verified word by word, and the hit words give spans to
 
 The set's size is bounded as built: items are cut into chunks of ``CHUNK_WORDS`` that overlap by a window less a word,
 and chunks are dealt by hash into slices of about ``SLICE_WORDS``; each slice is broadcast in a pass of its own. A slice
-takes some 60 MB in a worker. Between passes the documents are written with what was found so far.
+takes some 50 MB in a worker. Between passes the documents are written with what was found so far.
 
 Cases: null and empty texts have no words and no hits; items without words are never found; items shorter than a
 window are one window as a whole; equal items and repeated rows each count; null item ids count as an item but

@@ -54,7 +54,7 @@ COMMON = 32
 #: Pairs or ids (16 to 80 bytes each) that are broadcast at most; beyond, joins shuffle both sides.
 BROADCAST_ROWS = 200_000
 #: Words whose hashes a task keeps.
-WORD_TABLE = 1_000_000
+WORD_TABLE = 400_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -5,8 +5,8 @@ host, each host's failure rate of each rule is shrunk toward a beta prior fitted
 shrunk rate stays high pass their verdict on to all their documents. Built-in functions only.
 
 Cases: a null or empty text has no words and fails; a null host is a host of its own; repeated rows count each; an
-empty table gives an empty table; input columns named like the outputs are replaced; very long texts are counted
-whole. Words are runs of ``[^\\x20\\x09-\\x0D]``.
+empty table gives an empty table; input columns named like the outputs are replaced, and no other name is taken; very
+long texts are counted whole. Words are runs of ``[^\\x20\\x09-\\x0D]``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
 from .storage import Scratch
 
 MIN_WORDS = 50
@@ -72,20 +73,22 @@ def _repeat_words(windows: Column) -> Column:
 def count_features(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the columns of FEATURES (long), from each whole text."""
     plain = F.coalesce(F.col(text), F.lit(""))
-    out = df.drop(*FEATURES, "_words", "_lines", "_windows")
+    out = df.drop(*FEATURES)
+    kept = out.columns
+    words, lines, keys = fresh([*df.columns, *FEATURES], "_words", "_lines", "_windows")
     # each array is named by a projection of its own and used twice or more, so that it is computed once
     trimmed = F.btrim(plain, F.lit(BLANK))
-    out = out.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \t\n\x0b\f\r]+", -1)))
-    out = out.withColumn("_lines", F.filter(F.split(plain, "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != ""))
-    word = F.col("_words")
-    out = out.withColumn("_windows", F.when(F.size(word) >= 3, F.transform(F.sequence(F.lit(0), F.size(word) - 3), lambda i: F.xxhash64(F.get(word, i), F.get(word, i + 1), F.get(word, i + 2)))).otherwise(F.array().cast("array<bigint>")))
-    windows = F.col("_windows")
+    out = out.withColumn(words, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \t\n\x0b\f\r]+", -1)))
+    out = out.withColumn(lines, F.filter(F.split(plain, "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != ""))
+    word = F.col(words)
+    out = out.withColumn(keys, F.when(F.size(word) >= 3, F.transform(F.sequence(F.lit(0), F.size(word) - 3), lambda i: F.xxhash64(F.get(word, i), F.get(word, i + 1), F.get(word, i + 2)))).otherwise(F.array().cast("array<bigint>")))
+    windows = F.col(keys)
     return out.select(
-        *[c for c in out.columns if c not in ("_words", "_lines", "_windows")],
+        *kept,
         F.size(word).cast("long").alias("n_words"),
         F.length(F.array_join(word, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(plain, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(_repeat_words(windows)).cast("long").alias("n_repeat_words"),
     )
 

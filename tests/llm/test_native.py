@@ -222,6 +222,8 @@ def test_inner_columns_have_names_of_their_own(spark):
     urls = spark.createDataFrame([("http://a.org/x", 1, 2, 3)], "url string, _shape int, _rule int, _found int")
     r = url_filters.judge_urls(urls).first()
     assert (r["_shape"], r["_rule"], r["_found"], r["verdict"]) == (1, 2, 3, "allow")
+    r = quality_rules.count_features(urls.select(F.col("url").alias("text"), F.col("_rule").alias("_words"))).first()
+    assert (r["_words"], r["n_words"]) == (2, 1)
     pages = spark.createDataFrame([("s", "a\nb", 1, 2)], "source string, text string, _host int, _keys int")
     assert tuple(line_dedup.drop_boilerplate(pages).first()) == ("s", "a\nb", 1, 2, 0)
     texts = spark.createDataFrame([("Released under the MIT License.", 1, 2)], "text string, _joined int, _by_line int")
