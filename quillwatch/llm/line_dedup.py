@@ -66,7 +66,10 @@ def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ma
     lists = found.select(F.col("host").alias(of), F.col("keys").alias(keys))
     lists = F.broadcast(lists) if n_lines <= broadcast_lines else lists
     joined = df.join(lists, F.col(host).eqNullSafe(F.col(of)), "left")
-    kept = F.filter(_lines(F.col(text)), lambda x: _is_blank(x) | ~F.array_contains(F.col(keys), _key(x)))
+    # which of a page's lines may be listed is found by hashing, so only those are held against the list one by one
+    listed = F.array_intersect(F.transform(_lines(F.col(text)), lambda x: F.xxhash64(x)), F.transform(keys, lambda k: k["a"]))
+    gone = lambda near, x: ~_is_blank(x) & F.array_contains(near, F.xxhash64(x)) & F.array_contains(F.col(keys), _key(x))
+    kept = F.transform(F.array(listed), lambda near: F.filter(_lines(F.col(text)), lambda x: ~gone(near, x)))[0]
     has = F.col(keys).isNotNull() & F.col(text).isNotNull()
     joined = joined.withColumn(left, F.when(has, kept))
     dropped = F.when(has, F.size(_lines(F.col(text))) - F.size(left)).otherwise(0).cast("long")
