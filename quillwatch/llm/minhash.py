@@ -343,6 +343,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     held = scratch.keep(real.join(several, "id").select("id", "digest").join(classes.select("digest", "rep"), "digest"))
     ties = held.join(held.groupBy("id").agg(F.min("rep").alias("least")), "id").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
     roots = links(classes.select(F.col("rep").alias("id"), "n", "bands"), texts, scratch, percent, ties)
+    scratch.drop(held)
     labelled = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep")["id"].alias("component_id"))
     out = summary.select("id", "n_shingles", "digest").join(labelled, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", F.col("id")))

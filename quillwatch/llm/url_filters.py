@@ -123,7 +123,9 @@ def _branch(level: DataFrame, scratch: Scratch) -> DataFrame:
     joined = here.join(merged, ["host", "template", "segment"], "left")
     name = F.when(F.col("segment").isNull(), "").when(F.coalesce("wild", F.lit(False)), "/*").otherwise(F.concat(F.lit("/"), F.col("segment")))
     rest = F.when(F.col("segment").isNull(), F.col("rest")).otherwise(F.expr("slice(rest, 2, size(rest))"))
-    return scratch.keep(joined.withColumn("template", F.concat("template", name)).withColumn("rest", rest).select(*level.columns))
+    out = scratch.keep(joined.withColumn("template", F.concat("template", name)).withColumn("rest", rest).select(*level.columns))
+    scratch.drop(branch)
+    return out
 
 
 def _to_next_branch(level: DataFrame, scratch: Scratch) -> DataFrame:
@@ -134,14 +136,17 @@ def _to_next_branch(level: DataFrame, scratch: Scratch) -> DataFrame:
     shared = both.groupBy("host", "template").agg(F.min(F.when(differs > 0, differs - 1).otherwise(F.size("_most"))).cast("int").alias("_shared"))
     out = both.join(shared, ["host", "template"])
     name = F.concat(F.col("template"), F.expr("array_join(transform(slice(rest, 1, _shared), x -> concat('/', x)), '')"))
-    return scratch.keep(out.withColumn("template", name).withColumn("rest", F.expr("slice(rest, _shared + 1, size(rest))")).select(*level.columns))
+    out = scratch.keep(out.withColumn("template", name).withColumn("rest", F.expr("slice(rest, _shared + 1, size(rest))")).select(*level.columns))
+    scratch.drop(both)
+    return out
 
 
 def template_tree(counts: DataFrame, scratch: Scratch) -> DataFrame:
     """counts: (host, shape, n, bad, labelled). Adds template: the shape with merged segments as ``*``."""
     level = scratch.keep(counts.withColumn("template", F.lit("")).withColumn("rest", F.col("shape")))
     for _ in range(MAX_DEPTH):
-        level = _branch(level, scratch)
+        last, level = level, _branch(level, scratch)
+        scratch.drop(last)
     ended = []
     while not (deeper := level.filter(F.size("rest") > 0)).isEmpty():
         ended.append(level.filter(F.size("rest") == 0))
