@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .names import fresh
 from .storage import Scratch
+from .workers import tidied
 
 WINDOW = 13
 #: A document with at least this share of hit words is contaminated.
@@ -163,7 +164,7 @@ def _pass(df: DataFrame, text: str, inner: list[str], items: list[tuple], window
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 first = end
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)
 
 
 def _words(text: Column) -> Column:

@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch
+from .workers import tidied
 
 SHINGLE = 5
 PERCENT = 85
@@ -137,7 +138,7 @@ def summarise(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 bands.append(bands_of(signature(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "h", "n_shingles", "digest", "bands"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def held_against(centre: np.ndarray, other: np.ndarray) -> tuple[int, np.ndarray]:
@@ -182,7 +183,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, few: bool = False)
             columns = [*batch.columns[: len(names)], pa.array(linked, pa.bool_()), pa.array(both, pa.int64()), pa.array(more, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "linked", "both", "more"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidied(run), schema)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

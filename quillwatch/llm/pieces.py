@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .names import fresh
+from .workers import tidied
 
 MARK = "▁"
 #: Distinct words that a task's table holds before it starts anew, and characters in them.
@@ -141,7 +142,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
                 done += len(block)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], names=[*names, ids])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(tidied(run), schema)
 
 
 class PieceTexts:
@@ -201,4 +202,4 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text",
                 done += len(block)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(out, pa.string())], names=[*names, text])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)

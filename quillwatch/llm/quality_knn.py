@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workers import tidied
+
 TERMS = 4096
 RANK = 64
 MAX_LABELLED = 4000
@@ -105,7 +107,7 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[np.ndarray,
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, TERMS), pa.int32()), pa.array(np.append(n, seen), pa.int64())], names=["term", "n"])
 
-    sums = df.select(text).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sums = df.select(text).mapInArrow(tidied(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(TERMS + 1, np.int64)
     for r in sums:
         out[r["term"]] = r["n"]
@@ -144,7 +146,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array([y.as_py()]), pa.array([place.as_py()]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[at]], pa.list_(pa.float32()))], names=["y", "place", "terms", "counts"])
 
     # a labelled id that several rows carry counts with each of them, up to the same bound
-    rows = chosen.mapInArrow(run, "y double, place long, terms array<int>, counts array<float>").orderBy("place", "y").limit(max_labelled).toArrow()
+    rows = chosen.mapInArrow(tidied(run), "y double, place long, terms array<int>, counts array<float>").orderBy("place", "y").limit(max_labelled).toArrow()
     counts = np.zeros((len(rows), TERMS), np.float32)
     for k, (at, values) in enumerate(zip(rows.column("terms"), rows.column("counts"))):
         counts[k, at.values.to_numpy(zero_copy_only=False)] = values.values.to_numpy(zero_copy_only=False)
@@ -185,5 +187,5 @@ def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 
     source = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    scored = source.mapInArrow(run, f"id {kind}, score double")
+    scored = source.mapInArrow(tidied(run), f"id {kind}, score double")
     return scored.select(F.col("id").alias(key), is_held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch
 from .suffixes import MAX_STRINGS, SuffixOrder
+from .workers import tidied
 
 LENGTH = 400
 GRAM = 128
@@ -126,7 +127,7 @@ def segments(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: int
                     names=["key", "digest", "r1", "r2", "lo", "n"],
                 )
 
-    return rows.mapInArrow(run, "key long, digest long, r1 long, r2 long, lo long, n int")
+    return rows.mapInArrow(tidied(run), "key long, digest long, r1 long, r2 long, lo long, n int")
 
 
 def _cut(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -165,7 +166,7 @@ def _scan(strings: DataFrame, length: int, hot_segments: int) -> DataFrame:
         if block:
             yield spans(block)
 
-    return strings.select("key", "digest", "n", "k", "data").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, digest long, a long, b long")
+    return strings.select("key", "digest", "n", "k", "data").repartition("key").sortWithinPartitions("key").mapInArrow(tidied(run), "key long, digest long, a long, b long")
 
 
 def _scan_windows(cut: DataFrame, length: int, hot_segments: int, scratch: Scratch) -> DataFrame:
@@ -177,7 +178,7 @@ def _scan_windows(cut: DataFrame, length: int, hot_segments: int, scratch: Scrat
                 found = [xxhash.xxh3_128_digest(view[a : a + length]) for a in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([digest] * n, pa.int64()), pa.array([k] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(found, pa.binary())], names=["key", "digest", "k", "a", "window"])
 
-    windows = scratch.keep(cut.select("key", "digest", "n", "k", "data").mapInArrow(run, "key long, digest long, k long, a long, window binary"))
+    windows = scratch.keep(cut.select("key", "digest", "n", "k", "data").mapInArrow(tidied(run), "key long, digest long, k long, a long, window binary"))
     again = scratch.keep(windows.groupBy("window").agg(F.sum("k").alias("k"), F.min(F.struct("key", "digest", "a")).alias("at")).filter("k > 1"))
     # strings need whole numbers for names: two 64-bit hashes of the 128-bit digest
     name = (F.xxhash64("window").alias("key"), F.xxhash64(F.lit("window"), "window").alias("digest"))
@@ -242,5 +243,5 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
 
     kind = joined.schema["id"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, removed array<struct<a:long,b:long>>, kept binary")
+    out = joined.mapInArrow(tidied(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, removed array<struct<a:long,b:long>>, kept binary")
     return out.withColumnRenamed("id", key)
