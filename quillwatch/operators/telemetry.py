@@ -31,14 +31,13 @@ PAYLOADS = {
 def event_json(name: str, at: Column, **payload: Column) -> Column:
     """One event as JSON: event, ts, then the payload; long strings are shortened, a payload's own event or ts counts.
 
-    Whether a payload is a string is known when the plan is made only, so the line is made of JSON texts, of which
-    strings are told by their quote and cut as values.
+    Whether a payload is a string is known when the plan is made only, where the branch of other types is folded away, so
+    the line is made of one JSON text for each field.
     """
     def value(column: Column) -> Column:
-        text = F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false"})
-        capped = F.to_json(F.struct(short(F.get_json_object(text, "$.v")).alias("v")), {"ignoreNullFields": "false"})
-        inner = F.when(text.startswith('{"v":"'), capped).otherwise(text)
-        return F.substring(inner, 6, F.length(inner) - 6)
+        text = lambda v: F.to_json(F.struct(v.alias("v")), {"ignoreNullFields": "false"})
+        inner = F.when(F.typeof(column) == "string", text(short(column.cast("string")))).otherwise(text(column))
+        return F.regexp_extract(inner, "(?s)^.{5}(.*).$", 1)
 
     fields = {"event": F.lit(name), "ts": iso_instant(at)} | payload
     parts = [F.concat(F.lit(f"{json.dumps(k)}:"), value(v)) for k, v in fields.items()]
