@@ -129,6 +129,35 @@ SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.rule_verdict, CASE WHEN p.p
 FROM shaped s JOIN {_LAST} t ON t.host = s.host AND t.shape = s.shape JOIN pure p ON p.host = t.host AND p.template = t.template
 """
 
+EXACT_DEDUP = """
+WITH plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+groups AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM plain GROUP BY t)
+SELECT p.doc_id, g.keep_id, g.group_size, p.doc_id = g.keep_id AS kept, sha256(p.t) AS text_sha256 FROM plain p JOIN groups g ON g.t = p.t
+"""
+
+#: SQL has no crc32: each distinct word's bytes are folded with the polynomial's table, which is made by its rule.
+RESAMPLING = f"""
+WITH RECURSIVE steps(b, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS f FROM steps WHERE k = 8),
+docs AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{ITEM_WORD}') AS w FROM documents),
+doc_words AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM docs) GROUP BY ALL),
+item_words AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_lower("coalesce(text, '')")}, '{ITEM_WORD}')) AS w FROM benchmark) GROUP BY w),
+digits AS (SELECT w, list_transform(range(length(hex(w)) // 2), lambda i: ('0x' || hex(w)[2 * i + 1 : 2 * i + 2])::BIGINT) AS bytes FROM (SELECT w FROM doc_words UNION SELECT w FROM item_words)),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c // 256, f[xor(c, x) % 256 + 1])), 4294967295) % 10000 AS b FROM digits, crc_table),
+s AS (SELECT b, sum(n) AS n FROM doc_words JOIN hashed USING (w) GROUP BY b),
+t AS (SELECT b, sum(n) AS n FROM item_words JOIN hashed USING (w) GROUP BY b),
+totals AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s_all, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t_all),
+gains AS (SELECT s.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.n + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t ON t.b = s.b, totals),
+weights AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM doc_words JOIN hashed USING (w) JOIN gains USING (b) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(x.n, 0) AS n_features, CASE WHEN x.n IS NULL THEN 0 ELSE (x.total - ((x.total % x.n) + x.n) % x.n) // x.n END AS weight,
+    floor(-1000 * ln(-ln((('0x' || sha256(concat('2024:', d.doc_id))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM docs d LEFT JOIN weights x ON x.doc_id = d.doc_id),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.weight + s.noise AS score, r.rank
+FROM scored s LEFT JOIN ranked r ON r.doc_id = s.doc_id AND r.rank <= (SELECT count(*) * 10 // 100 FROM ranked)
+"""
+
 ORACLES = {
     "op1_minhash": MINHASH,
     "op4_quality_rules": QUALITY_RULES,
@@ -136,4 +165,6 @@ ORACLES = {
     "op7_url_filters": URL_FILTERS,
     "op8_license_scans": LICENSES,
     "op10_line_dedup": LINE_DEDUP,
+    "op12_exact_dedup": EXACT_DEDUP,
+    "op13_resampling": RESAMPLING,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, minhash, pieces, quality_knn, quality_rules, repeats, sharding, url_filters
+from . import decontaminate, exact_dedup, licenses, line_dedup, minhash, pieces, quality_knn, quality_rules, repeats, resampling, sharding, url_filters
 from .oracles import ORACLES  # noqa: F401  the driver reads them here
 
 
@@ -79,4 +79,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_quality_rules, op5_repeats, op6_decontamination, op7_url_filters, op8_license_scans, op9_pieces, op10_line_dedup)}
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts."""
+    out = exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's distribution, its score, and its rank if it is drawn."""
+    weighed = resampling.weigh(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return resampling.draw(weighed.drop("text")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_quality_rules, op5_repeats, op6_decontamination, op7_url_filters, op8_license_scans, op9_pieces, op10_line_dedup, op12_exact_dedup, op13_resampling)}
