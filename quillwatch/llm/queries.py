@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, line_dedup, minhash, pieces, quality_knn, quality_rules, repeats, resampling, sharding, url_filters
+from . import alignment, decontaminate, exact_dedup, licenses, line_dedup, minhash, pieces, quality_knn, quality_rules, repeats, resampling, sharding, url_filters
 from .oracles import ORACLES  # noqa: F401  the driver reads them here
 
 
@@ -79,6 +79,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between the tokens of two tokenizers."""
+    import public_tokenizers
+
+    out = alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), model_path(), digest=True)
+    return out.documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of equal texts."""
     out = exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -91,4 +99,4 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.draw(weighed.drop("text")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_quality_rules, op5_repeats, op6_decontamination, op7_url_filters, op8_license_scans, op9_pieces, op10_line_dedup, op12_exact_dedup, op13_resampling)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_quality_rules, op5_repeats, op6_decontamination, op7_url_filters, op8_license_scans, op9_pieces, op10_line_dedup, op11_alignment, op12_exact_dedup, op13_resampling)}

@@ -46,9 +46,9 @@ def words_of(text: Column) -> Column:
 def _runs(words: Column, longest: int) -> Column:
     """All runs of 1 to longest consecutive words, each joined by one space."""
     runs = [words]
-    for k in range(2, longest + 1):
-        begins = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(begins, lambda i, k=k: F.array_join(F.slice(words, i, k), " ")))
+    for k in range(2, longest + 1):  # the last run of k - 1 has no word after it
+        longer = F.zip_with(runs[-1], F.slice(words, k, F.size(words)), lambda run, word: F.concat(run, F.lit(" "), word))
+        runs.append(F.filter(longer, lambda run: run.isNotNull()))
     return F.concat(*runs)
 
 
