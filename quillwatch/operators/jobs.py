@@ -15,6 +15,8 @@ MAX_CLAIMS = 3
 ERROR_CAP = 2_000
 STUCK_AFTER_S = 180
 PENDING, RUNNING, COMPLETE, FAILED = "pending", "running", "complete", "failed"
+#: A job that is one of these stays so.
+FINISHED = (COMPLETE, FAILED)
 
 STATE = ("status", "claimed_by", "claim_count", "started_at", "completed_at", "error", "result")
 EVENT_SCHEMA = "job_id string, version long, kind string, at timestamp, status string, claimed_by string, claim_count int, started_at timestamp, completed_at timestamp, error string, result string"
@@ -57,10 +59,25 @@ def compacted(events: DataFrame) -> DataFrame:
     return ends.select("job_id", F.explode(F.array_distinct(F.array("first", "last"))).alias("e")).select("job_id", "e.*")
 
 
-def _event(jobs: DataFrame, kind: str, at: Column, **changes: Column) -> DataFrame:
+def unfinished(events: DataFrame) -> DataFrame:
+    """fold, for jobs that aren't finished and whose creation is among the events: others come late to finished jobs."""
+    out = _first_and_last(events).filter((F.col("first.version") == 0) & ~F.col("last.status").isin(*FINISHED))
+    return out.select("job_id", "last.version", F.col("first.at").alias("created_at"), *[f"last.{c}" for c in STATE])
+
+
+def compacted_by_end(events: DataFrame) -> DataFrame:
+    """compacted, with finished for the rows of finished jobs; events of jobs whose creation isn't there are left out."""
+    names = ("version", "kind", "at", *STATE)
+    known = _first_and_last(events).filter("first.version = 0")
+    ends = known.select("job_id", *[F.struct(*[f"{end}.{c}" for c in names]).alias(end) for end in ("first", "last")])
+    each = ends.select("job_id", F.col("last.status").isin(*FINISHED).alias("finished"), F.explode(F.array_distinct(F.array("first", "last"))).alias("e"))
+    return each.select("job_id", "e.*", "finished")
+
+
+def _event(jobs: DataFrame, kind: str | Column, at: Column, **changes: Column) -> DataFrame:
     """The next event of each of jobs (as fold returns them): what doesn't change is carried on."""
     state = [changes[c].cast(jobs.schema[c].dataType).alias(c) if c in changes else F.col(c) for c in STATE]
-    return jobs.select("job_id", (F.col("version") + 1).alias("version"), F.lit(kind).alias("kind"), at.alias("at"), *state)
+    return jobs.select("job_id", (F.col("version") + 1).alias("version"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), at.alias("at"), *state)
 
 
 def claim(jobs: DataFrame, workers: list[str], now: Column, per_worker: int = 1, running: dict[str, int] | None = None) -> DataFrame:
@@ -101,6 +118,15 @@ def settle_errors(jobs: DataFrame, now: Column, error: Column) -> DataFrame:
     return _event(jobs, "errored", now, status=F.when(again, PENDING).otherwise(FAILED), claimed_by=F.when(~again, F.col("claimed_by")), started_at=F.when(~again, F.col("started_at")), error=cap_error(error), completed_at=F.when(again, F.col("completed_at")).otherwise(now))
 
 
+def settle(jobs: DataFrame, now: Column, result: Column, error: Column) -> DataFrame:
+    """Jobs whose scan ended: complete without an error, otherwise as settle_errors."""
+    fine, again = error.isNull(), error.isNotNull() & will_retry(F.col("claim_count"))
+    return _event(
+        jobs, F.when(fine, F.lit("completed")).otherwise("errored"), now, status=F.when(fine, COMPLETE).when(again, PENDING).otherwise(FAILED), result=F.when(fine, result).otherwise(F.col("result")),
+        claimed_by=F.when(~again, F.col("claimed_by")), started_at=F.when(~again, F.col("started_at")), error=cap_error(error), completed_at=F.when(again, F.col("completed_at")).otherwise(now),
+    )
+
+
 def stuck(jobs: DataFrame, now: Column, after_s: int = STUCK_AFTER_S) -> DataFrame:
     """Running jobs that started strictly earlier than so many seconds ago."""
     return jobs.filter((F.col("status") == RUNNING) & (F.col("started_at") < now - F.make_dt_interval(secs=F.lit(after_s))))

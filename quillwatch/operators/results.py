@@ -58,3 +58,20 @@ def scan(pages: DataFrame, requests: DataFrame, policies: DataFrame, scanned_at:
         F.lit(0).cast("long").alias("critical_count"), warnings.alias("warning_count"), F.lit(0).cast("long").alias("info_count"), none.alias("recommendations"),
         "tls_version", "runtime_trackers", F.lit(True).alias("deep_scan"), F.lit(RULESET).alias("ruleset_version"), "ai_input", F.col("verdict").alias("ai_verification"),
     )
+
+
+def result_json(results: DataFrame) -> Column:
+    """A row of scan as the JSON that a finished job carries."""
+    tracker = lambda t: F.struct(t["name"].alias("name"), t["vendor"].alias("vendor"), t["risk"].alias("riskLevel"), t["description"].alias("description"), t["baa"].alias("baaAvailable"), t["example_url"].alias("exampleUrl"), t["request_count"].alias("requestCount"))
+    verdict = F.struct(
+        F.col("ai_verification.score").alias("privacyPolicyScore"), F.col("ai_verification.missing").alias("privacyPolicyMissing"), F.col("ai_verification.form_risk").alias("phiFormRiskLevel"), F.col("ai_verification.form_reasoning").alias("phiFormReasoning"),
+        F.transform_values("ai_verification.classifications", lambda _, c: F.struct(c["likely_vendor"].alias("likelyVendor"), c["phi_risk"].alias("phiRisk"), c["reasoning"].alias("reasoning"))).alias("unknownTrackerClassifications"),
+        F.col("ai_verification.provider").alias("provider"), F.col("ai_verification.latency_ms").alias("latencyMs"),
+    )
+    named = {
+        "scanned_url": "scannedUrl", "scanned_at": "scannedAt", "overall_status": "overallStatus", "checks": "checks", "critical_count": "criticalCount", "warning_count": "warningCount", "info_count": "infoCount", "recommendations": "recommendations",
+        "tls_version": "tlsVersion",
+    }
+    values = [F.col(c).alias(n) for c, n in named.items()]
+    rest = [F.transform("runtime_trackers", tracker).alias("runtimeTrackers"), F.col("deep_scan").alias("deepScan"), F.col("ruleset_version").alias("rulesetVersion"), F.col("ai_input").alias("aiInput"), verdict.alias("aiVerification")]
+    return F.to_json(F.struct(*values, *rest), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "timeZone": "UTC"})

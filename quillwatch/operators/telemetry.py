@@ -26,14 +26,21 @@ PAYLOADS = {
     "worker_boot": ("workerId", "provider", "concurrency", "version"),
     "worker_shutdown": ("workerId", "inFlightJobsDrained", "durationMs"),
 }
+#: Those of them that are text, and those that aren't.
+TEXTS = {"jobId", "url", "provider", "workerId", "overallStatus", "aiProvider", "error", "version"}
+OTHERS = {"durationMs", "score", "aiLatencyMs", "claimCount", "willRetry", "reapedCount", "concurrency", "inFlightJobsDrained"}
 
 
 def event_json(name: str, at: Column, **payload: Column) -> Column:
     """One event as JSON: event, ts, then the payload; long strings are shortened, a payload's own event or ts counts.
 
-    Whether a payload is a string is known when the plan is made only, where the branch of other types is folded away, so
-    the line is made of one JSON text for each field.
+    Payloads of the names that events have are made into JSON at once. Of others it is known when the plan is made only
+    whether they are strings, where the branch of other types is folded away; their line is made of one JSON text a field.
     """
+    if payload.keys() <= TEXTS | OTHERS:
+        cut = [short(v.cast("string")).alias(k) if k in TEXTS else v.alias(k) for k, v in payload.items()]
+        return F.to_json(F.struct(F.lit(name).alias("event"), iso_instant(at).alias("ts"), *cut), {"ignoreNullFields": "false"})
+
     def value(column: Column) -> Column:
         text = lambda v: F.to_json(F.struct(v.alias("v")), {"ignoreNullFields": "false"})
         inner = F.when(F.typeof(column) == "string", text(short(column.cast("string")))).otherwise(text(column))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import settings
 from ..operators import jobs, telemetry
 from ..sources import derived
+from ..sources.storage import shared_folder
+from ..streaming.jobs import JobLog, batch_name, run_batch
 
+#: Where the jobs' creation times are cut into two batches.
+_HALF = "TIMESTAMP '1995-06-01 00:00:00'"
 WORKERS = ("w-a", "w-b", "w-c")
 
 
@@ -90,6 +96,15 @@ def queue_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.fenced(first.union(reaped).union(late)).groupBy("kind", "fenced").agg(F.count("*").alias("events"))
 
 
+def queue_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs after two batches of inserts through the log, of which the first is repeated, as after a failure."""
+    log, every = JobLog(spark, f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"), _jobs(spark, sf_dir)
+    batches = [every.filter(F.col("created_at") < F.expr(_HALF)), every.filter(F.col("created_at") >= F.expr(_HALF))]
+    for k in (0, 0, 1):
+        run_batch(batches[k], log, batch_name(k), list(WORKERS), now(), concurrency=2 + 2 * k)
+    return log.state().select("job_id", "version", "status", "claimed_by", "claim_count")
+
+
 def queue_wake_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts that wake a worker."""
     return _jobs(spark, sf_dir).filter(F.col("status") == jobs.PENDING).select("id")
@@ -196,7 +211,7 @@ def drained_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        slash_strip, counts_or_zero, scans_enabled, drained_jobs, queue_claim_oldest, queue_claim_workers, queue_complete, queue_fail, queue_release, queue_retry_decision, queue_reap, queue_reap_count, queue_fold, queue_fenced, queue_wake_up, worker_gauge, health_status,
+        slash_strip, counts_or_zero, scans_enabled, drained_jobs, queue_claim_oldest, queue_claim_workers, queue_complete, queue_fail, queue_release, queue_retry_decision, queue_reap, queue_reap_count, queue_fold, queue_fenced, queue_replay, queue_wake_up, worker_gauge, health_status,
         event_truncate, event_json, event_counts, scan_durations, error_cap, log_filter, interval_text, worker_ids, provider_choice, timeout_rules,
     )
 }
@@ -221,6 +236,13 @@ ORACLES = {
     "queue_reap_count": f"{_J} SELECT count(*) AS reaped FROM stuck",
     "queue_fold": f"{_J} SELECT status, version, count(*) AS jobs, sum(claim_count)::BIGINT AS claims FROM (SELECT CASE WHEN s.again THEN 'pending' WHEN NOT s.again THEN 'failed' ELSE j.status END AS status, CASE WHEN s.id IS NULL THEN 0 ELSE 1 END::BIGINT AS version, j.claim_count FROM jobs j LEFT JOIN stuck s ON s.id = j.id) GROUP BY status, version",
     "queue_fenced": f"{_J} SELECT 'created' AS kind, false AS fenced, count(*) AS events FROM jobs UNION ALL SELECT 'reaped', false, count(*) FROM stuck HAVING count(*) > 0 UNION ALL SELECT 'completed', true, count(*) FROM stuck HAVING count(*) > 0",
+    "queue_replay": f"""{_J}, batches AS (SELECT j.*, j.created_at >= {_HALF} AS later, s.id IS NOT NULL AS reaped, coalesce(s.again, false) AS again FROM jobs j LEFT JOIN stuck s ON s.id = j.id),
+      reset AS (SELECT id, later, created_at, reaped::INT AS version, CASE WHEN again THEN 'pending' WHEN reaped THEN 'failed' ELSE status END AS status, CASE WHEN NOT again THEN claimed_by END AS claimed_by, claim_count FROM batches),
+      first AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS k, ['w-a', 'w-b', 'w-c'] AS w FROM reset WHERE NOT later AND status = 'pending' QUALIFY k <= 6),
+      second AS (SELECT r.id, row_number() OVER (ORDER BY r.created_at, r.id) AS place, ['w-a', 'w-b', 'w-c'] AS w FROM reset r LEFT JOIN first f ON f.id = r.id WHERE r.status = 'pending' AND f.id IS NULL QUALIFY place <= 6),
+      taken AS (SELECT * FROM first UNION ALL SELECT * FROM second)
+      SELECT r.id AS job_id, (r.version + (t.id IS NOT NULL)::INT)::BIGINT AS version, CASE WHEN t.id IS NOT NULL THEN 'running' ELSE r.status END AS status, coalesce(t.w[(t.k - 1) % 3 + 1], r.claimed_by) AS claimed_by, r.claim_count + (t.id IS NOT NULL)::INT AS claim_count
+      FROM reset r LEFT JOIN taken t ON t.id = r.id""",
     "queue_wake_up": f"{_J} SELECT id FROM jobs WHERE status = 'pending'",
     "worker_gauge": f"{_J} SELECT coalesce(claimed_by, 'unknown') AS worker, count(*) AS active FROM running GROUP BY 1",
     "health_status": f"{_J} SELECT 'shutting_down' AS status, 'disabled' AS provider, 'w1' AS \"workerId\", count(*) AS \"activeJobs\", 5000::BIGINT AS \"uptimeMs\", '1' AS version, true AS \"shuttingDown\", 503 AS code FROM running WHERE claimed_by = 'w1'",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import results
+from ..operators import jobs, results, runs
 from ..sources import derived
-from .job_plans import now
+from .job_plans import _ISO, _J, _N, _state, now
 from .page_plans import _FORMS, _RESOLVED, _store, text_sql
 from .tracker_plans import UNKNOWN_SQL
 
@@ -36,7 +36,29 @@ def prompt_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.col("p.privacyPolicyBytes").alias("text_units"), F.size("p.detectedTrackers").alias("n_trackers"), F.size("p.unknownTrackerDomains").alias("n_hosts"), F.col("p.formSummary").isNotNull().alias("has_form"))
 
 
-QUERIES = {f.__name__: f for f in (scan_result, prompt_payload)}
+def _ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All running jobs with what their runs gave."""
+    held = _state(spark, sf_dir).filter("status = 'running'")
+    return runs.ended(held, runs.outcomes(derived.job_pages(spark, sf_dir), derived.captures(spark, sf_dir), _scan(spark, sf_dir)))
+
+
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each running job's state after its run, with what its result says."""
+    first = jobs.created(derived.jobs(spark, sf_dir).filter("status = 'running'"))
+    out = jobs.fold(first.union(runs.transitions(_ended(spark, sf_dir), now())))
+    said = lambda path: F.get_json_object("result", path)
+    return out.select(
+        "job_id", "version", "status", "claimed_by", "claim_count", "error", "completed_at", said("$.overallStatus").alias("overall_status"), said("$.warningCount").cast("long").alias("warnings"), said("$.aiVerification.provider").alias("provider"),
+        said("$.scannedUrl").alias("scanned_url"), F.size(F.from_json(said("$.runtimeTrackers"), "array<struct<name:string>>")).cast("long").alias("n_listed"),
+    )
+
+
+def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is logged of these runs: a line for each start and each end."""
+    return runs.lines(_ended(spark, sf_dir), now())
+
+
+QUERIES = {f.__name__: f for f in (scan_result, prompt_payload, run_states, run_lines)}
 
 _PARTS = f"""
 WITH {UNKNOWN_SQL},
@@ -48,7 +70,22 @@ policies AS MATERIALIZED (SELECT w.page_id, {text_sql('s.body')} AS t FROM (SELE
 forms AS MATERIALIZED ({_FORMS})
 """
 _FROM = "FROM forms f LEFT JOIN listed l ON l.page_id = f.page_id LEFT JOIN capped c ON c.page_id = f.page_id JOIN policies p ON p.page_id = f.page_id"
+#: Runs of running jobs: what their pages' captures gave, the error if there is one, and how many trackers were found.
+_RUNS = f"""{_J}, {UNKNOWN_SQL.strip()},
+warned AS (SELECT page_id, count(*) AS n FROM trackers GROUP BY page_id),
+captured AS (SELECT url, max(page_id) AS page_id, arg_max(duration_ms, page_id) AS ms, arg_max(coalesce(error, ''), page_id) AS said FROM ({derived.CAPTURES}) GROUP BY url),
+ended AS (SELECT r.*, a.url AS page_address, c.page_id, least(coalesce(c.ms, 0), 90000) AS ms, r.claim_count < 3 AS again, coalesce(w.n, 0) AS warnings,
+    CASE WHEN c.ms > 90000 THEN '{runs.CAP_ERROR}' WHEN c.said <> '' THEN c.said WHEN c.page_id IS NULL THEN '{runs.NO_OUTCOME}' END AS e
+  FROM running r JOIN ({derived.JOB_PAGES}) a ON a.job_id = r.id LEFT JOIN captured c ON c.url = a.url LEFT JOIN warned w ON w.page_id = c.page_id)"""
+_STARTED = _ISO.replace("ts", "started_at")
+_ENDED = _ISO.replace("strftime(ts", f"strftime({_N}")
 ORACLES = {
+    "run_states": f"""{_RUNS} SELECT id AS job_id, 1::BIGINT AS version, CASE WHEN e IS NULL THEN 'complete' WHEN again THEN 'pending' ELSE 'failed' END AS status, CASE WHEN e IS NULL OR NOT again THEN claimed_by END AS claimed_by, claim_count, e AS error,
+        CASE WHEN e IS NULL OR NOT again THEN {_N} END AS completed_at, CASE WHEN e IS NULL THEN CASE WHEN warnings > 0 THEN 'warning' ELSE 'pass' END END AS overall_status, CASE WHEN e IS NULL THEN warnings END::BIGINT AS warnings,
+        CASE WHEN e IS NULL THEN 'disabled' END AS provider, CASE WHEN e IS NULL THEN page_address END AS scanned_url, CASE WHEN e IS NULL THEN warnings END::BIGINT AS n_listed FROM ended""",
+    "run_lines": f"""{_RUNS} SELECT id AS job_id, 0 AS place, concat('{{"event":"scan_started","ts":"', {_STARTED}, '","jobId":"', id, '","url":"', CASE WHEN length(page_address) > 500 THEN concat(substring(page_address, 1, 500), '…') ELSE page_address END, '","provider":"disabled","workerId":"', claimed_by, '"}}') AS line FROM ended
+      UNION ALL SELECT id, 1, CASE WHEN e IS NULL THEN concat('{{"event":"scan_completed","ts":"', {_ENDED}, '","jobId":"', id, '","durationMs":', ms, ',"score":0,"overallStatus":"', CASE WHEN warnings > 0 THEN 'warning' ELSE 'pass' END, '","aiProvider":"disabled","aiLatencyMs":0}}')
+        ELSE concat('{{"event":"scan_failed","ts":"', {_ENDED}, '","jobId":"', id, '","durationMs":', ms, ',"error":"', e, '","claimCount":', claim_count, ',"willRetry":', CASE WHEN again THEN 'true' ELSE 'false' END, '}}') END FROM ended""",
     "scan_result": f"""{_PARTS} SELECT f.page_id, f.url AS scanned_url, {derived.NOW} AS scanned_at, CASE WHEN l.n > 0 THEN 'warning' ELSE 'pass' END AS overall_status,
         0::BIGINT AS critical_count, coalesce(l.n, 0)::BIGINT AS warning_count, 0::BIGINT AS info_count, f.tls_version, true AS deep_scan, '{results.RULESET}' AS ruleset_version,
         coalesce(l.trackers, '') AS trackers, coalesce(c.unknown_hosts, '') AS unknown_hosts, md5(p.t) AS policy_md5, coalesce(f.fields, 'none') AS fields, 'disabled' AS provider, 0 AS score {_FROM}""",

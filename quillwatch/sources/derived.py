@@ -105,6 +105,11 @@ SELECT CAST(o_orderkey AS STRING) AS id, concat('https://site', CAST(o_custkey A
 FROM orders
 """
 
+#: The page that each job asks for.
+JOB_PAGES = "SELECT CAST(o.o_orderkey AS STRING) AS job_id, p.url AS url FROM (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM pages) AS page_no FROM orders) o JOIN pages p ON p.page_id = o.page_no"
+#: How long each page took to load and whether that failed; some pages were never captured.
+CAPTURES = "SELECT url, page_id, page_id * 7919 % 100000 AS duration_ms, CASE WHEN page_id % 13 = 0 THEN 'net::ERR_NAME_NOT_RESOLVED' END AS error FROM pages WHERE page_id % 17 <> 3"
+
 # Replies of a reviewer, valid and not, by doc_id % 14.
 REPLIES = (
     '{"privacyPolicyScore": 3, "privacyPolicyMissing": ["breach notice"], "phiFormRiskLevel": "low", "phiFormReasoning": "contact only", "unknownTrackerClassifications": {"a.example.org": {"likelyVendor": "Ads", "phiRisk": "high", "reasoning": "pixel"}}}',
@@ -140,6 +145,14 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, JOBS.replace("make_interval_seconds", "make_dt_interval(0, 0, 0, o_custkey % 600)"), "orders")
 
 
+def job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, JOB_PAGES, "orders", "pages")
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, CAPTURES, "pages")
+
+
 JOBS_SQL = JOBS.replace("make_interval_seconds", "to_seconds(o_custkey % 600)")
 
 
