@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..sources.catalog import DEFAULT_RULES, Rule, catalog_frame, known_pattern
+from .fragments import match_catalog
 
-#: Up to so many rules are tested by literal patterns, which are compiled once; a larger catalog is joined. They are tried
-#: in batches, of which one pattern tells first whether any of them matches.
+#: Up to so many rules are tested by literal patterns, which are compiled once; a larger catalog is joined through an index
+#: of its literal parts. They are tried in batches, of which one pattern tells first whether any of them matches.
 LITERAL_RULES, BATCH_RULES = 5_000, 100
 UNKNOWN_HOSTS = 20
 # What a page may be judged, by whether anything was found.
@@ -23,10 +24,10 @@ def match_rules(requests: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, ur
 
     The catalog is broadcast: it is the caller's tuple, so its size is known.
     """
+    if len(rules) > literal_rules:
+        return match_catalog(requests, catalog_frame(requests.sparkSession, rules), url)
     catalog = F.broadcast(catalog_frame(requests.sparkSession, rules))
     real = requests.filter(F.col(url) != "")
-    if len(rules) > literal_rules:
-        return real.join(catalog, F.expr(f"{url} rlike concat('(?i)', pattern)")).drop("pattern")
     none = F.array().cast("array<int>")
     hits = []
     for first in range(0, len(rules), BATCH_RULES):
@@ -80,6 +81,8 @@ def unknown_requests(requests: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULE
     """Requests to third parties that no rule explains, with their host. requests: (page_id, page_url, seq, url)."""
     hosts = requests.filter(F.col("url") != "").withColumn("host", urls.host(F.col("url"))).filter("host is not null")
     third = hosts.filter(urls.is_third_party(F.col("host"), urls.host(F.col("page_url"))))
+    if len(rules) > LITERAL_RULES:
+        return third.join(match_rules(third.select("url").distinct(), rules).select("url").distinct(), "url", "left_anti").select(*third.columns)
     return third.filter(~F.col("url").rlike(known_pattern(rules)))
 
 

@@ -11,6 +11,7 @@ from ..functions import settings
 from ..operators import jobs, telemetry
 from ..sources import derived
 from ..sources.storage import shared_folder
+from ..streaming import keyed
 from ..streaming.jobs import JobLog, batch_name, run_batch
 
 #: Where the jobs' creation times are cut into two batches.
@@ -105,6 +106,16 @@ def queue_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.state().select("job_id", "version", "status", "claimed_by", "claim_count")
 
 
+def queue_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs as keyed state of a stream, by the clock of today: every running job is long stuck, and its timer reaps it."""
+    folder = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    jobs.created(_jobs(spark, sf_dir)).write.parquet(f"{folder}/log")
+    stream = keyed.event_stream(spark, f"{folder}/log")
+    keyed.run_states(stream, lambda changes, n: changes.write.mode("overwrite").parquet(f"{folder}/changes/n={n}"), f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{folder}/changes").groupBy("job_id").agg(F.max_by(F.struct("version", "status", "claimed_by", "claim_count", "by_timer"), "version").alias("s"))
+    return out.select("job_id", "s.*")
+
+
 def queue_wake_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts that wake a worker."""
     return _jobs(spark, sf_dir).filter(F.col("status") == jobs.PENDING).select("id")
@@ -211,7 +222,7 @@ def drained_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        slash_strip, counts_or_zero, scans_enabled, drained_jobs, queue_claim_oldest, queue_claim_workers, queue_complete, queue_fail, queue_release, queue_retry_decision, queue_reap, queue_reap_count, queue_fold, queue_fenced, queue_replay, queue_wake_up, worker_gauge, health_status,
+        slash_strip, counts_or_zero, scans_enabled, drained_jobs, queue_claim_oldest, queue_claim_workers, queue_complete, queue_fail, queue_release, queue_retry_decision, queue_reap, queue_reap_count, queue_fold, queue_fenced, queue_replay, queue_keyed, queue_wake_up, worker_gauge, health_status,
         event_truncate, event_json, event_counts, scan_durations, error_cap, log_filter, interval_text, worker_ids, provider_choice, timeout_rules,
     )
 }
@@ -243,6 +254,7 @@ ORACLES = {
       taken AS (SELECT * FROM first UNION ALL SELECT * FROM second)
       SELECT r.id AS job_id, (r.version + (t.id IS NOT NULL)::INT)::BIGINT AS version, CASE WHEN t.id IS NOT NULL THEN 'running' ELSE r.status END AS status, coalesce(t.w[(t.k - 1) % 3 + 1], r.claimed_by) AS claimed_by, r.claim_count + (t.id IS NOT NULL)::INT AS claim_count
       FROM reset r LEFT JOIN taken t ON t.id = r.id""",
+    "queue_keyed": f"{_J} SELECT id AS job_id, (status = 'running')::BIGINT AS version, CASE WHEN status <> 'running' THEN status WHEN claim_count < 3 THEN 'pending' ELSE 'failed' END AS status, CASE WHEN status <> 'running' OR claim_count >= 3 THEN claimed_by END AS claimed_by, claim_count, status = 'running' AS by_timer FROM jobs",
     "queue_wake_up": f"{_J} SELECT id FROM jobs WHERE status = 'pending'",
     "worker_gauge": f"{_J} SELECT coalesce(claimed_by, 'unknown') AS worker, count(*) AS active FROM running GROUP BY 1",
     "health_status": f"{_J} SELECT 'shutting_down' AS status, 'disabled' AS provider, 'w1' AS \"workerId\", count(*) AS \"activeJobs\", 5000::BIGINT AS \"uptimeMs\", '1' AS version, true AS \"shuttingDown\", 503 AS code FROM running WHERE claimed_by = 'w1'",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import trackers
+from ..operators.fragments import match_catalog
 from ..sources import derived
 from ..sources.catalog import DEFAULT_RULES, Rule
 
@@ -40,6 +41,10 @@ unknown_hosts AS (SELECT page_id, host, first_seq, row_number() OVER (PARTITION
 OWN_RULES = tuple(Rule(f"/{k // 2 % 10}{k % 10}" if k < 100 else f"page{k}[^0-9]", f"R{k}", "v", "low", False) for k in range(150))
 
 
+#: Rules of the large catalog beside the known ones.
+_VENDORS = 50_000
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.requests(spark, sf_dir)
 
@@ -65,10 +70,21 @@ def tracker_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracker_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same matches by a broadcast join, as for catalogs too large for literal patterns."""
+    """The same matches through the index of literal parts, as for catalogs too large for literal patterns."""
     return trackers.match_rules(_requests(spark, sf_dir), literal_rules=0).select("page_id", "seq", "cat_idx", "name")
 
 
+def tracker_large_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of 50,000 rules: the known ones, one for each of many vendors' hosts, and some that have no literal part."""
+    own = trackers.catalog_frame(spark)
+    vendors = spark.range(_VENDORS).select(
+        (F.col("id") + 1000).cast("int").alias("cat_idx"), F.format_string("(?:cdn|assets)[.]vendor%d[.]net|vendor%d[.]example[.]org/[a-z]+", "id", "id").alias("pattern"), F.format_string("Vendor %d", "id").alias("name"),
+        *[F.lit(x).alias(c) for c, x in (("vendor", "v"), ("risk", "low"), ("description", "")) ], F.lit(False).alias("baa"),
+    )
+    short = spark.createDataFrame([(900, "e=[0-9]*77$", "Short", "v", "low", "", False)], own.schema)
+    return match_catalog(_requests(spark, sf_dir), own.union(vendors).union(short)).select("page_id", "seq", "cat_idx", "name")
+
+
 def tracker_own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of a caller's own catalog, larger than one batch of rules."""
     return trackers.match_rules(_requests(spark, sf_dir), OWN_RULES).select("page_id", "seq", "cat_idx", "name")
@@ -159,7 +175,7 @@ def unknown_host_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_catalog, request_log, tracker_match, tracker_match_join, tracker_own_rules, tracker_counts, tracker_first_example, tracker_order, tracker_rank_order, tracker_by_vendor, detected_short,
+        rule_catalog, request_log, tracker_match, tracker_match_join, tracker_large_catalog, tracker_own_rules, tracker_counts, tracker_first_example, tracker_order, tracker_rank_order, tracker_by_vendor, detected_short,
         page_status, page_warning_count, no_tracker_pages, url_host, url_scheme_filter, empty_urls_dropped, registrable_domain, first_party_filter, known_rule_exclusion, unknown_hosts, unknown_hosts_top20, unknown_host_spread,
     )
 }
@@ -171,6 +187,9 @@ ORACLES = {
     "request_log": f"WITH {BASE_SQL} SELECT page_id, seq, url FROM requests",
     "tracker_match": f"WITH {BASE_SQL} SELECT page_id, seq, cat_idx, name FROM matches",
     "tracker_match_join": f"WITH {BASE_SQL} SELECT page_id, seq, cat_idx, name FROM matches",
+    "tracker_large_catalog": f"""WITH {BASE_SQL} SELECT page_id, seq, cat_idx, name FROM matches
+      UNION ALL SELECT page_id, seq, 1000 + k, concat('Vendor ', k) FROM (SELECT page_id, seq, nullif(regexp_extract(lower(url), '(?:cdn|assets)[.]vendor([0-9]+)[.]net', 1), '')::INT AS k FROM requests) WHERE k < {_VENDORS}
+      UNION ALL SELECT page_id, seq, 900, 'Short' FROM requests WHERE regexp_matches(url, 'e=[0-9]*77$')""",
     "tracker_own_rules": f"WITH requests AS ({derived.REQUESTS}) SELECT r.page_id, r.seq, c.cat_idx, c.name FROM requests r JOIN (SELECT * FROM (VALUES {', '.join(f'({k}, {_text(r.pattern)}, {_text(r.name)})' for k, r in enumerate(OWN_RULES))}) v(cat_idx, pattern, name)) c ON r.url <> '' AND regexp_matches(r.url, concat('(?i)', c.pattern))",
     "tracker_counts": f"WITH {BASE_SQL} SELECT page_id, name, request_count FROM trackers",
     "tracker_first_example": f"WITH {BASE_SQL} SELECT page_id, name, vendor, risk, baa, example_url, first_seq FROM trackers",

@@ -5,7 +5,7 @@ each event with the one that counts so far, so no log is read again. A running j
 timeout; when the clock passes it and the job still runs, the state moves on as jobs.reap says and the transition is put
 out, with or without new input. State and timers are in the stream's checkpoint and are there after a restart.
 
-Needs a state store that keeps timers (``configure``).
+Timers need a state store of their own kind, which ``run_states`` sets for its query.
 """
 
 from __future__ import annotations
@@ -22,13 +22,10 @@ from ..operators import jobs
 #: What comes out whenever a job's state changes: the state, and whether the timer did it.
 STATE_SCHEMA = f"{jobs.EVENT_SCHEMA}, created_at timestamp, by_timer boolean"
 _EVENT = [field.split()[0] for field in jobs.EVENT_SCHEMA.split(", ")][1:]
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def configure(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
-
-
 def _order(event: tuple) -> tuple:
     """Greater counts: the version, of one version the earliest, then the other columns, of which missing ones are least."""
     version, kind, at, *state = event
@@ -63,13 +60,14 @@ class JobState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         events = [tuple(r[c] for c in _EVENT) for r in rows]
-        old = tuple(self.last.get()) if self.last.exists() else None
-        first = min([*events, *([tuple(self.first.get())] if old else [])], key=_earliest)
-        last = max([*events, *([old] if old else [])], key=_order)
-        self.first.update(first)
-        if last != old:
+        old = (tuple(self.first.get()), tuple(self.last.get())) if self.last.exists() else None
+        first, last = min([*events, *(old or ())], key=_earliest), max([*events, *(old or ())], key=_order)
+        if old is None or last != old[1]:
             self.last.update(last)
             self._watch(last)
+        if old is None or first != old[0]:
+            self.first.update(first)
+        if (first, last) != old:
             yield self._out(key[0], last, first, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -95,9 +93,17 @@ def job_states(events: DataFrame, after_s: int = jobs.STUCK_AFTER_S) -> DataFram
 
 def run_states(events: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, after_s: int = jobs.STUCK_AFTER_S, period_s: float | None = None) -> StreamingQuery:
     """Gives each batch's changes to each(changes, number); without a period until all events are read."""
-    configure(events.sparkSession)
+    conf = events.sparkSession.conf
+    own = {"spark.sql.streaming.stateStore.providerClass": _STORE} | ({_IDLE: "false"} if period_s is None else {})  # timers would keep it going without input
+    old = {k: conf.get(k) for k in own}
     trigger = {"availableNow": True} if period_s is None else {"processingTime": f"{period_s} seconds"}
-    return job_states(events, after_s).writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    try:
+        for k, v in own.items():
+            conf.set(k, v)
+        return job_states(events, after_s).writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    finally:
+        for k, v in old.items():
+            conf.set(k, v)
 
 
 def reaps(changes: DataFrame) -> DataFrame:

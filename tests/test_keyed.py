@@ -2,20 +2,12 @@
 
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from quillwatch.operators import jobs
 from quillwatch.streaming import keyed
 
 
-@pytest.fixture
-def store(spark):
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    yield
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-
-
 def t0():
     return F.lit("2026-01-01 00:10:00").cast("timestamp")
 
@@ -28,7 +20,7 @@ def created(spark, *rows):
 def latest(spark, path):
     rows = spark.read.parquet(path).collect()
     out = {}
-    for r in sorted(rows, key=lambda r: r["version"]):
+    for r in sorted(rows, key=lambda r: r["n"]):
         out[r["job_id"]] = r
     return out
 
@@ -37,7 +29,7 @@ def to(path):
     return lambda changes, number: changes.write.mode("overwrite").parquet(f"{path}/n={number}")
 
 
-def test_states_are_the_folds_whatever_the_order(spark, tmp_path, store):
+def test_states_are_the_folds_whatever_the_order(spark, tmp_path):
     log = created(spark, *[(f"j{k}", "pending", k % 4, None, None) for k in range(12)])
     claims = jobs.claim(jobs.fold(log), ["a", "b"], t0(), 4)
     held = jobs.fold(log.union(claims)).filter("status = 'running'")
@@ -49,7 +41,7 @@ def test_states_are_the_folds_whatever_the_order(spark, tmp_path, store):
     assert got == {r["job_id"]: tuple(r)[1:] for r in jobs.fold(events).collect()} and len(got) == 12
 
 
-def test_timers_reap_without_inserts_and_after_a_restart(spark, tmp_path, store):
+def test_timers_reap_without_inserts_and_after_a_restart(spark, tmp_path):
     now = spark.sql("SELECT current_timestamp() AS t").first()["t"]
     at = lambda s: spark.sql(f"SELECT date_format(TIMESTAMP '{now}' + INTERVAL {s} SECOND, 'yyyy-MM-dd HH:mm:ss') AS t").first()["t"]
     log, out, cp = str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "cp")
