@@ -8,9 +8,10 @@ and chunks are dealt by hash into slices of about ``SLICE_WORDS``; each slice is
 takes some 50 MB in a worker. Between passes the documents are written with what was found so far.
 
 Cases: null and empty texts have no words and no hits; items without words are never found; items shorter than a
-window are one window as a whole; equal items and repeated rows each count; null item ids count as an item but
-name nothing; an empty benchmark hits nothing and an empty table gives an empty table; very long texts and items are
-read whole; input columns named like the outputs are replaced, and no other name is taken. Words are runs of
+window are one window as a whole; items of equal texts and repeated rows each count, rows of one item id are one item;
+null item ids count as an item each but name nothing; an empty benchmark hits nothing and an empty table gives an empty
+table; very long texts and items are read whole; input columns named like the outputs are replaced, others may have any
+name. Words are runs of
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lower-cased.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .names import fresh
+from .names import numbered, quoted, renamed
 from .storage import Scratch
 from .workers import tidied
 
@@ -175,7 +176,7 @@ def _words(text: Column) -> Column:
 
 def _chunks(benchmark: DataFrame, item_id: str, item_text: str, window: int, chunk_words: int) -> DataFrame:
     """(number, id, begin, words): each item's chunks. Every window lies in one of them."""
-    items = benchmark.select(F.monotonically_increasing_id().alias("number"), F.col(item_id).cast("string").alias("id"), _words(F.col(item_text)).alias("w")).filter("size(w) > 0")
+    items = benchmark.select(F.monotonically_increasing_id().alias("number"), F.col(quoted(item_id)).cast("string").alias("id"), _words(F.col(quoted(item_text))).alias("w")).filter("size(w) > 0")
     begins = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(chunk_words))
     return items.select("number", "id", "w", F.explode(begins).alias("begin")).select("number", "id", "begin", F.slice("w", F.col("begin") + 1, F.lit(chunk_words + window - 1)).alias("words"))
 
@@ -187,30 +188,30 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     total = chunks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     n_slices = max(1, -(-total // slice_words))
     outputs = ("n_words", "hit_words", "items", "n_hit", "n_items", "contaminated")
-    rest = df.drop(*outputs)
-    inner = fresh([*df.columns, *outputs], "_words", "_hits", "_items")
+    rows = numbered(df)
+    own = f"c{df.columns.index(text)}"
+    inner = ["_words", "_hits", "_items"]
     kinds = ("long", "array<int>", "array<struct<number:long,id:string>>")
-    state = rest.select("*", *[(F.lit(0) if kind == "long" else F.array()).cast(kind).alias(c) for c, kind in zip(inner, kinds)])
+    state = rows.select("*", *[(F.lit(0) if kind == "long" else F.array()).cast(kind).alias(c) for c, kind in zip(inner, kinds)])
     last = None
     for k in range(n_slices):
-        rows = chunks.filter(F.pmod(F.xxhash64("number", "begin"), F.lit(n_slices)) == k).select("number", "id", "words").collect()
-        state = _pass(state, text, inner, [tuple(r) for r in rows], window)
+        items = chunks.filter(F.pmod(F.xxhash64("number", "begin"), F.lit(n_slices)) == k).select("number", "id", "words").collect()
+        state = _pass(state, own, inner, [tuple(r) for r in items], window)
         if k + 1 < n_slices:  # so that one slice at a time is held
             state = scratch.keep(state)
             if last is not None:
                 scratch.drop(last)
             last = state
     scratch.drop(chunks)
-    names = F.transform(inner[2], lambda x: x["id"])
-    ids = F.concat(F.sort_array(F.filter(names, lambda x: x.isNotNull())), F.filter(names, lambda x: x.isNull()))
-    out = state.select(*rest.columns, F.col(inner[0]).alias("n_words"), F.col(inner[1]).alias("hit_words"), ids.alias("items"))
+    found = F.transform("_items", lambda x: x["id"])
+    ids = F.concat(F.sort_array(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), F.filter(found, lambda x: x.isNull()))
+    out = state.withColumns({"n_words": F.col("_words"), "hit_words": F.col("_hits"), "items": ids})
     out = out.withColumn("n_hit", F.size("hit_words").cast("long")).withColumn("n_items", F.size("items").cast("long"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= MIN_PERCENT * F.col("n_words")))
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= MIN_PERCENT * F.col("n_words")))
+    return renamed(out, df.columns, *outputs)
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents of df that aren't contaminated, with df's columns, also those named like find_contamination's outputs."""
-    inside = [f"c{k}" for k in range(len(df.columns))]
-    plain = df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(df.columns, inside)])
-    marked = find_contamination(plain, benchmark, inside[df.columns.index(text)], **options)
-    return marked.filter(~F.col("contaminated")).select(*[F.col(x).alias(c) for c, x in zip(df.columns, inside)])
+    marked = find_contamination(numbered(df), benchmark, f"c{df.columns.index(text)}", **options)
+    return renamed(marked.filter(~F.col("contaminated")), df.columns)

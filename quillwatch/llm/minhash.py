@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import numbered, renamed
 from .storage import Scratch
 from .workers import tidied
 
@@ -352,6 +353,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with df's columns: all rows of its id, and all rows with a null id."""
-    gone = near_duplicates(df, key, text, percent).filter("not kept").select(key).distinct()
-    return df.join(gone, key, "left_anti").select(*df.columns)
+    """One document of each group, with df's columns, whatever their names: all rows of its id, and all rows with a null id."""
+    names, rows = df.columns, numbered(df)
+    own_key, own_text = (f"c{names.index(c)}" for c in (key, text))
+    gone = near_duplicates(rows.select(own_key, own_text), own_key, own_text, percent).filter("not kept").select(own_key).distinct()
+    return renamed(rows.join(gone, own_key, "left_anti"), names)

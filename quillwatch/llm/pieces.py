@@ -8,7 +8,7 @@ whose ids need more than these (unknown and control ids, bytes that are no text)
 
 Cases: a null text is read as empty; an empty text has no ids and decodes to an empty text; runs of spaces, texts
 without spaces and very long texts give the library's own ids; repeated rows and null keys pass through; an empty
-table gives an empty table; input columns named like the outputs are replaced, and no other name is taken.
+table gives an empty table; input columns named like the outputs are replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .names import fresh
+from .names import numbered
 from .workers import tidied
 
 MARK = "▁"
@@ -127,9 +127,9 @@ def _blocks(texts: list, weigh) -> Iterator[list]:
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the ids (array<int>) of each text, as the library encodes it without begin and end ids."""
     rest = df.drop(ids)
-    schema = rest.select("*", F.array().cast("array<int>").alias(ids)).schema
-    names = rest.columns
-    at = names.index(text)
+    rows, at = numbered(rest), rest.columns.index(text)
+    schema = rows.select("*", F.array().cast("array<int>").alias("ids")).schema
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)
@@ -140,9 +140,9 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 part = batch.slice(done, len(block))
                 done += len(block)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], names=[*names, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], names=[*names, "ids"])
 
-    return rest.mapInArrow(tidied(run), schema)
+    return rows.mapInArrow(tidied(run), schema).toDF(*rest.columns, ids)
 
 
 class PieceTexts:
@@ -188,9 +188,10 @@ def _piece_texts(path: str) -> PieceTexts:
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """df (or its columns of keep) with the text that the library decodes from each row's ids; null ids are read as none."""
-    names = [c for c in (keep if keep is not None else df.columns) if c != text]
-    source = df.select(*names, F.col(ids).alias(fresh(names, ids)[0]))
-    schema = df.select(*names, F.lit("").alias(text)).schema
+    kept = [c for c in (keep if keep is not None else df.columns) if c != text]
+    rows, names = numbered(df), [f"c{df.columns.index(c)}" for c in kept]
+    source = rows.select(*names, F.col(f"c{df.columns.index(ids)}").alias("ids"))
+    schema = rows.select(*names, F.lit("").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _piece_texts(model_path)
@@ -200,6 +201,6 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text",
                 out = table.decode([v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.empty(0, np.int32) for v in block])
                 part = batch.slice(done, len(block))
                 done += len(block)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(out, pa.string())], names=[*names, text])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(out, pa.string())], names=[*names, "text"])
 
-    return source.mapInArrow(tidied(run), schema)
+    return source.mapInArrow(tidied(run), schema).toDF(*kept, text)

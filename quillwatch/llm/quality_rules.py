@@ -5,7 +5,7 @@ host, each host's failure rate of each rule is shrunk toward a beta prior fitted
 shrunk rate stays high pass their verdict on to all their documents. Built-in functions only.
 
 Cases: a null or empty text has no words and fails; a null host is a host of its own; repeated rows count each; an
-empty table gives an empty table; input columns named like the outputs are replaced, and no other name is taken; very
+empty table gives an empty table; input columns named like the outputs are replaced, others may have any name; very
 long texts are counted whole. Words are runs of ``[^\\x20\\x09-\\x0D]``.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .names import fresh
+from .names import fresh, numbered, quoted, renamed
 from .storage import Scratch
 
 MIN_WORDS = 50
@@ -72,7 +72,7 @@ def _repeat_words(windows: Column) -> Column:
 
 def count_features(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the columns of FEATURES (long), from each whole text."""
-    plain = F.coalesce(F.col(text), F.lit(""))
+    plain = F.coalesce(F.col(quoted(text)), F.lit(""))
     out = df.drop(*FEATURES)
     kept = out.columns
     words, lines, keys = fresh([*df.columns, *FEATURES], "_words", "_lines", "_windows")
@@ -84,7 +84,7 @@ def count_features(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn(keys, F.when(F.size(word) >= 3, F.transform(F.sequence(F.lit(0), F.size(word) - 3), lambda i: F.xxhash64(F.get(word, i), F.get(word, i + 1), F.get(word, i + 2)))).otherwise(F.array().cast("array<bigint>")))
     windows = F.col(keys)
     return out.select(
-        *kept,
+        *[F.col(quoted(c)) for c in kept],
         F.size(word).cast("long").alias("n_words"),
         F.length(F.array_join(word, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(plain, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -109,10 +109,14 @@ def _prior(rates: DataFrame) -> dict[str, tuple[float, float]]:
     return prior
 
 
-def host_verdicts(features: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Rows (host, n, each rule's shrunk failure rate, host_rejected)."""
-    failed = features.select(F.col(host).alias("host"), *[F.expr(rule).cast("long").alias(r) for r, rule in RULES.items()])
-    rates = failed.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(r).alias(r) for r in RULES])
+def failures(features: DataFrame, host: str = "source") -> DataFrame:
+    """Rows (host, n, each rule's number of failures)."""
+    failed = features.select(F.col(quoted(host)).alias("host"), *[F.expr(rule).cast("long").alias(r) for r, rule in RULES.items()])
+    return failed.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(r).alias(r) for r in RULES])
+
+
+def host_verdicts(rates: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """Rows (host, n, each rule's shrunk failure rate, host_rejected), from failures."""
     prior = _prior(rates)
     shrunk = {r: (F.col(r) + a) / (F.col("n") + a + b) for r, (a, b) in prior.items()}
     return rates.select("host", "n", *[v.alias(r) for r, v in shrunk.items()], F.greatest(*shrunk.values()).__gt__(max_rate).alias("host_rejected"))
@@ -123,12 +127,16 @@ def _judge(df: DataFrame, carry: list[str], text: str, host: str, max_rate: floa
 
     The counts are written once; hosts are aggregated from them, and the verdicts joined to them.
     """
-    rows = df.select(F.struct(*carry).alias("carried"), F.col(host).alias("host"), F.col(text).alias("_text"))
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in carry]).alias("carried"), F.col(quoted(host)).alias("host"), F.col(quoted(text)).alias("_text"))
     counted = Scratch(df.sparkSession).keep(count_features(rows, "_text").drop("_text"))
-    verdicts = host_verdicts(counted, "host", max_rate).select(F.col("host").alias("_host"), "host_rejected")
+    verdicts = host_verdicts(failures(counted, "host"), max_rate).select(F.col("host").alias("_host"), "host_rejected")
     n_hosts = counted.agg(F.approx_count_distinct("host")).first()[0]
     verdicts = F.broadcast(verdicts) if n_hosts <= broadcast_hosts else verdicts
     joined = counted.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host", "host")
+    return _with_verdict(joined)
+
+
+def _with_verdict(joined: DataFrame) -> DataFrame:
     failed = F.expr(f"({RULES['few_words']}) or ({RULES['repeats']})")
     return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
@@ -140,5 +148,19 @@ def apply_quality_rules(df: DataFrame, text: str = "text", host: str = "source",
 
 
 def drop_rejected(df: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
-    """The rows of df that are kept, with df's columns."""
-    return _judge(df, df.columns, text, host, max_rate, broadcast_hosts).filter("kept").select("carried.*")
+    """The rows of df that are kept, with df's columns, whatever their names.
+
+    Texts are counted twice, for the hosts' failures and for the rows themselves, so that nothing but a row a host is
+    written.
+    """
+    names, rows = df.columns, numbered(df)
+    own_text, own_host = (f"c{names.index(c)}" for c in (text, host))
+    def counted(part: DataFrame) -> DataFrame:
+        """Counts as a generator's columns, into which no filter above is pushed: each is computed once."""
+        return count_features(part, own_text).select(*part.columns, F.inline(F.array(F.struct(*FEATURES))))
+
+    rates = Scratch(df.sparkSession).keep(failures(counted(rows.select(own_text, own_host)), own_host))
+    verdicts = host_verdicts(rates, max_rate).select(F.col("host").alias("_host"), "host_rejected")
+    verdicts = F.broadcast(verdicts) if rates.count() <= broadcast_hosts else verdicts
+    joined = counted(rows).join(verdicts, F.col(own_host).eqNullSafe(F.col("_host")), "left")
+    return renamed(_with_verdict(joined).filter("kept"), names)

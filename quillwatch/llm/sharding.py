@@ -5,7 +5,7 @@ next slot that is still free. A key's hash gives a slot and the slot a shard, so
 loads differ by a few slots, and adding or removing a shard moves few keys.
 
 Cases: a null key hashes like every other null key and gets one shard; repeated and tied keys share a shard; an
-empty table gives an empty table. Input columns named like the outputs are replaced by them.
+empty table gives an empty table. Input columns named like the outputs are replaced by them, also where they are keys.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import fresh, quoted
+
 TABLE_SIZE = 65_537
 #: Tables up to so many slots (16 bytes a row) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SLOTS = 2_000_003
@@ -59,7 +61,8 @@ def slot_of(keys: list[Column], size: int = TABLE_SIZE) -> Column:
 def assign_shards(df: DataFrame, keys: list[str], shards: list[str], size: int = TABLE_SIZE, weights: list[int] | None = None) -> DataFrame:
     """df with slot, shard and shard_name: one broadcast join with a table of fixed size, no shuffle."""
     table = lookup_frame(df.sparkSession, shards, size, weights)
-    placed = df.drop("shard", "shard_name").withColumn("slot", slot_of([F.col(k) for k in keys], size))
+    at = fresh([*df.columns, "slot"], "_at")[0]
+    placed = df.withColumn(at, slot_of([F.col(quoted(k)) for k in keys], size)).drop("slot", "shard", "shard_name").withColumnRenamed(at, "slot")
     return placed.join(F.broadcast(table) if size <= BROADCAST_SLOTS else table, "slot", "left")
 
 
