@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwatch.llm import decontaminate, line_dedup, minhash, pieces, quality_rules
+from quillwatch.llm.names import quoted
 from quillwatch.llm.queries import model_path
 from quillwatch.llm.storage import Scratch
 
@@ -34,7 +35,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     out = line_dedup.drop_boilerplate(docs)
     n_chars = F.when(F.col("n_lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    return out.withColumn("n_chars", n_chars).select(*[quoted(c) for c in docs.columns])
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
