@@ -9,14 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_HTTP_HOST = r"(?i)^https?://(?:[^/?#@\\]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\\\s]+)"
-_SPACE = " \t\n\r\f\x0b"
-
+from .hosts import host  # noqa: F401  one of these functions
 
-def host(url: Column) -> Column:
-    """Lower-case host of an http or https URL without port and user; null for anything else."""
-    found = F.lower(F.regexp_extract(url, _HTTP_HOST, 1))
-    return F.when(found != "", found)
+_SPACE = " \t\n\r\f\x0b"
 
 
 def registrable(name: Column) -> Column:

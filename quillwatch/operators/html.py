@@ -151,13 +151,14 @@ def policy_link(html: Column) -> Column:
 def fetch_policies(pages: DataFrame, store: DataFrame, href: str = "policy_href", url: str = "url") -> DataFrame:
     """pages with policy_url and policy_text, read from a table of fetched documents (url, ok, body).
 
-    A link that isn't http or https, a document that is missing and one that wasn't fetched well give an empty text. Of
-    several documents of one address the least counts. Only wanted documents are shuffled with their markup, and each
+    A link that isn't http or https, a document that is missing and one that wasn't fetched well give an empty text. Both
+    sides' addresses are compared in their normal form. Of several documents of one address the least counts. Only wanted documents are shuffled with their markup, and each
     is parsed once.
     """
     wanted = pages.withColumn("policy_url", urls.resolve_policy_url(F.col(href), F.col(url)))
     keys = wanted.select(urls.url_key(F.col("policy_url")).alias("_key")).filter("_key is not null").distinct()
-    found = store.filter("ok").select(urls.url_key(F.col("url")).alias("_key"), F.col("body").alias("_body")).join(keys, "_key", "left_semi")
+    address = urls.url_key(urls.resolve_policy_url(F.col("url"), F.col("url")))
+    found = store.filter("ok").select(address.alias("_key"), F.col("body").alias("_body")).join(keys, "_key", "left_semi")
     got = found.groupBy("_key").agg(F.min("_body").alias("_body")).select("_key", parse_text("_body").alias("_text"))
     joined = wanted.join(got, urls.url_key(F.col("policy_url")) == F.col("_key"), "left")
     return joined.withColumn("policy_text", F.coalesce("_text", F.lit(""))).drop("_key", "_text")

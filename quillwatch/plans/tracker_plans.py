@@ -41,6 +41,8 @@ unknown_hosts AS (SELECT page_id, host, first_seq, row_number() OVER (PARTITION
 OWN_RULES = tuple(Rule(f"/{k // 2 % 10}{k % 10}" if k < 100 else f"page{k}[^0-9]", f"R{k}", "v", "low", False) for k in range(150))
 
 
+#: URLs with a plain host.
+_PLAIN_URL = "^https?://[a-z0-9.-]+[.][a-z]+/"
 #: Rules of the large catalog beside the known ones.
 _VENDORS = 50_000
 
@@ -137,6 +139,23 @@ def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _requests(spark, sf_dir).select("page_id", "seq", urls.host(F.col("url")).alias("host"))
 
 
+def url_host_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of URLs that are written in ways that browsers put right, or refuse."""
+    url, k = F.col("url"), F.col("seq") % 8
+    web, start, named = "^https?://", "^(https?://)([^/?#]+)", _requests(spark, sf_dir).filter(F.col("url").rlike(_PLAIN_URL))
+    odd = (
+        F.when(k == 0, F.concat(F.lit(" \t"), url, F.lit("\n ")))
+        .when(k == 1, F.regexp_replace(url, web, "HTTPS:\\\\\\\\"))
+        .when(k == 2, F.regexp_replace(url, web, "http://user:p@ss@"))
+        .when(k == 3, F.regexp_replace(url, web, "https:"))
+        .when(k == 4, F.regexp_replace(url, start, "$1$2.:65535"))
+        .when(k == 5, F.concat(F.lit("http://"), F.col("page_id").cast("string"), F.lit("."), F.format_string("0x%x", F.col("seq")), F.lit("/")))
+        .when(k == 6, F.regexp_replace(url, start, "$1$2 x"))
+        .otherwise(F.regexp_replace(url, start, "$1bücher。$2"))
+    )
+    return named.select("page_id", "seq", urls.host(odd).alias("host"))
+
+
 def url_scheme_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _requests(spark, sf_dir).filter(urls.is_web(F.col("url"))).select("page_id", "seq", "url")
 
@@ -176,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_catalog, request_log, tracker_match, tracker_match_join, tracker_large_catalog, tracker_own_rules, tracker_counts, tracker_first_example, tracker_order, tracker_rank_order, tracker_by_vendor, detected_short,
-        page_status, page_warning_count, no_tracker_pages, url_host, url_scheme_filter, empty_urls_dropped, registrable_domain, first_party_filter, known_rule_exclusion, unknown_hosts, unknown_hosts_top20, unknown_host_spread,
+        page_status, page_warning_count, no_tracker_pages, url_host, url_host_odd, url_scheme_filter, empty_urls_dropped, registrable_domain, first_party_filter, known_rule_exclusion, unknown_hosts, unknown_hosts_top20, unknown_host_spread,
     )
 }
 
@@ -201,6 +220,8 @@ ORACLES = {
     "page_warning_count": f"WITH {BASE_SQL} SELECT warning_count, count(*) AS pages FROM ({_STATUS_SQL}) GROUP BY warning_count",
     "no_tracker_pages": f"WITH {BASE_SQL} SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM matches)",
     "url_host": f"WITH {BASE_SQL} SELECT page_id, seq, {HOST_SQL} AS host FROM requests",
+    "url_host_odd": f"""WITH {BASE_SQL}, plain AS (SELECT page_id, seq, {HOST_SQL} AS h FROM requests WHERE regexp_matches(url, '{_PLAIN_URL}'))
+      SELECT page_id, seq, CASE seq % 8 WHEN 4 THEN concat(h, '.') WHEN 5 THEN CASE WHEN page_id < 256 THEN concat(page_id, '.', seq // 65536 % 256, '.', seq // 256 % 256, '.', seq % 256) END WHEN 6 THEN NULL WHEN 7 THEN concat('xn--bcher-kva.', h) ELSE h END AS host FROM plain""",
     "url_scheme_filter": f"WITH {BASE_SQL} SELECT page_id, seq, url FROM requests WHERE lower(url) LIKE 'http://%' OR lower(url) LIKE 'https://%'",
     "empty_urls_dropped": f"WITH {BASE_SQL} SELECT page_id, count(*) AS requests FROM requests WHERE url <> '' GROUP BY page_id",
     "registrable_domain": f"WITH {BASE_SQL} SELECT host, {REG_SQL.format('host')} AS registrable, count(*) AS requests FROM (SELECT {HOST_SQL} AS host FROM requests) WHERE host IS NOT NULL GROUP BY host",
