@@ -89,15 +89,18 @@ def index_rules(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     pieces are a rule's in the order of its alternatives, and place is where in them a row's own is.
     """
-    parsed = catalog.withColumn("literals", _literals("pattern"))
-    each = parsed.filter("literals IS NOT NULL").select("cat_idx", "pattern", F.posexplode("literals").alias("alternative", "literal"))
-    cut = each.select("cat_idx", "pattern", "alternative", F.explode(pieces(F.col("literal"))).alias("piece"))
+    parsed = catalog.withColumn("literals", _literals("pattern")).persist()
+    each = parsed.filter("literals IS NOT NULL").select("cat_idx", F.posexplode("literals").alias("alternative", "literal"))
+    own = F.slice(pieces(F.col("literal")), 1, 1 << 16)  # of longer parts the first are choice enough
+    cut = each.select("cat_idx", "alternative", F.posexplode(own).alias("place", "piece"))
     often = cut.groupBy("piece").agg(F.count("*").alias("n"))
-    common = F.lit(False)
-    for text in COMMON:
-        common = common | F.lit(text).contains(F.col("piece")) | F.col("piece").contains(text)
-    rare = cut.join(often, "piece").groupBy("cat_idx", "pattern", "alternative").agg(F.min(F.struct(common.alias("common"), "n", "piece")).alias("best"))
-    chosen = rare.groupBy("cat_idx", "pattern").agg(F.sort_array(F.collect_list(F.struct("alternative", F.col("best.piece").alias("piece")))).alias("p"))
+    usual = sorted({t[k : k + PIECE] for t in COMMON for k in range(len(t) - PIECE + 1)})
+    common = F.col("piece").isin(usual) | F.col("piece").rlike("|".join(re.escape(t) for t in COMMON if len(t) <= PIECE))
+    # one number says whether a piece is common, how often it comes, and where it is, so that its least is a plain minimum
+    rank = F.when(common, 1 << 56).otherwise(0) + F.least("n", F.lit(1 << 39)) * (1 << 16) + F.col("place")
+    best = cut.join(often, "piece").groupBy("cat_idx", "alternative").agg(F.min(rank).alias("best"))
+    picked = each.join(best, ["cat_idx", "alternative"]).select("cat_idx", "alternative", F.get(own, (F.col("best") % (1 << 16)).cast("int")).alias("piece"))
+    chosen = picked.groupBy("cat_idx").agg(F.sort_array(F.collect_list(F.struct("alternative", "piece"))).alias("p")).join(parsed.select("cat_idx", "pattern"), "cat_idx")
     listed = chosen.select("cat_idx", "pattern", F.array_distinct(F.col("p.piece")).alias("pieces"))  # a rule's own alternatives only
     return listed.select("cat_idx", "pattern", "pieces", F.posexplode("pieces").alias("place", "piece")), parsed.filter("literals IS NULL").drop("literals")
 
@@ -114,7 +117,7 @@ def match_catalog(requests: DataFrame, catalog: DataFrame, url: str = "url", bro
     """requests with a row for each rule of a catalog (as catalog_frame gives it, of any size) that its URL matches, and the
     rule's columns but the pattern. Null and empty URLs match nothing; repeated requests match each."""
     index, others = index_rules(catalog)
-    index = index.persist()
+    index = index.persist()  # a few dozen bytes a rule, spilled where memory is short
     n = index.count()
     real = requests.filter(F.col(url) != "")
     if n <= broadcast_pieces:
