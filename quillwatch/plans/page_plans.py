@@ -81,9 +81,24 @@ def missing_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("html is null").select("page_id", F.length("text").alias("n_chars"), F.col("form").isNull().alias("no_form"))
 
 
+def _odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markup = F.element_at(F.array(*[F.lit(x[0]) for x in derived.ODD_MARKUP]), (F.col("page_id") % len(derived.ODD_MARKUP) + 1).cast("int"))
+    return _raw(spark, sf_dir).select("page_id", "url", F.replace(markup, F.lit("{n}"), F.col("page_id").cast("string")).alias("html"))
+
+
+def html_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, policy link and primary form of markup that isn't well formed."""
+    return html.page_features(_odd(spark, sf_dir)).select("page_id", "text", F.col("policy_href").alias("href"), F.array_join("form.fields", ",").alias("fields"))
+
+
+def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link and form of that markup."""
+    return html.page_parts(_odd(spark, sf_dir)).select("page_id", "kind", "place", "address", F.array_join("fields", ",").alias("fields"), "chosen")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (privacy_text, privacy_text_parsed, privacy_text_len, privacy_link, privacy_link_parsed, privacy_resolve, privacy_fetch_join, form_primary, form_fields, form_action_https, tls_versions, missing_html)
+    for f in (privacy_text, privacy_text_parsed, privacy_text_len, privacy_link, privacy_link_parsed, privacy_resolve, privacy_fetch_join, form_primary, form_fields, form_action_https, tls_versions, missing_html, html_odd, page_parts)
 }
 
 
@@ -106,7 +121,14 @@ _ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 _HREF = "CASE page_id % 5 WHEN 0 THEN '/legal/privacy?v=2' WHEN 1 THEN other_url WHEN 2 THEN 'mailto:privacy@example.org' WHEN 3 THEN 'notices/hipaa.html' END"
 _RESOLVED = f"CASE page_id % 5 WHEN 0 THEN concat({_ORIGIN}, '/legal/privacy?v=2') WHEN 1 THEN other_url WHEN 3 THEN concat(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)[^/]*$', 1), 'notices/hipaa.html') END"
 _FORMS = f"SELECT *, {_case('page_id % 6', derived.FORM_FIELDS)} AS fields, {_case('page_id % 6', derived.FORM_ACTIONS)} AS raw_action FROM snapshots"
+_value = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, (bool, int)) else f"'{v}'"
+_N = len(derived.ODD_MARKUP)
+_ODD_ROWS = ", ".join(f"({k}, {', '.join(map(_value, x[1:4]))})" for k, x in enumerate(derived.ODD_MARKUP))
+_ODD_PARTS = ", ".join(f"({k}, {', '.join(map(_value, part))})" for k, x in enumerate(derived.ODD_MARKUP) for part in x[4])
+_numbered = lambda *names: ", ".join(f"replace({c}, '{{n}}', page_id::VARCHAR) AS {c}" for c in names)
 ORACLES = {
+    "html_odd": f"SELECT page_id, {_numbered('text', 'href', 'fields')} FROM pages JOIN (VALUES {_ODD_ROWS}) v(k, text, href, fields) ON k = page_id % {_N}",
+    "page_parts": f"SELECT page_id, kind, place, {_numbered('address', 'fields')}, chosen FROM pages JOIN (VALUES {_ODD_PARTS}) v(k, kind, place, address, fields, chosen) ON k = page_id % {_N}",
     "privacy_text": f"SELECT page_id, md5({text_sql('html')}) AS text_md5 FROM pages",
     "privacy_text_parsed": f"SELECT page_id, md5({text_sql('html')}) AS text_md5 FROM pages",
     "privacy_text_len": f"SELECT page_id, length({text_sql('html')})::INT AS n_chars FROM pages",

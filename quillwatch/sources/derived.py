@@ -76,6 +76,18 @@ FORM_ACTIONS = ("/contact", "https://forms.partner.org/book?x=1", "http://plain.
 
 _FORM_CASE = " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(FORMS))
 
+# Markup that isn't well formed, by page_id % 7, with what a browser's tree makes of it: text, policy link, the primary
+# form's fields, and every link and form (kind, place, address, fields, chosen). {n} is the page's number.
+ODD_MARKUP = (
+    ("<nav/>gone {n}", "", None, None, ()),
+    ("<textarea><nav>{n}</nav></textarea>y", "<nav>{n}</nav>y", None, None, ()),
+    ('<a href="/p{n}">one<a href="/privacy/{n}">two</a> three', "onetwo three", "/privacy/{n}", None, (("link", 0, "/p{n}", None, False), ("link", 1, "/privacy/{n}", None, True))),
+    ('<div><form action="https://f.org/{n}"><input type=email name=a{n}></div><input name=b></form>z', "z", None, "a{n}", (("form", 0, "https://f.org/{n}", "a{n}", True),)),
+    ("<nav><footer>a</nav>b{n}", "b{n}", None, None, ()),
+    ("<title>T</title><table><form><tr><td><input type=email name=q></td></tr></form></table>x{n}<noscript><a href=/privacy>n</a></noscript>", "x{n}", None, None, (("form", 0, "", "", False),)),
+    ('<form action="https://g.org/{n}"><label>Con<b>tact</b> {n}</label><select name=s><option>1<option>2</select>', "Contact {n}12", None, "s", (("form", 0, "https://g.org/{n}", "s", True),)),
+)
+
 # Policy links by page_id % 5: relative, absolute to another page, a mail address, found by its text, none.
 POLICY_LINK = """
 CASE page_id % 5
