@@ -10,6 +10,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.settings import iso_instant
 from ..functions.text import shorten
@@ -55,9 +56,20 @@ def short(text: Column, limit: int = STRING_CAP) -> Column:
     return shorten(text, limit)
 
 
-def write_events(lines: DataFrame, path: str, column: str = "line") -> None:
-    """Appends JSON lines, one file a task."""
-    lines.select(F.col(column).alias("value")).write.mode("append").text(path)
+def write_events(lines: DataFrame, path: str, column: str = "line", epoch: int | None = None) -> None:
+    """Appends JSON lines, one file a task; those of an epoch once, however often it is written."""
+    values = lines.select(F.col(column).alias("value"))
+    if epoch is None:
+        values.write.mode("append").text(path)
+    else:
+        values.write.mode("overwrite").text(f"{path.rstrip('/')}/epoch={epoch:012d}")
+
+
+def event_sink(lines: DataFrame, path: str, checkpoint: str, column: str = "line", period_s: float | None = None) -> StreamingQuery:
+    """A stream's lines as JSON lines by epoch: a batch that is repeated after a failure replaces its own files, which a
+    committer moves in only when all of its tasks are done. Without a period until all is read."""
+    trigger = {"availableNow": True} if period_s is None else {"processingTime": f"{period_s} seconds"}
+    return lines.writeStream.foreachBatch(lambda batch, epoch: write_events(batch, path, column, epoch)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def log_line(at: Column, level: Column, message: Column, tag: str = "[quillwatch]") -> Column:

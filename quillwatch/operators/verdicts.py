@@ -22,6 +22,8 @@ from ..functions.settings import DEFAULT_TIMEOUT_MS, DISABLED, LOCAL_REVIEWER, L
 FORM_RISKS = ("none", "low", "medium", "high")
 DATA_RISKS = ("low", "medium", "high", "unknown")
 SCORES = (0, 5)
+#: Reviews that one partition asks for at once.
+PARALLEL = 4
 UNKNOWN = "unknown"
 
 CLASS_TYPE = T.StructType().add("likely_vendor", T.StringType()).add("phi_risk", T.StringType()).add("reasoning", T.StringType())
@@ -153,29 +155,60 @@ def outer_timeout(name: str, given_ms: int | None = None) -> int:
     return max(LOCAL_TIMEOUT_MS, base) if name == LOCAL_REVIEWER else base
 
 
-def classify_within(reviewer: Reviewer, payload: str, timeout_ms: int) -> str:
-    """The reviewer's reply; raises TimeoutError when it takes longer. What it does afterwards is thrown away."""
-    box: queue.Queue = queue.Queue(1)
-
-    def ask() -> None:
-        try:
-            box.put((True, reviewer.classify(payload)))
-        except BaseException as e:
-            box.put((False, e))
-
-    threading.Thread(target=ask, daemon=True).start()
-    try:
-        ok, value = box.get(timeout=timeout_ms / 1000)
-    except queue.Empty:
-        raise TimeoutError("review") from None
-    if not ok:
-        raise value
-    return value
-
-
-def run_reviews(inputs: DataFrame, make_reviewer: Callable[[], Reviewer] | None, payload: str = "payload", timeout_ms: int | None = None) -> DataFrame:
-    """inputs with verdict: one reviewer a partition, no row ever fails or takes longer than the outer timeout. Without a
-    reviewer no Python runs."""
+class _Call:
+    """One review: its reply or what it raised, once done is set."""
+
+    def __init__(self, payload: str):
+        self.payload, self.done, self.abandoned = payload, threading.Event(), False
+        self.reply, self.error, self.took_ms = None, None, 0
+
+
+class ReviewPool:
+    """Asks a reviewer for several rows at once, on so many threads at most, whatever hangs.
+
+    A call that takes longer than the timeout is abandoned: its thread is taken until the call returns, and what it returns
+    is thrown away. A row that finds no free thread waits for one as long as a call may take, and then counts as timed out.
+    """
+
+    def __init__(self, reviewer: Reviewer, size: int):
+        self.reviewer, self.size = reviewer, size
+        self.waiting: queue.Queue[_Call] = queue.Queue()
+        self.threads: list[threading.Thread] = []
+
+    def _work(self) -> None:
+        while True:
+            call = self.waiting.get()
+            if call.abandoned:
+                continue
+            began = time.monotonic()
+            try:
+                call.reply = self.reviewer.classify(call.payload)
+            except BaseException as e:
+                call.error = e
+            call.took_ms = int(1000 * (time.monotonic() - began))
+            call.done.set()
+
+    def ask(self, payloads: list[str], timeout_ms: int) -> Iterator[_Call]:
+        """A finished call for each payload, in their order; no more than the pool's size are asked at once."""
+        while len(self.threads) < min(self.size, len(payloads)):
+            self.threads.append(threading.Thread(target=self._work, daemon=True))
+            self.threads[-1].start()
+        for first in range(0, len(payloads), self.size):
+            window = [_Call(p) for p in payloads[first : first + self.size]]
+            began = time.monotonic()
+            for call in window:
+                self.waiting.put(call)
+            for call in window:
+                if not call.done.wait(max(0.0, began + timeout_ms / 1000 - time.monotonic())):
+                    call.abandoned, late = True, _Call(call.payload)
+                    late.error, late.took_ms = TimeoutError("review"), timeout_ms
+                    call = late
+                yield call
+
+
+def run_reviews(inputs: DataFrame, make_reviewer: Callable[[], Reviewer] | None, payload: str = "payload", timeout_ms: int | None = None, parallel: int = PARALLEL) -> DataFrame:
+    """inputs with verdict: one reviewer a partition, asked for so many rows at once; no row ever fails or takes longer than
+    the outer timeout. Without a reviewer no Python runs."""
     if make_reviewer is None:
         nothing = F.lit(None).cast(VERDICT_TYPE)
         return inputs.withColumn("verdict", with_fallback(nothing, F.lit(DISABLED), F.lit(0)))
@@ -183,17 +216,19 @@ def run_reviews(inputs: DataFrame, make_reviewer: Callable[[], Reviewer] | None,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reviewer = make_reviewer()
+        pool = ReviewPool(reviewer, parallel)
         for rows in batches:
             parsed, took = [], []
-            for p in rows[payload]:
-                began = time.monotonic()
+            for call in pool.ask(list(rows[payload]), outer_timeout(reviewer.name, timeout_ms)):
                 try:
-                    parsed.append(parse_reply(classify_within(reviewer, p, outer_timeout(reviewer.name, timeout_ms))))
+                    if call.error is not None:
+                        raise call.error
+                    parsed.append(parse_reply(call.reply))
                 except VerdictError as e:
                     parsed.append(_safe(None) | {"error": str(e)})
-                except Exception:  # whatever a reviewer raises, the row gets the stub
+                except BaseException:  # whatever a reviewer raises, the row gets the stub
                     parsed.append(_safe(None) | {"error": "reviewer failed"})
-                took.append(int(1000 * (time.monotonic() - began)))
+                took.append(call.took_ms)
             yield rows[names].assign(_parsed=parsed, _by=reviewer.name, _took=took)
 
     schema = inputs.select("*", F.lit(None).cast(VERDICT_TYPE).alias("_parsed"), F.lit("").alias("_by"), F.lit(0).cast("long").alias("_took")).schema
