@@ -18,16 +18,23 @@ def requests_of(archives: DataFrame, file: str = "file") -> DataFrame:
 
     A page goes by its file and reference; its address is its title where that is one, else its first request's.
     """
-    entry = archives.select(file, "log.pages", F.posexplode("log.entries").alias("seq", "entry"))
-    ref = F.coalesce("entry.pageref", F.lit(""))
-    page = F.get(F.filter(F.coalesce("pages", F.array().cast("array<struct<id:string,title:string>>")), lambda p: p["id"] == ref), F.lit(0))
-    rows = entry.select(F.xxhash64(file, ref).alias("page_id"), page["title"].alias("title"), F.col("seq").cast("long").alias("seq"), F.col("entry.request.url").alias("url")).filter("url is not null")
-    first = rows.groupBy("page_id").agg(F.min_by("url", "seq").alias("first"))
-    address = F.when(F.col("title").rlike("(?i)^https?://"), F.col("title")).otherwise(F.col("first"))
-    return rows.join(first, "page_id").select("page_id", address.alias("page_url"), "seq", "url")
+    named = archives.select(file, F.coalesce("log.pages", F.array().cast("array<struct<id:string,title:string>>")).alias("pages"), F.transform("log.entries", lambda e: F.struct(F.coalesce(e["pageref"], F.lit("")).alias("ref"), e["request"]["url"].alias("url"))).alias("entries"))
+    asked = F.filter("entries", lambda e: e["url"].isNotNull())
+    # each page's first request, once an archive, so that rows need no grouping and streams no state
+    firsts = F.map_from_entries(F.transform(F.array_distinct(F.transform(asked, lambda e: e["ref"])), lambda ref: F.struct(ref, F.get(F.filter(asked, lambda e: e["ref"] == ref), F.lit(0))["url"])))
+    entry = named.withColumn("firsts", firsts).select(file, "pages", "firsts", F.posexplode("entries").alias("seq", "entry")).filter("entry.url is not null")
+    title = F.get(F.filter("pages", lambda p: p["id"] == F.col("entry.ref")), F.lit(0))["title"]
+    address = F.when(title.rlike("(?i)^https?://"), title).otherwise(F.element_at("firsts", F.col("entry.ref")))
+    return entry.select(F.xxhash64(file, F.col("entry.ref")).alias("page_id"), address.alias("page_url"), F.col("seq").cast("long").alias("seq"), F.col("entry.url").alias("url"))
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """requests_of all archives in a folder."""
     archives = spark.read.schema(HAR_SCHEMA).option("multiLine", True).json(path)
     return requests_of(archives.select(F.input_file_name().alias("file"), "log").filter("log is not null"))
+
+
+def stream_captures(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+    """The same rows as a stream of the archives that come into a folder; its checkpoint knows which were read."""
+    archives = spark.readStream.schema(HAR_SCHEMA).option("multiLine", True).option("maxFilesPerTrigger", max_files).json(path)
+    return requests_of(archives.select(F.input_file_name().alias("file"), "log").filter("log is not null"))
