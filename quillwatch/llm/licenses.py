@@ -90,6 +90,43 @@ for _kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
         for _lead in ("licensed under cc", "this work is licensed under cc", "licensed under creative commons"):
             SENTENCES.append((f"cc-{_kind.replace(' ', '-')}-{_version}", f"{_lead} {_kind} {_version}"))
 
+# licenses' names in prose, and how a sentence leads to them and ends after them.
+NAMES: dict[str, tuple[str, ...]] = {
+    "mit-name": ("mit license", "expat license"),
+    "apache-name": ("apache license version 2.0", "apache license 2.0", "apache 2.0 license"),
+    "gpl3-name": ("gnu general public license version 3", "gnu general public license v3.0", "gnu gplv3"),
+    "gpl2-name": ("gnu general public license version 2", "gnu general public license v2.0", "gnu gplv2"),
+    "agpl3-name": ("gnu affero general public license version 3", "gnu affero general public license v3.0"),
+    "lgpl3-name": ("gnu lesser general public license version 3", "gnu lesser general public license v3.0"),
+    "lgpl21-name": ("gnu lesser general public license version 2.1", "gnu lesser general public license v2.1"),
+    "bsd3-name": ("bsd 3 clause license", "3 clause bsd license"),
+    "bsd2-name": ("bsd 2 clause license", "2 clause bsd license"),
+    "isc-name": ("isc license",),
+    "zlib-name": ("zlib license",),
+    "mpl-name": ("mozilla public license version 2.0", "mozilla public license 2.0"),
+    "epl2-name": ("eclipse public license 2.0", "eclipse public license version 2.0"),
+    "boost-name": ("boost software license version 1.0", "boost software license 1.0"),
+    "unlicense-name": ("unlicense",),
+}
+LEADS = ("licensed under the", "released under the", "distributed under the", "available under the", "this project is licensed under the", "this work is licensed under the", "this software is licensed under the")
+ENDS = ("", " see the license file", " see the license file for details", " see license for details")
+SENTENCES += [(_id, f"{_lead} {_name}{_end}") for _id, _names in NAMES.items() for _name in _names for _lead in LEADS for _end in ENDS if (_id, f"{_lead} {_name}{_end}") not in SENTENCES]
+_CC_KINDS = {"by": "attribution", "by-sa": "attribution sharealike", "by-nc": "attribution noncommercial", "by-nd": "attribution noderivatives", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivatives"}
+_CC_SCOPES = {"4.0": "international", "3.0": "unported", "2.5": "generic", "2.0": "generic"}
+SENTENCES += [
+    (f"cc-{_kind}-{_version}", f"{_lead} {_article} creative commons {_words} {_version} {_scope} license")
+    for _kind, _words in _CC_KINDS.items() for _version, _scope in _CC_SCOPES.items() for _lead in ("licensed under", "this work is licensed under") for _article in ("a", "the")
+]
+SENTENCES += [
+    ("apache-notice", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("boost-name", "spdx license identifier bsl 1.0"),
+    *((f"{_id}-name", f"spdx license identifier {_old}") for _id, _old in (("gpl2", "gpl 2.0"), ("gpl3", "gpl 3.0"), ("lgpl21", "lgpl 2.1"), ("lgpl3", "lgpl 3.0"), ("agpl3", "agpl 3.0"))),
+]
+#: Identifiers of which an SPDX expression may name two, beside MIT or Apache-2.0.
+_CHOICES = {"gpl-2.0-only": "GPL-2.0-only", "gpl-2.0-or-later": "GPL-2.0-or-later", "gpl-3.0-only": "GPL-3.0-only", "gpl-3.0-or-later": "GPL-3.0-or-later", "bsd-3-clause": "BSD-3-Clause", "bsd-2-clause": "BSD-2-Clause", "isc": "ISC", "zlib": "Zlib", "mpl-2.0": "MPL-2.0", "unlicense": "Unlicense", "bsl-1.0": "BSL-1.0"}
+EITHER = [(f"{_first}-or-{_id}", f"{_name} OR {_other}", f"{_first} or {_id.replace('-', ' ')}", f"{_id.replace('-', ' ')} or {_first}".replace("  ", " ")) for _first, _name in (("mit", "MIT"), ("apache 2.0", "Apache-2.0")) for _id, _other in _CHOICES.items()]
+SENTENCES += [(_id.replace(" ", "-"), f"spdx license identifier {_order}") for _id, _, *_orders in EITHER for _order in _orders]
+
 # License, permissive or not, and the identifiers that must follow each other. The order decides which
 # rule names the text's license; a rule that another one contains comes after it.
 RULES: list[tuple[str, bool, tuple[str, ...]]] = [
@@ -138,20 +175,25 @@ RULES: list[tuple[str, bool, tuple[str, ...]]] = [
 for _kind in ("by-nc-nd", "by-nc-sa", "by-nc", "by-nd", "by-sa", "by"):
     for _version in ("4.0", "3.0", "2.5", "2.0"):
         RULES.append((f"CC-{_kind.upper()}-{_version}", _kind == "by", (f"cc-{_kind}-{_version}",)))
+RULES.append(("BSL-1.0", True, ("boost-name",)))
+RULES += [(_name, True, (_id.replace(" ", "-"),)) for _id, _name, *_ in EITHER]  # a reader may choose the permissive one
 
 #: The SQL twin's two readings: at stops before white space or the text's end, or at a colon or semicolon that ends its line.
-SENTENCE_END = "[.!?]+(?:[ \t\r\n]+|$)|[:;][ \t\r]*\n"
+SENTENCE_END = "[.!?]+(?:[ \t\r\n]+|$)|[:;][ \t\r]*\n|:[ \t]+[(]?[0-9][.)][ \t]+"
+#: A plus after a version stands for later ones.
+PLUS = "([0-9])[+]"
 LINE_OR_SENTENCE_END = "\n|" + SENTENCE_END
 
 BLANK = "{}"
 BLANK_CHARS = 200
 #: Each known sentence holds one of these, so texts without any need no normalisation.
-MARKS = ("license", "permission", "software", "warranty", "redistribution", "reserved", "waived", "cc0")
+MARKS = ("license", "gplv", "permission", "software", "warranty", "redistribution", "reserved", "waived", "cc0")
 
 
 def _normalised(text: Column) -> Column:
     """Lower-case words one space apart, and one line feed where lines or sentences end. Inner dots stay, as in a version's number."""
-    out = F.regexp_replace(F.lower(text), "[.!?](?:[ \t\r\n]|\\z)", "\n")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), PLUS, "$1 or later "), ":[ \t\r\n]+[(]?[0-9][.)][ \t\r\n]", "\n")  # a list's first number ends a sentence
+    out = F.regexp_replace(out, "[.!?](?:[ \t\r\n]|\\z)", "\n")
     out = F.regexp_replace(out, "[.](?![a-z0-9])", " ")
     out = F.regexp_replace(out, "[^a-z0-9.\n]+", " ")
     return F.concat(F.lit("\n"), F.regexp_replace(out, " ?\n[ \n]*", "\n"), F.lit("\n"))

@@ -75,7 +75,7 @@ _quote = lambda s: "'" + s.replace("'", "''") + "'"
 _KNOWN = ", ".join(f"({_quote(s)}, {_quote(i)})" for s, i in {s: i for i, s in licenses.SENTENCES}.items())
 _ENDS = {"line": licenses.LINE_OR_SENTENCE_END, "joined": licenses.SENTENCE_END}
 _READ = """
-{name}_parts AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), {end}) AS p FROM documents)),
+{name}_parts AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '{plus}', '\1 or later ', 'g'), {end}) AS p FROM documents)),
 {name}_known AS (SELECT doc_id, count(*) AS n, string_agg(y.id, ',' ORDER BY k) AS ids
   FROM (SELECT doc_id, k, {unfilled} AS s FROM (SELECT doc_id, k, trim(regexp_replace(regexp_replace(s, '[.]+([^a-z0-9.]|$)', ' \\1', 'g'), '[^a-z0-9.]+', ' ', 'g'), ' .') AS s FROM {name}_parts)) p JOIN known y ON y.s = p.s GROUP BY doc_id)"""
 _UNFILLED = "CASE " + " ".join(f"WHEN starts_with(s, {_quote(a)}) AND ends_with(s, {_quote(b)}) AND length(s) BETWEEN {len(a + b) + 1} AND {len(a + b) + licenses.BLANK_CHARS} THEN {_quote(a + licenses.BLANK + b)}" for a, b in licenses.blanks()) + " ELSE s END"
@@ -84,7 +84,7 @@ _EACH = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN contains(p, ',{','
 _NAMES = ", ".join(_quote(n) for n in dict.fromkeys(name for name, _, _ in licenses.RULES))
 LICENSES = f"""
 WITH known(s, id) AS (VALUES {_KNOWN}),
-{','.join(_READ.format(name=name, end=_quote(end), unfilled=_UNFILLED) for name, end in _ENDS.items())},
+{','.join(_READ.format(name=name, end=_quote(end), unfilled=_UNFILLED, plus=licenses.PLUS) for name, end in _ENDS.items())},
 chosen AS (SELECT d.doc_id, CASE WHEN coalesce(j.n, 0) > coalesce(l.n, 0) THEN j.ids ELSE coalesce(l.ids, '') END AS ids FROM documents d LEFT JOIN line_known l ON l.doc_id = d.doc_id LEFT JOIN joined_known j ON j.doc_id = d.doc_id)
 SELECT doc_id, ids AS license_sentences, array_to_string(list_filter([{_NAMES}], lambda n: list_contains(e, n)), ',') AS licenses, {_FITS(lambda n, f: _quote(n))} AS license, {_FITS(lambda n, f: str(f).lower())} AS permissive
 FROM (SELECT *, {_EACH} AS e FROM (SELECT *, concat(',', ids, ',') AS p FROM chosen))
