@@ -74,10 +74,10 @@ def compacted_by_end(events: DataFrame) -> DataFrame:
     return each.select("job_id", "e.*", "finished")
 
 
-def _event(jobs: DataFrame, kind: str | Column, at: Column, **changes: Column) -> DataFrame:
-    """The next event of each of jobs (as fold returns them): what doesn't change is carried on."""
+def _event(jobs: DataFrame, kind: str | Column, at: Column, keep: tuple[str, ...] = (), **changes: Column) -> DataFrame:
+    """The next event of each of jobs (as fold returns them): what doesn't change is carried on, and keep's columns beside it."""
     state = [changes[c].cast(jobs.schema[c].dataType).alias(c) if c in changes else F.col(c) for c in STATE]
-    return jobs.select("job_id", (F.col("version") + 1).alias("version"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), at.alias("at"), *state)
+    return jobs.select("job_id", (F.col("version") + 1).alias("version"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), at.alias("at"), *state, *keep)
 
 
 def claim(jobs: DataFrame, workers: list[str], now: Column, per_worker: int = 1, running: dict[str, int] | None = None) -> DataFrame:
@@ -127,15 +127,19 @@ def settle(jobs: DataFrame, now: Column, result: Column, error: Column) -> DataF
     )
 
 
+def is_stuck(now: Column, after_s: int = STUCK_AFTER_S) -> Column:
+    """Whether a job runs and started strictly earlier than so many seconds ago; never null."""
+    return F.coalesce((F.col("status") == RUNNING) & (F.col("started_at") < now - F.make_dt_interval(secs=F.lit(after_s))), F.lit(False))
+
+
 def stuck(jobs: DataFrame, now: Column, after_s: int = STUCK_AFTER_S) -> DataFrame:
-    """Running jobs that started strictly earlier than so many seconds ago."""
-    return jobs.filter((F.col("status") == RUNNING) & (F.col("started_at") < now - F.make_dt_interval(secs=F.lit(after_s))))
+    return jobs.filter(is_stuck(now, after_s))
 
 
-def reap(jobs: DataFrame, now: Column, after_s: int = STUCK_AFTER_S) -> DataFrame:
+def reap(jobs: DataFrame, now: Column, after_s: int = STUCK_AFTER_S, keep: tuple[str, ...] = ()) -> DataFrame:
     """Stuck jobs go back to pending, or fail when their claims are used up."""
     again = will_retry(F.col("claim_count"))
-    return _event(stuck(jobs, now, after_s), "reaped", now, status=F.when(again, PENDING).otherwise(FAILED), claimed_by=F.when(~again, F.col("claimed_by")), started_at=F.when(~again, F.col("started_at")), completed_at=F.when(again, F.col("completed_at")).otherwise(now))
+    return _event(stuck(jobs, now, after_s), "reaped", now, keep, status=F.when(again, PENDING).otherwise(FAILED), claimed_by=F.when(~again, F.col("claimed_by")), started_at=F.when(~again, F.col("started_at")), completed_at=F.when(again, F.col("completed_at")).otherwise(now))
 
 
 def fenced(events: DataFrame) -> DataFrame:

@@ -61,3 +61,24 @@ def test_timers_reap_without_inserts_and_after_a_restart(spark, tmp_path):
     assert rows["soon"]["by_timer"] and rows["soon"]["claimed_by"] is None and rows["used"]["completed_at"] is not None
     reaped = keyed.reaps(spark.read.parquet(out).drop("n")).collect()
     assert sorted(r["job_id"] for r in reaped) == ["old", "soon", "used"] and {r["kind"] for r in reaped} == {"reaped"}
+
+
+def test_a_timers_change_fences_late_writers_before_and_after_it_is_read_back(spark, tmp_path):
+    log, out, cp = str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "cp")
+    start = created(spark, ("a", "running", 1, "2026-01-01 00:00:00", "w"), ("b", "running", 1, "2026-01-01 00:00:00", "w"))
+    start.coalesce(1).write.parquet(log)
+    run = lambda: keyed.run_states(keyed.event_stream(spark, log), to(out), cp).awaitTermination()
+    run()
+    late = jobs.complete(jobs.fold(start), F.current_timestamp() + F.expr("INTERVAL 1 DAY"), F.lit("{}"))
+    for k, job in enumerate("ab"):  # the first comes with the timer's event, the second after it
+        late.filter(F.col("job_id") == job).coalesce(1).write.mode("append").parquet(log)
+        run()
+        rows = latest(spark, out)
+        assert {j: (r["version"], r["status"]) for j, r in rows.items()} == {"a": (1, "pending"), "b": (1, "pending")}
+    assert spark.read.parquet(out).filter("by_timer").count() == 2
+
+
+def test_no_python_runs_for_a_job(spark):
+    events = spark.readStream.schema(jobs.EVENT_SCHEMA + ", created_at timestamp").parquet(str("/root/testdata/sf0.001/orders.parquet"))
+    plan = keyed.job_states(events)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Python" not in plan
