@@ -20,11 +20,14 @@ NO_OUTCOME = "scan gave no result"
 OUTCOME = "job_id string, url string, result string, error string, duration_ms long, overall_status string, score int, ai_provider string, ai_latency_ms long"
 
 
-def outcomes(requests: DataFrame, captures: DataFrame, results: DataFrame) -> DataFrame:
+def outcomes(requests: DataFrame, captures: DataFrame, results: DataFrame, whole: bool = True) -> DataFrame:
     """OUTCOME of jobs. requests (job_id, url); captures (url, page_id, duration_ms, error), the last of a URL by page_id
-    counts; results as results.scan gives them, of which each is made once however many jobs ask for its page."""
+    counts; results as results.scan gives them, of which each is made once however many jobs ask for its page.
+
+    Not whole: a job's result is its page_id, by which the results' rows are found, so that no document moves with each
+    job that asks for its page; of results only page_id, overall_status and ai_verification are read."""
     last = captures.groupBy("url").agg(F.max_by(F.struct("page_id", "duration_ms", "error"), "page_id").alias("c"))
-    shown = results.select("page_id", result_json(results).alias("result"), "overall_status", F.col("ai_verification").alias("v"))
+    shown = results.select("page_id", (result_json(results) if whole else F.col("page_id").cast("string")).alias("result"), "overall_status", F.col("ai_verification").alias("v"))
     seen = requests.join(last, "url", "left").select("job_id", "url", "c.*").join(shown, "page_id", "left")
     return seen.select("job_id", "url", "result", "error", "duration_ms", "overall_status", F.col("v.score").cast("int").alias("score"), F.col("v.provider").alias("ai_provider"), F.col("v.latency_ms").cast("long").alias("ai_latency_ms"))
 
