@@ -72,3 +72,13 @@ def test_parts_by_a_lateral_join(spark):
         [(1, "link", 0, "/x", "X y", None, False), (1, "form", 0, "https://a.org/s", None, ["q"], False), (1, "link", 1, "/privacy", "p", None, True), (1, "link", 2, "/privacy", "again", None, False), (4, "form", 0, "", None, ["e"], True)],
         key=lambda r: (r[0], r[1], r[2]),
     )
+
+
+def test_references_without_a_semicolon():
+    from quillwatch.operators import html
+
+    markup = '<h1>a &amp; b&amp</h1><a href="/privacy?a=1&copy=2">&lt&#38 &quot;</a><xmp>&amp &amp;</xmp>﷐'
+    as_browsers, as_written = html._read(markup), html._read(markup, bare=False)
+    assert html.page_text(as_browsers) == 'a & b&<& "&amp &amp;﷐'
+    assert html.page_text(as_written) == 'a & b&amp&lt&#38 "&amp &amp;﷐'
+    assert html.policy_href(as_written) == "/privacy?a=1&copy=2"
