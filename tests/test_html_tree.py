@@ -82,3 +82,27 @@ def test_references_without_a_semicolon():
     assert html.page_text(as_browsers) == 'a & b&<& "&amp &amp;﷐'
     assert html.page_text(as_written) == 'a & b&amp&lt&#38 "&amp &amp;﷐'
     assert html.policy_href(as_written) == "/privacy?a=1&copy=2"
+
+
+def test_whole_texts(spark, tmp_path):
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).parent))
+    from oracle import compare
+
+    from quillwatch.functions import text as texts
+    from quillwatch.plans import registry
+
+    shared = "é " * texts.TEXT_CAP
+    rows = [(1, "https://a.org/", f"<body><p>{shared}one</p></body>"), (2, "https://a.org/", f"<body><p>{shared}two &amp; <b>more</b></p></body>"), (3, "https://a.org/", "<body>short</body>"), (4, "https://a.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    file = next((tmp_path / "pages.parquet").glob("*.parquet"))
+    (tmp_path / "data").mkdir()
+    file.rename(tmp_path / "data" / "pages.parquet")
+    got = registry.QUERIES["privacy_text_parsed"](spark, f"{tmp_path}/data")
+    assert got.select("text_md5").distinct().count() == 4  # the first two are equal up to the cap
+    assert compare(spark, f"{tmp_path}/data", registry.QUERIES["privacy_text_parsed"], registry.ORACLES["privacy_text_parsed"]) == 4
+    whole = {r["page_id"]: r["text"] for r in html.page_features(pages, cap=None).collect()}
+    assert whole == {1: shared + "one", 2: shared + "two & more", 3: "short", 4: ""}
